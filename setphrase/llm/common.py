@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,20 +16,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and read it from there.
+def _checkpoint_dir(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; only a session without one (tests, a single machine) gets a temporary folder."""
+    found = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if found.isEmpty():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="setphrase-"))
+        found = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return found.get()
 
-    The folder is the session's ``spark.checkpoint.dir``; only a session without
-    one (tests, a single machine) gets a temporary folder.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        own = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="setphrase-")
-        context.setCheckpointDir(own)
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df to the shared checkpoint folder and read it from there."""
+    _checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path below the shared checkpoint folder, for a table that is written and read again."""
+    return f"{_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def crc32_of_id(doc_id: str) -> Column:
     """crc32 of an id written as decimal text."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary"))

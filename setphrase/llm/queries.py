@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from setphrase.llm import exact_dedup
-from setphrase.llm.common import table
+from setphrase.llm import exact_dedup, wavelet
+from setphrase.llm.common import shared_folder, table
 
 SQL: dict[str, str] = {}
 
@@ -23,6 +24,13 @@ from t window w as (partition by body)
 """
 
 
+def op3_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark, "wavelet")
+    wavelet.write_shards(table(spark, sf_dir, "documents"), path, end_id=1)
+    found = wavelet.read_shards(spark, path)
+    return found.select(F.col("doc").alias("doc_id"), "start", F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 

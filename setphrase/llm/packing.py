@@ -63,56 +63,63 @@ def best_fit(histogram: dict[int, int], size: int) -> list[tuple[Pattern, int]]:
     return [(p, n) for room in sorted(open_) for p, n in sorted(open_[room].items())]
 
 
-def knapsack(lengths: np.ndarray, worth: np.ndarray, size: int) -> dict[int, int]:
-    """The multiset of lengths that fits ``size`` and is worth most, by dynamic programming over the room."""
-    best, take = np.zeros(size + 1), np.full(size + 1, -1)
-    for room in range(1, size + 1):
-        k = int(np.searchsorted(lengths, room, "right"))
-        best[room] = best[room - 1]
-        if k:
-            gain = best[room - lengths[:k]] + worth[:k]
-            i = int(np.argmax(gain))
-            if gain[i] > best[room]:
-                best[room], take[room] = gain[i], i
+def knapsack(lengths: np.ndarray, worth: np.ndarray, most: np.ndarray, size: int) -> dict[int, int]:
+    """The multiset of lengths, at most ``most`` of each, that fits ``size`` and is worth most, by dynamic programming over the room."""
+    items = [(i, k) for i, n in enumerate(most.tolist()) for k in _powers(n) if k * lengths[i] <= size]
+    best, taken = np.zeros(size + 1), np.zeros((len(items), size + 1), bool)
+    for row, (i, k) in zip(taken, items):
+        w = k * int(lengths[i])
+        gain = best[: size + 1 - w] + k * worth[i]
+        np.greater(gain, best[w:], out=row[w:])
+        np.maximum(gain, best[w:], out=gain)
+        best[w:] = gain
     chosen, room = Counter(), size
-    while room > 0:
-        if take[room] < 0:
-            room -= 1
-        else:
-            chosen[int(lengths[take[room]])] += 1
-            room -= int(lengths[take[room]])
+    for row, (i, k) in zip(taken[::-1], reversed(items)):
+        if row[room]:
+            chosen[int(lengths[i])] += k
+            room -= k * int(lengths[i])
     return dict(chosen)
 
 
-def configuration_lp(histogram: dict[int, int], size: int, rounds: int = 250, step: float = 0.3) -> list[tuple[Pattern, float]]:
+def _powers(n: int) -> list[int]:
+    """Summands by which every number up to n can be made: 1, 2, 4, ... and a rest."""
+    made = []
+    while n > 0:
+        made.append(min(n, 1 << len(made)))
+        n -= made[-1]
+    return made
+
+
+def configuration_lp(histogram: dict[int, int], size: int, rounds: int = 400, rate: float = 2.0) -> list[tuple[Pattern, float]]:
     """A fractional cover of the histogram by patterns, by multiplicative weights.
 
-    A length's weight falls with the share of its demand that is covered already. Each round
-    prices one pattern and adds as much of it as covers a 1/rounds part of the demand of the
-    pattern's scarcest length, or as the weights' bound allows.
+    A length's price starts at its size (the dual optimum when sequences can be filled) and is
+    multiplied by exp(rate x the share of its demand that is open, less the mean share), so a
+    length that lags behind becomes worth more. A round prices one pattern and adds it until
+    half of its scarcest length's open demand is covered; a pattern holds a length at most about
+    twice as often as an average sequence must.
     """
-    lengths = np.array(sorted(histogram))
+    lengths = np.array(sorted(histogram, reverse=True))
     need = np.array([histogram[int(x)] for x in lengths], float)
-    least = float((lengths * need).sum()) / size
-    covered, found = np.zeros(len(lengths)), Counter()
-    slot = {int(x): i for i, x in enumerate(lengths)}
+    rest, found, slot = need.copy(), Counter(), {int(x): i for i, x in enumerate(lengths)}
     for _ in range(rounds):
-        share = covered / need
-        low = share.min()
-        if low >= 1:
+        some_ = rest >= 1
+        least = float((lengths * rest)[some_].sum()) / size
+        if least < 1:
             break
-        weight = np.exp(-(share - low) * rounds * step) / need
-        weight[share >= 1] = 0
-        worth = weight * 1.0 + 1e-12 * lengths * weight.max()
-        pattern = knapsack(lengths, worth, size)
+        share = rest / need
+        worth = lengths * np.exp(rate * (share - share[some_].mean()))
+        most = np.where(some_, np.minimum(np.floor(rest), np.maximum(1, np.ceil(2 * rest / least))), 0).astype(int)
+        pattern = knapsack(lengths, worth, most, size)
         i, k = np.array([slot[x] for x in pattern]), np.array(list(pattern.values()), float)
-        amount = min(max(least / rounds, 1e-9), float(((need[i] - np.minimum(covered[i], need[i])) / k).max()))
-        covered[i] += k * amount
+        bound = float((rest[i] / k).min())
+        amount = bound if bound < 2 else bound / 2
+        rest[i] -= k * amount
         found[tuple(sorted(pattern.items(), reverse=True))] += amount
     return list(found.items())
 
 
-def solve(histogram: dict[int, int], size: int, rounds: int = 250) -> list[tuple[Pattern, int]]:
+def solve(histogram: dict[int, int], size: int, rounds: int = 400) -> list[tuple[Pattern, int]]:
     """Patterns and how many sequences hold each; every length of the histogram is placed exactly as often as it occurs."""
     full = histogram.get(size, 0)
     histogram = {x: n for x, n in histogram.items() if n and x < size}

@@ -36,6 +36,29 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def sieve(keys: DataFrame, key: str, bits: int = 24) -> DataFrame:
+    """A bitmap of 2**bits bits (at most 2**(bits - 6) rows) in which the hash of each key sets one."""
+    bit = F.xxhash64(key).bitwiseAND(F.lit((1 << bits) - 1))
+    words = keys.select(F.shiftright(bit, 6).alias("_w"), F.lit(1).cast("long").alias("_one"), bit.alias("_b"))
+    return words.groupBy("_w").agg(F.bit_or(F.expr("shiftleft(_one, cast(_b & 63 as int))")).alias("_bits"))
+
+
+def sifted(df: DataFrame, key: str, bitmap: DataFrame, bits: int = 24) -> DataFrame:
+    """df with a column ``_hit``: false only where the key is not among the sieve's, so such rows need no shuffle."""
+    bit = F.xxhash64(key).bitwiseAND(F.lit((1 << bits) - 1))
+    found = df.withColumn("_b", bit).withColumn("_w", F.shiftright("_b", 6)).join(F.broadcast(bitmap), "_w", "left")
+    hit = F.coalesce(F.col("_bits").bitwiseAND(F.expr("shiftleft(1L, cast(_b & 63 as int))")) != 0, F.lit(False))
+    return found.withColumn("_hit", hit).drop("_w", "_b", "_bits")
+
+
+def without(df: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """df without the rows whose key is in gone's first column; only rows that pass a sieve of gone's keys are shuffled."""
+    gone = cut(gone.toDF("_gone").distinct())
+    marked = sifted(df, key, cut(sieve(gone, "_gone")))
+    kept = marked.where("_hit").join(gone, F.col(key).eqNullSafe(F.col("_gone")), "left_anti")
+    return marked.where("not _hit").unionByName(kept).select(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def crc32_of_id(doc_id: str) -> Column:
     """crc32 of an id written as decimal text."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary"))

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from setphrase.llm.common import WHITE, cut
+from setphrase.llm.common import WHITE, cut, sieve, sifted, without
 
 
 def normalised(text: str | Column) -> Column:
@@ -46,12 +46,8 @@ def exact_duplicates(
     sha = lambda t: F.unhex(F.sha2(t, 256))
     hashed = cut(rows.select("id", hash_128(F.col("t").cast("binary")).alias("h"), sha("t").alias("sha")))
 
-    bit = F.xxhash64("h").bitwiseAND(F.lit((1 << sieve_bits) - 1))
-    word, mask = F.shiftright(bit, 6), F.expr("shiftleft(1L, cast(b & 63 as int))")
     repeated = hashed.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    sieve = repeated.withColumn("b", bit).select(word.alias("w"), mask.alias("m")).groupBy("w").agg(F.bit_or("m").alias("bits"))
-    seen = rows.select("id", "t", hash_128(F.col("t").cast("binary")).alias("h")).withColumn("b", bit).withColumn("w", word)
-    seen = seen.join(F.broadcast(sieve), "w").where((F.col("bits").bitwiseAND(mask)) != 0)
+    seen = sifted(rows.select("id", "t", hash_128(F.col("t").cast("binary")).alias("h")), "h", sieve(repeated, "h", sieve_bits), sieve_bits).where("_hit")
     # struct keeps a null id smallest: min() alone would skip it
     groups = seen.groupBy("h", "t").agg(F.min(F.struct(F.col("id").isNotNull().alias("o"), F.col("id").alias("id"))).alias("k"), F.count("*").alias("n"))
     groups = groups.select("h", sha("t").alias("sha"), F.col("k.id").alias("keep"), "n", F.lit(True).alias("found"))
@@ -67,11 +63,5 @@ def exact_duplicates(
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns.
-
-    Of rows that repeat both id and text, one stays.
-    """
-    stays = exact_duplicates(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_id"), "text_sha256").distinct()
-    sha = F.sha2(normalised(F.col(f"d.{text_col}")), 256)
-    kept = docs.alias("d").join(stays.alias("s"), F.col(f"d.{id_col}").eqNullSafe(F.col("s._id")) & (sha == F.col("s.text_sha256")), "left_semi")
-    return kept
+    """The rows of docs that stay, with all their columns; rows that repeat an id and a text all stay."""
+    return without(docs, exact_duplicates(docs, id_col, text_col).where("not kept").select(id_col), id_col)

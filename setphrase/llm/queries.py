@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from setphrase.llm import exact_dedup, packing, wavelet
+from setphrase.llm import exact_dedup, packing, simhash, wavelet
 from setphrase.llm.common import shared_folder, table
 
 SQL: dict[str, str] = {}
@@ -35,6 +35,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), size=2048, end_id=0)
 
 
+def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_groups(table(spark, sf_dir, "documents"), shingle=3, tau=3)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 

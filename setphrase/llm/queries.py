@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from setphrase.llm import exact_dedup, packing, simhash, wavelet
+from setphrase.llm import embed_dedup, exact_dedup, packing, simhash, wavelet
 from setphrase.llm.common import shared_folder, table
 
 SQL: dict[str, str] = {}
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 

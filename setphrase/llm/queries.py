@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from setphrase.llm import embed_dedup, exact_dedup, packing, simhash, wavelet
-from setphrase.llm.common import shared_folder, table
+from setphrase.llm import embed_dedup, exact_dedup, html_main, langid, packing, simhash, url_rules, wavelet
+from setphrase.llm.common import crc32_of_id, shared_folder, table
 
 SQL: dict[str, str] = {}
 
@@ -43,6 +43,49 @@ def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"), shingle=3, tau=3)
 
 
+#: The contract's rules; the longest that fits wins.
+HOST_RULES = (
+    url_rules.HostRule("com", "/en/", "block"),
+    url_rules.HostRule("example.com", "/en/7", "allow"),
+    url_rules.HostRule("net", "/de/", "block"),
+    url_rules.HostRule("example.net", "/de/8", "block"),
+    url_rules.HostRule("org", "/es/", "block"),
+)
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge_urls(table(spark, sf_dir, "pages"), HOST_RULES)
+
+
+_FITS = " union all ".join(f"select '{r.host}' as h, '{r.path}' as p, '{r.verdict}' as v" for r in HOST_RULES)
+_PATTERNS = " or ".join(f"regexp_matches(host || lower(path), '{r.pattern}')" for r in url_rules.DEFAULT_PATTERNS)
+SQL["op7_url_filter"] = rf"""
+with cut as (select page_id, case when contains(url, '://') then regexp_replace(substr(url, strpos(url, '://') + 3), '[?#][\s\S]*$', '') else '' end as rest from pages),
+split as (
+  select page_id, translate(regexp_replace(rest, '/[\s\S]*$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    case when contains(rest, '/') then substr(rest, strpos(rest, '/')) else '' end as path
+  from cut),
+rules as ({_FITS}),
+fits as (
+  select page_id, arg_max(h || p, length(h || p)) as rule, arg_max(v, length(h || p)) as v
+  from split join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, p) group by page_id)
+select page_id, host, path, rule, coalesce(v, case when {_PATTERNS} then 'block' else 'allow' end) as verdict
+from split left join fits using (page_id)
+"""
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.pmod(crc32_of_id("doc_id"), F.lit(4)) == 2
+    model = langid.train(docs, ~held_out)
+    found = langid.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from setphrase.llm import embed_dedup, exact_dedup, html_main, langid, packing, simhash, url_rules, wavelet
+from setphrase.llm import embed_dedup, exact_dedup, html_main, langid, packing, simhash, toxicity, url_rules, wavelet
 from setphrase.llm.common import crc32_of_id, shared_folder, table
 
 SQL: dict[str, str] = {}
@@ -39,6 +39,13 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), size=2048, end_id=0)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), folds=3, held_out=1)
+    held_out = F.pmod(crc32_of_id("doc_id"), F.lit(3)) == 1
+    return toxicity.score(docs, model, threshold=0.7).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"), shingle=3, tau=3)
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from setphrase.llm import embed_dedup, exact_dedup, html_main, langid, packing, simhash, toxicity, url_rules, wavelet
+from setphrase.llm import embed_dedup, exact_dedup, html_main, langid, mixing, packing, simhash, toxicity, url_rules, wavelet
 from setphrase.llm.common import crc32_of_id, shared_folder, table
 
 SQL: dict[str, str] = {}
@@ -93,9 +94,42 @@ def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.extract(table(spark, sf_dir, "pages"))
 
 
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mixed(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "source", "lang", "topic", F.col("tokens").alias("n_tokens"), F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "sampled")
+
+
+def _raking_sql(rounds: int, exponent: float) -> str:
+    """IPF with its rounds written out: each fits one marginal of the one before."""
+    t = r"coalesce(text, '')"
+    trimmed = rf"regexp_replace({t}, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')"
+    parts = [
+        rf"""docs as materialized (select doc_id, coalesce(source, '{mixing.UNKNOWN.strip(chr(0))}?') as source, coalesce(lang, '{mixing.UNKNOWN.strip(chr(0))}?') as lang,
+  case when not regexp_matches({t}, '\S') then 'none' when regexp_matches({t}, '(?i)\blicensed under\b|\ball rights reserved\b') then 'licensed'
+    when regexp_matches({t}, '(?i)\b(token|password|api_key|secret)\s*=') then 'secret' when regexp_matches({t}, '!! \S+!!') then 'shouted'
+    when regexp_matches({t}, '[#$%&*]{{3}}') then 'marked' when length({t}) >= 4000 then 'long' else 'short' end as topic,
+  case when {trimmed} = '' then 0 else len(regexp_split_to_array({trimmed}, '[\x20\x09-\x0D]+')) end as n_tokens from documents)""",
+        "c0 as materialized (select source, lang, topic, sum(n_tokens)::double as tokens, sum(n_tokens)::double as w from docs group by all having sum(n_tokens) > 0)",
+    ]
+    for d in mixing.DIMS:
+        parts.append(f"t_{d} as materialized (select {d}, pow(sum(tokens), {exponent}) / sum(pow(sum(tokens), {exponent})) over () * (select sum(tokens) from c0) as want from c0 group by {d})")
+    k = 0
+    for _ in range(rounds):
+        for d in mixing.DIMS:
+            parts.append(f"c{k + 1} as materialized (select c.source, c.lang, c.topic, tokens, w * want / sum(w) over (partition by c.{d}) as w from c{k} c join t_{d} using ({d}))")
+            k += 1
+    parts.append(f"f as materialized (select source, lang, topic, w / tokens as factor, max(w / tokens) over () as top from c{k})")
+    draw = "('0x' || substr(md5('mix:' || doc_id), 1, 13))::bigint / 4503599627370496.0"
+    null = lambda c: f"nullif({c}, '{mixing.UNKNOWN.strip(chr(0))}?') as {c}"
+    return f"with {', '.join(parts)} select doc_id, {null('source')}, {null('lang')}, topic, n_tokens, round(coalesce(factor, 1), 6) as weight, round(coalesce(factor / top, 1), 6) as probability, {draw} < coalesce(factor / top, 1) as sampled from docs left join f using (source, lang, topic)"
+
+
+SQL["op10_source_mixing"] = _raking_sql(mixing.ROUNDS, 0.9)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return SQL | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from setphrase.plans import core_queries
+from setphrase.plans.core_queries import flagship
+from setphrase.plans.registry import QUERIES, SQL
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+__all__ = ["core_queries", "flagship", "oracle_sql", "queries"]
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

@@ -28,6 +28,7 @@ from setphrase.llm.common import Forest, connected_components, cut, sieve, sifte
 
 PARTS, WIDTH, BITS = 4, 16, 64
 BLOCK = 2048
+CHUNK = 1024
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 WORDS_AT_ONCE = 200_000
 P1, P2, P3, P4, P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
@@ -208,8 +209,8 @@ def near_groups(prints: DataFrame, tau: int = 3, verify: Callable[[DataFrame], D
     def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Cell rows of each fingerprint; a cell of more than BLOCK members is compared block by block."""
         for frame in frames:
-            for at in range(0, len(frame), 8192):
-                part_ = frame.iloc[at : at + 8192]
+            for at in range(0, len(frame), CHUNK):
+                part_ = frame.iloc[at : at + CHUNK]
                 fp, rep = part_["fp"].to_numpy(np.int64), part_["rep"].to_numpy(np.int64)
                 values = part_values(fp, groups)
                 t = thresholds(values, histogram, tau)
@@ -222,13 +223,16 @@ def near_groups(prints: DataFrame, tau: int = 3, verify: Callable[[DataFrame], D
                             hit = far[histogram[p][values[p][far] ^ m] > 0]
                             rows.append((hit, values[p][hit] ^ m, np.ones(len(hit), bool), np.zeros(len(hit), bool)))
                     who, value, probe, listed = (np.concatenate(x) for x in zip(*rows))
-                    blocks = -(-histogram[p][value] // BLOCK)
-                    mine = np.where(blocks > 1, block[who] % np.maximum(blocks, 1), 0)
-                    again = np.repeat(np.arange(len(who)), np.maximum(blocks, 1))
-                    other = np.arange(len(again)) - np.repeat(np.cumsum(np.maximum(blocks, 1)) - np.maximum(blocks, 1), np.maximum(blocks, 1))
+                    blocks = np.maximum(-(-histogram[p][value] // BLOCK), 1)
+                    mine = block[who] % blocks
+                    again = np.repeat(np.arange(len(who)), blocks)
+                    other = np.arange(len(again)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
                     low, high = np.minimum(mine[again], other), np.maximum(mine[again], other)
                     key = ((np.int64(p) << 16 | value[again]) << 44) | low << 22 | high
-                    yield pd.DataFrame({"cell": key, "fp": fp[who[again]], "rep": rep[who[again]], "flags": (probe[again] * 1 + listed[again] * 2).astype(np.int8)})
+                    flags = (probe * 1 + listed * 2).astype(np.int8)
+                    for cut_ in range(0, len(again), 100_000):
+                        some = again[cut_ : cut_ + 100_000]
+                        yield pd.DataFrame({"cell": key[cut_ : cut_ + 100_000], "fp": fp[who[some]], "rep": rep[who[some]], "flags": flags[some]})
 
     def links(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None

@@ -38,7 +38,7 @@ BACKOFF = 2.0
 MARGIN = 2.5
 CALIBRATION_ROWS = 6_000
 WORD = re.compile(r"[^\W\d_]+")
-CACHED = 300_000
+CACHED = 120_000
 
 
 def words(text: str) -> list[str]:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 TOKENIZER = "word_bpe_49k.json"
 SAFE = re.compile(r"[\t\n\r\x20-\x7e\xc0-\xff]*")
 PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
-CACHED = 120_000
+CACHED = 250_000
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -63,7 +63,7 @@ class WordEncoder:
                 self.pieces = {}
                 new = list(set().union(*split))
             parts = [PRETOKEN.findall(p) for p in new]
-            if len(self.words) > self.cached:
+            if len(self.words) > self.cached // 3:
                 self.words = {}
             unknown = list(set().union(*parts).difference(self.words))
             if unknown:

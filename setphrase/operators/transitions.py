@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from setphrase.functions import tokens as T
+from setphrase.functions.lineage import cut
 from setphrase.operators import context
 
 ROOT = "<PHRASE>"
@@ -51,14 +52,15 @@ def pruned_tree(edges: DataFrame, min_prob: float = 0.1) -> DataFrame:
 
 def reachable(edges: DataFrame, start: str = ROOT, depth: int = DEPTH) -> DataFrame:
     """(direction, node): nodes that can be reached from the start; every round joins only what is new."""
-    seen = edges.select("direction").distinct().withColumn("node", F.array(F.lit(start))).persist()
+    edges = cut(edges.select("direction", "src", "dst"))
+    seen = cut(edges.select("direction").distinct().withColumn("node", F.array(F.lit(start))))
     new = seen
     for _ in range(depth):
         onward = edges.join(new.withColumnRenamed("node", "src"), ["direction", "src"]).select("direction", F.col("dst").alias("node")).distinct()
-        new = onward.join(seen, ["direction", "node"], "left_anti").persist()
+        new = cut(onward.join(seen, ["direction", "node"], "left_anti"))
         if new.isEmpty():
             break
-        seen = seen.unionByName(new).persist()
+        seen = cut(seen.unionByName(new))
     return seen
 
 
@@ -66,7 +68,7 @@ def pruned(edges: DataFrame, min_prob: float = 0.1, tree: bool = True, depth: in
     """Likely edges whose source can be reached from the phrase."""
     if tree:
         return pruned_tree(edges, min_prob)
-    kept = pruned_words(edges, min_prob)
+    kept = cut(pruned_words(edges, min_prob))
     return kept.join(reachable(kept, depth=depth).withColumnRenamed("node", "src"), ["direction", "src"], "left_semi").select(*edges.columns)
 
 
@@ -81,17 +83,18 @@ def extensions(edges: DataFrame, min_split_prob: float = 0.1, min_extend_prob: f
     to the same word or words met more than twice. A path at min_extend_prob is "main" and takes
     its parent's place; a less likely one is "split" and takes the place of a split parent.
     """
+    edges = cut(edges.select("direction", "src", "dst", "prob"))
     step = edges.where(F.size("dst") == 1).select("direction", F.col("src")[0].alias("a"), F.col("dst")[0].alias("b"), "prob").where(~F.col("b").contains("<VAR-"))
-    paths = edges.select("direction").distinct().select("direction", F.array(F.lit(ROOT)).alias("path"), F.lit(1.0).alias("p"), F.lit(True).alias("main")).persist()
+    paths = cut(edges.select("direction").distinct().select("direction", F.array(F.lit(ROOT)).alias("path"), F.lit(1.0).alias("p"), F.lit(True).alias("main")))
     every, new = paths, paths
     for _ in range(depth):
         tail = new.withColumn("a", F.element_at("path", -1)).join(step, ["direction", "a"]).where("a <> b")
         grown = tail.select("direction", F.concat("path", F.array("b")).alias("path"), (F.col("p") * F.col("prob")).alias("p"))
         grown = grown.where((F.col("p") >= min_split_prob) & (F.size(F.filter("path", lambda w: w == F.element_at("path", -1))) <= 2))
-        new = grown.withColumn("main", F.col("p") >= min_extend_prob).persist()
+        new = cut(grown.withColumn("main", F.col("p") >= min_extend_prob))
         if new.isEmpty():
             break
-        every = every.unionByName(new).persist()
+        every = every.unionByName(new)
     parents = every.where(F.size("path") > 1).select("direction", F.slice("path", F.lit(1), F.size("path") - 1).alias("path"), F.col("main").alias("by_main"))
     covered = parents.groupBy("direction", "path").agg(F.max("by_main").alias("by_main"))
     left = every.join(covered, ["direction", "path"], "left")
@@ -121,7 +124,7 @@ def extend_phrase(phrase: str, ctx: DataFrame, variant_of: DataFrame | None = No
 
 def dot(edges: DataFrame, phrase: str, direction: str, exclude_var: bool = False, depth: int = DEPTH) -> DataFrame:
     """(line_no, line): Graphviz text of what can be reached in one direction; arrows of pre graphs point at the phrase."""
-    own = edges.where(F.col("direction") == direction)
+    own = cut(edges.where(F.col("direction") == direction))
     if exclude_var:
         own = own.where(~F.element_at("src", -1).startswith("<VAR"))
     own = own.join(reachable(own, depth=depth).withColumnRenamed("node", "src"), ["direction", "src"], "left_semi")

@@ -2,9 +2,9 @@
 
 The word BPE of ``word_bpe_49k.json`` lower-cases, drops white space and never merges across
 its pre-tokens, so the ids of a text are those of its pre-tokens in order. Each worker keeps
-the ids of words it has met; only new words reach the library, many in one call. A text with
-a character outside ``SAFE`` (where its normaliser does more than lower-case) is encoded whole
-by the library.
+the ids of words it has met; only new words reach the library's model, past its normaliser and
+pre-tokenizer. A text with a character outside ``SAFE`` (where its normaliser does more than
+lower-case) is encoded whole by the library.
 """
 
 from __future__ import annotations
@@ -30,30 +30,26 @@ class WordEncoder:
 
     def __init__(self, path: str, cached: int = CACHED):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True
         vocab = self.lib.get_vocab(with_added_tokens=True)
         if max(vocab.values()) > 0xFFFF:
             raise ValueError("ids above 65535 don't fit the 16-bit layout")
-        self.ends = np.zeros(max(vocab.values()) + 1, bool)
-        self.ends[[i for word, i in vocab.items() if word.endswith("</w>")]] = True
+        self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.model, self.codes = self.lib.model, [i.to_bytes(2, "little") for i in range(max(vocab.values()) + 1)]
         self.cached, self.words, self.pieces = cached, {}, {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
     def _learn(self, words: list[str]) -> None:
-        ids = np.array(self.lib.encode(" ".join(words), add_special_tokens=False).ids, "<u2")
-        ends = (np.flatnonzero(self.ends[ids]) + 1) * 2
-        if len(ends) != len(words):
-            self.words.update((w, self.whole(w)) for w in words)
-            return
-        raw, at = ids.tobytes(), 0
-        for word, end in zip(words, ends.tolist()):
-            self.words[word] = raw[at:end]
-            at = end
+        tokenize, codes = self.model.tokenize, self.codes
+        for word in words:
+            # the model knows words by their bytes, each a character; ASCII stands for itself
+            found = tokenize(word if word.isascii() else self.bytes.pre_tokenize_str(word)[0][0])
+            self.words[word] = codes[found[0].id] if len(found) == 1 else b"".join([codes[t.id] for t in found])
 
     def _split(self, texts: list[str]) -> list[list[str]]:
         split = [t.lower().split() for t in texts]
@@ -68,9 +64,9 @@ class WordEncoder:
             unknown = list(set().union(*parts).difference(self.words))
             if unknown:
                 self._learn(unknown)
-            ids = self.words.__getitem__
+            ids = self.words
             for piece, part in zip(new, parts):
-                self.pieces[piece] = b"".join(map(ids, part))
+                self.pieces[piece] = ids[part[0]] if len(part) == 1 else b"".join([ids[w] for w in part])
         return split
 
     def ids(self, texts: list[str]) -> list[bytes]:

@@ -9,8 +9,9 @@ length and by the root of it, on a scale from 0 to 1 by a logistic fit on labell
 the counts didn't see.
 
 A word counts once in a text, in training and in scoring, since a word that is used in a text is
-used again there. Differences below MARGIN (common words that one class's languages and topics
-prefer) are noise, of which long texts hold much, and weigh nothing.
+used again there. Of a word's difference only what exceeds MARGIN for the toxic class counts:
+toxic texts consist mostly of ordinary words too, and that a class's few texts in some language
+lack a word says nothing, but would outweigh all else in a long text.
 
 Counts are of all labelled texts (they grow with the input); the model that is sent out is a
 hash table of fixed size (CELLS counts for each level and class).
@@ -37,7 +38,7 @@ CELLS = 1 << 18
 STEMS = (5, 4)
 DISCOUNT = 0.75
 BACKOFF = 2.0
-MARGIN = 2.5
+MARGIN = 1.8
 CALIBRATION_ROWS = 6_000
 WORD = re.compile(r"[^\W\d_]+")
 CACHED = 250_000
@@ -67,7 +68,7 @@ class ToxicityModel:
         return self.__dict__ | {"_values": {}, "_sizes": {}, "_tables": None}
 
     def word(self, word: str) -> float:
-        """log P(word | toxic) - log P(word | ordinary), drawn towards 0 by MARGIN.
+        """log P(word | toxic) - log P(word | ordinary) less MARGIN, 0 at least.
 
         By Bayes the difference is that of the log-odds of the class given the word and of the
         class alone. The class's share of a word is its discounted count, and what discounting
@@ -90,7 +91,7 @@ class ToxicityModel:
             taken = (toxic - own) + min(ordinary, DISCOUNT) + BACKOFF
             share = (own + taken * share) / (total + BACKOFF)
             ratio = log(share / (1 - share)) - base
-        return ratio - MARGIN if ratio > MARGIN else ratio + MARGIN if ratio < -MARGIN else 0.0
+        return max(0.0, ratio - MARGIN)
 
     def _prepare(self) -> None:
         """Plain arrays, from the shortest stem to the word: single cells of them are read faster."""

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +21,29 @@ from pyspark.sql import functions as F
 TOKENIZER = "word_bpe_49k.json"
 SAFE = re.compile(r"[\t\n\r\x20-\x7e\xc0-\xff]*")
 PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
-CACHED = 250_000
+CACHED = 400_000
 _encoders: dict[str, WordEncoder] = {}
 
 
+class _Cache(dict):
+    """Values made on demand. Past ``most`` keys a generation becomes the old one, from which what is met again is taken over."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int):
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
+
+    def turn(self) -> None:
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+
+
 class WordEncoder:
     """ids(texts): little-endian unsigned 16-bit ids of each text, as bytes."""
 
@@ -39,40 +58,27 @@ class WordEncoder:
             raise ValueError("ids above 65535 don't fit the 16-bit layout")
         self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.model, self.codes = self.lib.model, [i.to_bytes(2, "little") for i in range(max(vocab.values()) + 1)]
-        self.cached, self.words, self.pieces = cached, {}, {}
+        self.words, self.pieces = _Cache(self._word, cached // 6), _Cache(self._piece, cached // 2)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
-    def _learn(self, words: list[str]) -> None:
-        tokenize, codes = self.model.tokenize, self.codes
-        for word in words:
-            # the model knows words by their bytes, each a character; ASCII stands for itself
-            found = tokenize(word if word.isascii() else self.bytes.pre_tokenize_str(word)[0][0])
-            self.words[word] = codes[found[0].id] if len(found) == 1 else b"".join([codes[t.id] for t in found])
-
-    def _split(self, texts: list[str]) -> list[list[str]]:
-        split = [t.lower().split() for t in texts]
-        new = list(set().union(*split).difference(self.pieces))
-        if new:
-            if len(self.pieces) + len(new) > self.cached:
-                self.pieces = {}
-                new = list(set().union(*split))
-            parts = [PRETOKEN.findall(p) for p in new]
-            if len(self.words) > self.cached // 3:
-                self.words = {}
-            unknown = list(set().union(*parts).difference(self.words))
-            if unknown:
-                self._learn(unknown)
-            ids = self.words
-            for piece, part in zip(new, parts):
-                self.pieces[piece] = ids[part[0]] if len(part) == 1 else b"".join([ids[w] for w in part])
-        return split
+    def _word(self, word: str) -> bytes:
+        # the model knows words by their bytes, each a character; ASCII stands for itself
+        found = self.model.tokenize(word if word.isascii() else self.bytes.pre_tokenize_str(word)[0][0])
+        return self.codes[found[0].id] if len(found) == 1 else b"".join([self.codes[t.id] for t in found])
+
+    def _piece(self, piece: str) -> bytes:
+        parts = PRETOKEN.findall(piece)
+        return self.words[parts[0]] if len(parts) == 1 else b"".join([self.words[w] for w in parts])
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        safe = [bool(SAFE.fullmatch(t)) for t in texts]
-        split = iter(self._split([t for t, ok in zip(texts, safe) if ok]))
-        return [b"".join(map(self.pieces.__getitem__, next(split))) if ok else self.whole(t) for t, ok in zip(texts, safe)]
+        get, out = self.pieces.__getitem__, []
+        for text in texts:
+            out.append(b"".join(map(get, text.lower().split())) if SAFE.fullmatch(text) else self.whole(text))
+            self.pieces.turn()
+            self.words.turn()
+        return out
 
 
 def encoder(name: str = TOKENIZER) -> WordEncoder:

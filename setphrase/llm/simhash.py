@@ -14,7 +14,7 @@ spanning forest of the links that it verified, at most a row for each member.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -31,6 +31,7 @@ BLOCK = 2048
 CHUNK = 1024
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 WORDS_AT_ONCE = 200_000
+MEMBERS, LETTERS = 512, 4_000_000
 P1, P2, P3, P4, P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
 
@@ -184,16 +185,8 @@ def link_block(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, probe: np.ndarr
     return a[a != b], b[a != b]
 
 
-def near_groups(prints: DataFrame, tau: int = 3, verify: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Rows (id, fp, component_id) from rows (id, fp): components of fingerprints within tau bits of each other.
-
-    ``verify`` may drop rows of the links (a, b), pairs of ids that stand for their fingerprints.
-
-    Equal fingerprints are one node, so copies cost nothing beyond one aggregation. A null id
-    never stands for others unless all rows of a fingerprint have one.
-    """
-    prints = cut(prints)
-    distinct = cut(prints.groupBy("fp").agg(F.min("id").alias("rep")))
+def near_links(distinct: DataFrame, tau: int) -> DataFrame:
+    """Links (a, b) that connect, among rows (fp, rep) of different fingerprints, those within tau bits of each other."""
     both, n = _correlations(distinct)
     groups = group_bits(both, n)
 
@@ -253,10 +246,18 @@ def near_groups(prints: DataFrame, tau: int = 3, verify: Callable[[DataFrame], D
 
     known = distinct.where("rep is not null")
     dealt = known.mapInPandas(spread, "cell long, fp long, rep long, flags byte").repartition("cell").sortWithinPartitions("cell", "rep")
-    edges = cut(dealt.mapInPandas(links, "a long, b long").distinct())
-    if verify:
-        edges = cut(verify(edges))
-    components = connected_components(edges)
+    return cut(dealt.mapInPandas(links, "a long, b long").distinct())
+
+
+def near_groups(prints: DataFrame, tau: int = 3) -> DataFrame:
+    """Rows (id, fp, component_id) from rows (id, fp): components of fingerprints within tau bits of each other.
+
+    Equal fingerprints are one node, so copies cost nothing beyond one aggregation. A null id
+    never stands for others unless all rows of a fingerprint have one.
+    """
+    prints = cut(prints)
+    distinct = cut(prints.groupBy("fp").agg(F.min("id").alias("rep")))
+    components = connected_components(near_links(distinct, tau))
     named = cut(distinct.join(components, distinct["rep"] == components["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id")))
     return prints.join(named, "fp").select("id", "fp", "component_id")
 
@@ -272,25 +273,20 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return found.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def similar_enough(docs: DataFrame, edges: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """The links (a, b) whose whole texts have a Jaccard similarity of word shingles of at least so much.
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    runs = list(shingle_hashes((text or "").encode("utf-8", "surrogatepass"), shingle))
+    return np.unique(np.concatenate(runs)) if runs else np.zeros(0, np.uint64)
 
-    Only texts that a link names (by a sieve of the ids) are shuffled.
-    """
-    ends = cut(edges.select(F.explode(F.array("a", "b")).alias("k")).distinct())
-    texts = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t"))
-    texts = sifted(texts, "k", cut(sieve(ends, "k"))).where("_hit").select("k", "t")
-    pairs = edges.join(texts.select(F.col("k").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("k").alias("b"), F.col("t").alias("tb")), "b")
 
-    def hashes(text: str | None) -> np.ndarray:
-        runs = list(shingle_hashes((text or "").encode("utf-8", "surrogatepass"), shingle))
-        return np.unique(np.concatenate(runs)) if runs else np.zeros(0, np.uint64)
+def similar_enough(texts: DataFrame, edges: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The links (a, b) whose texts (rows k, t) have a Jaccard similarity of word shingles of at least so much."""
+    pairs = edges.join(texts.select(F.col("k").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("k").alias("b"), F.col("t").alias("tb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
             for a, b in zip(batch.column(2), batch.column(3)):
-                x, y = hashes(a.as_py()), hashes(b.as_py())
+                x, y = shingle_set(a.as_py(), shingle), shingle_set(b.as_py(), shingle)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(both >= similarity * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
@@ -298,14 +294,88 @@ def similar_enough(docs: DataFrame, edges: DataFrame, id_col: str, text_col: str
     return pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def compare_cell(node: np.ndarray, group: np.ndarray, left: np.ndarray, right: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Pairs of a left and a right row that are similar enough, of different groups and not connected by an earlier pair."""
+    names, label = np.unique(group, return_inverse=True)
+    sizes = np.array([len(x) for x in sets], np.int64)
+    joined = np.concatenate(sets) if sizes.sum() else np.zeros(0, np.uint64)
+    values, flat = np.unique(joined, return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    ends = np.cumsum(sizes)
+    flag, found = np.zeros(len(values), bool), []
+    for a in np.flatnonzero(left):
+        mine = flat[ends[a] - sizes[a] : ends[a]]
+        flag[mine] = True
+        both = np.bincount(owner[flag[flat]], minlength=len(sets))
+        flag[mine] = False
+        for b in np.flatnonzero(right & (both >= similarity * (sizes[a] + sizes - both))):
+            if label[a] != label[b]:
+                found.append((int(node[a]), int(node[b])))
+                label[label == label[b]] = label[a]
+    return found
+
+
+def missed_links(texts: DataFrame, edges: DataFrame, kept: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Similar pairs (a, b) among the members of a component of ``edges`` that ``kept``, the verified ones, don't connect.
+
+    Members of one verified group need no comparison with each other. The largest group of a
+    component is only compared with the rest of it; both are cut into blocks of bounded size.
+    """
+    groups = connected_components(kept).withColumnRenamed("component", "group")
+    placed = connected_components(edges).join(groups, "node", "left").withColumn("group", F.coalesce("group", "node"))
+    placed = cut(placed.join(texts.select(F.col("k").alias("node"), F.length("t").alias("size")), "node"))
+    sums = placed.groupBy("component", "group").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    whole = sums.groupBy("component").agg(F.max(F.struct("n", "size", "group")).alias("main"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.count("*").alias("groups"))
+    blocks = lambda n, size: F.greatest(F.ceil(n / F.lit(MEMBERS)), F.ceil(size / F.lit(LETTERS)), F.lit(1))
+    rest = blocks(F.col("n") - F.col("main.n"), F.col("size") - F.col("main.size"))
+    open_ = cut(whole.where("groups > 1").select("component", F.col("main.group").alias("main"), blocks(F.col("main.n"), F.col("main.size")).alias("mains"), rest.alias("rests")))
+    rows = placed.join(open_, "component").withColumn("in_main", F.col("group") == F.col("main"))
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("in_main"), F.col("mains")).otherwise(F.col("rests")))
+    # blocks of the rest come first, those of the largest group after them
+    rows = rows.withColumn("own", own + F.when(F.col("in_main"), F.col("rests")).otherwise(0))
+    other = F.explode(F.sequence(F.lit(0), F.when(F.col("in_main"), F.col("rests")).otherwise(F.col("rests") + F.col("mains")) - 1))
+    rows = rows.select("component", "node", "group", "own", other.alias("other"))
+    rows = rows.select("component", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node", "group", "own")
+    rows = rows.join(texts.withColumnRenamed("k", "node"), "node").select("component", "low", "high", "node", "group", "own", "t")
+    key = ["component", "low", "high"]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for batch in batches:
+            for *cell, node, group, own, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if cell != at:
+                    yield found(at, held)
+                    at, held = cell, []
+                held.append((node, group, own, shingle_set(text, shingle)))
+        yield found(at, held)
+
+    def found(cell: list | None, held: list) -> pa.RecordBatch:
+        pairs = []
+        if len(held) > 1:
+            node, group, own = (np.array(x, np.int64) for x in list(zip(*held))[:3])
+            pairs = compare_cell(node, group, own == cell[1], own == cell[2], [h[3] for h in held], similarity)
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    return rows.repartition(*key).sortWithinPartitions(*key, "node").mapInArrow(compare, "a long, b long")
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = 7, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of each group of near-duplicates (its smallest id), with all its columns.
 
     Fingerprints of three-word shingles within ``tau`` bits propose links; a link counts if the
-    texts' ``shingle``-word sets are at least so similar. Two texts without words are equal.
+    texts' ``shingle``-word sets are at least so similar. All pairs that the proposed links
+    connect are compared, unless verified links connect them. Two texts without words are equal.
     Texts with one and the same fingerprint are not compared again.
     """
     prints = cut(fingerprints(docs, id_col, text_col, 3))
-    found = near_groups(prints, tau, lambda edges: similar_enough(docs, edges, id_col, text_col, shingle, similarity))
-    gone = found.where(~F.col("id").eqNullSafe(F.col("component_id"))).select("id")
+    nodes = cut(prints.groupBy("fp").agg(F.min("id").alias("rep")))
+    edges = near_links(nodes, tau)
+    # only texts that a link names (by a sieve of the ids) are shuffled
+    ends = cut(edges.select(F.explode(F.array("a", "b")).alias("k")).distinct())
+    texts = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t"))
+    texts = cut(sifted(texts, "k", cut(sieve(ends, "k"))).where("_hit").select("k", "t").join(ends, "k", "left_semi"))
+    kept = cut(similar_enough(texts, edges, shingle, similarity))
+    links = cut(kept.unionByName(missed_links(texts, edges, kept, shingle, similarity)))
+    found = nodes.join(connected_components(links), F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    gone = prints.join(cut(found), "fp").where(~F.col("id").eqNullSafe(F.col("component_id"))).select("id")
     return without(docs, gone, id_col)

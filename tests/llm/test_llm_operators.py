@@ -298,3 +298,24 @@ def test_pipeline_runs_whole(spark, data):
     rows = corpus_pipeline.run(spark, str(data)).collect()
     assert rows and {"doc_id", "sequence_id", "offset"} <= set(rows[0].asDict())
     check_packing(rows)
+
+
+def near_rows(spark, texts):
+    return docs_frame(spark, [(k, t, "en", "a", 0) for k, t in texts])
+
+
+def test_near_links_are_checked_before_a_forest(spark, monkeypatch):
+    """Chains and a smallest id that is near by its fingerprint only: B and C are copies all the same."""
+    words = [f"w{i}" for i in range(300)]
+    edit = lambda w, at, by: [*w[:at], *by, *w[at + len(by) :]]
+    b = edit(words, 20, [f"b{i}" for i in range(28)])
+    c = edit(b, 290, ["c"])
+    d = edit(c, 200, [f"d{i}" for i in range(28)])
+    monkeypatch.setattr(simhash, "near_links", lambda nodes, tau: spark.createDataFrame([(2, 1), (3, 1), (4, 1)], "a long, b long"))
+    rows = [(1, " ".join(edit(words, 60, [f"a{i}" for i in range(40)]))), (2, " ".join(b)), (3, " ".join(c)), (4, " ".join(d))]
+    sets = [set(simhash.shingle_hashes(t.encode(), 5).__next__().tolist()) for _, t in rows]
+    near = [(i + 1, j + 1) for j in range(4) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert near == [(2, 3), (3, 4)] or near == [(2, 3), (2, 4), (3, 4)]
+    for members in (512, 1):
+        monkeypatch.setattr(simhash, "MEMBERS", members)
+        assert {r["doc_id"] for r in simhash.drop_near_duplicates(near_rows(spark, rows)).collect()} == {1, 2}

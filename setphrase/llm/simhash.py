@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from setphrase.llm.common import Forest, connected_components, cut, sieve, sifted, without
@@ -32,6 +32,7 @@ CHUNK = 1024
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 WORDS_AT_ONCE = 200_000
 MEMBERS, LETTERS = 512, 4_000_000
+BANDS, BAND_ROWS = 20, 5
 P1, P2, P3, P4, P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
 
@@ -359,17 +360,70 @@ def missed_links(texts: DataFrame, edges: DataFrame, kept: DataFrame, shingle: i
     return rows.repartition(*key).sortWithinPartitions(*key, "node").mapInArrow(compare, "a long, b long")
 
 
+def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """Rows (id, h, fp, bands): the text's MD5, its fingerprint of three-word shingles, and BANDS fingerprints of minima.
+
+    Each band hashes BAND_ROWS minima of the ``shingle``-word set under different hash functions
+    (b = a x + c mod 2**64, the upper bits), so two texts agree in a band with probability J ** BAND_ROWS
+    for a Jaccard similarity J, whatever kind of edit parts them. A text without words has none.
+    """
+    rng = np.random.default_rng(7)
+    factor, plus = (rng.integers(0, 2**63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
+
+    def bands(text: str | None) -> np.ndarray | None:
+        least = np.full(BANDS * BAND_ROWS, 2**64 - 1, np.uint64)
+        some = False
+        for h in shingle_hashes((text or "").encode("utf-8", "surrogatepass"), shingle):
+            some = True
+            for at in range(0, len(h), CHUNK):
+                x = h[at : at + CHUNK]
+                x = (x ^ (x >> np.uint64(29))) * P1
+                least = np.minimum(least, mixed(x[:, None] * factor + plus).min(0))
+        if not some:
+            return None
+        key = np.arange(1, BANDS + 1, dtype=np.uint64) * P2
+        for row in least.reshape(BANDS, BAND_ROWS).T:
+            key = mixed(key * P3 + row)
+        return key.view(np.int64)
+
+    def mixed(x: np.ndarray) -> np.ndarray:
+        return x ^ (x >> np.uint64(32))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(2).to_pylist()
+            made = np.fromiter((fingerprint(t) for t in texts), np.uint64, len(batch))
+            keys = pa.array([bands(t) for t in texts], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made.view(np.int64)), keys], ["id", "h", "fp", "bands"])
+
+    source = docs.select(F.col(id_col).cast("long").alias("id"), text_hash(text_col).alias("h"), F.col(text_col).alias("text"))
+    return source.mapInArrow(run, "id long, h binary, fp long, bands array<long>")
+
+
+def text_hash(text_col: str) -> Column:
+    return F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+
+
+def band_links(banded: DataFrame) -> DataFrame:
+    """Links (a, b) of rows (node, bands) that share a band, each with the smallest node of the band."""
+    keyed = cut(banded.select("node", F.explode("bands").alias("band")))
+    least = cut(keyed.groupBy("band").agg(F.min("node").alias("b"), F.max("node").alias("top")).where("b < top").select("band", "b"))
+    return keyed.join(least, "band").where("node > b").select(F.col("node").alias("a"), "b").distinct()
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = 7, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of each group of near-duplicates (its smallest id), with all its columns.
 
-    Fingerprints of three-word shingles within ``tau`` bits propose links; a link counts if the
-    texts' ``shingle``-word sets are at least so similar. All pairs that the proposed links
-    connect are compared, unless verified links connect them. Two texts without words are equal.
+    Fingerprints of three-word shingles within ``tau`` bits propose links, and so do the bands of
+    ``shingle``-word sets (J ** BAND_ROWS in each of BANDS); a link counts if the texts'
+    ``shingle``-word sets are at least so similar. All pairs that the proposed links connect are
+    compared, unless verified links connect them. Two texts without words are equal.
     Texts with one and the same fingerprint are not compared again.
     """
-    prints = cut(fingerprints(docs, id_col, text_col, 3))
+    prints = cut(sketches(docs, id_col, text_col, shingle))
     nodes = cut(prints.groupBy("fp").agg(F.min("id").alias("rep")))
-    edges = near_links(nodes, tau)
+    banded = prints.join(nodes, "fp").select(F.col("rep").alias("node"), "bands")
+    edges = cut(near_links(nodes, tau).unionByName(band_links(banded)).distinct())
     # only texts that a link names (by a sieve of the ids) are shuffled
     ends = cut(edges.select(F.explode(F.array("a", "b")).alias("k")).distinct())
     texts = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t"))

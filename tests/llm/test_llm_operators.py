@@ -319,3 +319,27 @@ def test_near_links_are_checked_before_a_forest(spark, monkeypatch):
     for members in (512, 1):
         monkeypatch.setattr(simhash, "MEMBERS", members)
         assert {r["doc_id"] for r in simhash.drop_near_duplicates(near_rows(spark, rows)).collect()} == {1, 2}
+
+
+def test_near_duplicates_recall_from_0_8(spark):
+    """Scattered one-word edits and truncated texts, held to the shingle sets themselves."""
+    rng = random.Random(11)
+    rows, near = [], 0
+    for i in range(400):
+        words = [f"w{rng.randrange(100_000)}" for _ in range(rng.randrange(80, 300))]
+        want, n = rng.uniform(0.8, 0.9), len(words)
+        if i % 2:
+            other = words[: max(5, round(want * (n - 4)) + 5)]
+        else:
+            other = list(words)
+            for at in rng.sample(range(n), max(1, round((1 - want) / (1 + want) * n / 5))):
+                other[at] = f"x{i}"
+        x, y = (set(zip(*(w[k:] for k in range(5)))) for w in (words, other))
+        if len(x & y) >= 0.8 * len(x | y):
+            near += 1
+            rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(near_rows(spark, rows)).select("doc_id").collect()}
+    found = sum(k not in kept for k, _ in rows if k % 2)
+    print(f"recall {found} of {near}")
+    assert near >= 250 and all(k in kept for k, _ in rows if k % 2 == 0)
+    assert found >= 0.98 * near

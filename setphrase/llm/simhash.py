@@ -418,18 +418,25 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     ``shingle``-word sets (J ** BAND_ROWS in each of BANDS); a link counts if the texts'
     ``shingle``-word sets are at least so similar. All pairs that the proposed links connect are
     compared, unless verified links connect them. Two texts without words are equal.
-    Texts with one and the same fingerprint are not compared again.
+    Texts are the nodes: different texts of one fingerprint are compared like any others.
+    A text's rows go except those with its smallest id; null is the largest.
     """
     prints = cut(sketches(docs, id_col, text_col, shingle))
-    nodes = cut(prints.groupBy("fp").agg(F.min("id").alias("rep")))
-    banded = prints.join(nodes, "fp").select(F.col("rep").alias("node"), "bands")
-    edges = cut(near_links(nodes, tau).unionByName(band_links(banded)).distinct())
-    # only texts that a link names (by a sieve of the ids) are shuffled
-    ends = cut(edges.select(F.explode(F.array("a", "b")).alias("k")).distinct())
-    texts = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t"))
-    texts = cut(sifted(texts, "k", cut(sieve(ends, "k"))).where("_hit").select("k", "t").join(ends, "k", "left_semi"))
+    # numbered in the order of ids, so that the smallest node has the smallest id
+    nodes = prints.groupBy("h").agg(F.min("id").alias("first"), F.min("fp").alias("fp"))
+    nodes = cut(nodes.orderBy(F.col("first").asc_nulls_last(), "h").withColumn("node", F.monotonically_increasing_id()))
+    distinct = cut(nodes.groupBy("fp").agg(F.min("node").alias("rep")))
+    alike = nodes.join(distinct, "fp").where("node > rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
+    banded = prints.where("bands is not null").join(nodes.select("h", "node"), "h").select("node", "bands")
+    edges = cut(near_links(distinct, tau).unionByName(alike).unionByName(band_links(banded)).distinct())
+    # only texts that a link names (by a sieve of their hashes) are shuffled
+    ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    ends = cut(nodes.select("h", "node").join(ends, "node"))
+    texts = sifted(docs.select(text_hash(text_col).alias("h"), F.coalesce(F.col(text_col), F.lit("")).alias("t")), "h", cut(sieve(ends, "h"))).where("_hit")
+    texts = cut(texts.select("h", "t").distinct().join(ends, "h").select(F.col("node").alias("k"), "t"))
     kept = cut(similar_enough(texts, edges, shingle, similarity))
     links = cut(kept.unionByName(missed_links(texts, edges, kept, shingle, similarity)))
-    found = nodes.join(connected_components(links), F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    gone = prints.join(cut(found), "fp").where(~F.col("id").eqNullSafe(F.col("component_id"))).select("id")
+    later = connected_components(links).where("node > component").select("node", F.lit(True).alias("later"))
+    decided = cut(nodes.join(later, "node", "left").select("h", "first", "later"))
+    gone = prints.join(decided, "h").where(F.col("later").isNotNull() | ~F.col("id").eqNullSafe(F.col("first"))).select("id")
     return without(docs, gone, id_col)

@@ -343,3 +343,12 @@ def test_near_duplicates_recall_from_0_8(spark):
     print(f"recall {found} of {near}")
     assert near >= 250 and all(k in kept for k, _ in rows if k % 2 == 0)
     assert found >= 0.98 * near
+
+
+def test_near_duplicates_of_one_fingerprint(spark):
+    """Texts that repeat one shingle have its hash as fingerprint, whatever else they say."""
+    junk = "buy now cheap " * 120
+    texts = [junk + " ".join(f"{k}{i}" for i in range(60)) for k in "abc"]
+    assert len({simhash.fingerprint(t) for t in texts}) == 1
+    texts.append(texts[1].replace("b30", "x"))
+    assert {r["doc_id"] for r in simhash.drop_near_duplicates(near_rows(spark, list(enumerate(texts)))).collect()} == {0, 1, 2}

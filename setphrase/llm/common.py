@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
+from operator import and_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,11 +53,17 @@ def sifted(df: DataFrame, key: str, bitmap: DataFrame, bits: int = 24) -> DataFr
     return found.withColumn("_hit", hit).drop("_w", "_b", "_bits")
 
 
-def without(df: DataFrame, gone: DataFrame, key: str) -> DataFrame:
-    """df without the rows whose key is in gone's first column; only rows that pass a sieve of gone's keys are shuffled."""
-    gone = cut(gone.toDF("_gone").distinct())
-    marked = sifted(df, key, cut(sieve(gone, "_gone")))
-    kept = marked.where("_hit").join(gone, F.col(key).eqNullSafe(F.col("_gone")), "left_anti")
+def without(df: DataFrame, gone: DataFrame, *keys: Column) -> DataFrame:
+    """df without the rows whose keys are a row of gone (null equals null); only rows that pass a sieve of gone's first key are shuffled, and only theirs are the other keys made.
+
+    An id alone doesn't name a row (it may be null or repeated): keys should hold what decided, such as a hash of the text.
+    """
+    names = [f"_gone{i}" for i in range(len(keys))]
+    gone = cut(gone.toDF(*names).distinct())
+    marked = sifted(df.withColumn("_key0", keys[0]), "_key0", cut(sieve(gone, "_gone0")))
+    same = [F.col(f"_key{i}").eqNullSafe(F.col(name)) for i, name in enumerate(names)]
+    keyed = marked.where("_hit").withColumns({f"_key{i}": key for i, key in enumerate(keys)})
+    kept = keyed.join(gone, reduce(and_, same), "left_anti").select(marked.columns)
     return marked.where("not _hit").unionByName(kept).select(*[F.col(f"`{c}`") for c in df.columns])
 
 

@@ -64,4 +64,5 @@ def exact_duplicates(
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns; rows that repeat an id and a text all stay."""
-    return without(docs, exact_duplicates(docs, id_col, text_col).where("not kept").select(id_col), id_col)
+    gone = exact_duplicates(docs, id_col, text_col).where("not kept").select(id_col, "text_sha256")
+    return without(docs, gone, F.col(id_col), F.sha2(normalised(text_col), 256))

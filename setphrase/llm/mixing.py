@@ -87,6 +87,7 @@ def mixed(
     source_col: str = "source",
     lang_col: str = "lang",
     cells_on_driver: int = CELLS_ON_DRIVER,
+    row_col: str | None = None,
 ) -> DataFrame:
     """Rows (id, source, lang, topic, tokens, weight, probability, draw, sampled) for every row of docs.
 
@@ -96,7 +97,7 @@ def mixed(
     ``probability`` is the weight over the largest weight of any cell, so no document is wanted
     more than once. A null source or language is a value of its own. Documents without tokens
     have nothing to weigh: they are sampled with probability 1. Rows that repeat an id are drawn
-    alike. Up to ``cells_on_driver`` cells are fitted on the driver (their number is counted
+    alike; a row with a null id is drawn by its text. ``row_col`` adds the whole row as a struct. Up to ``cells_on_driver`` cells are fitted on the driver (their number is counted
     first); more are fitted by joins and sums, with the same result.
     """
     named = docs.select(
@@ -105,6 +106,8 @@ def mixed(
         F.coalesce(F.col(lang_col), F.lit(UNKNOWN)).alias("lang"),
         topic(text_col).alias("topic"),
         n_tokens(text_col).alias("tokens"),
+        F.coalesce(F.col(id_col).cast("long").cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).alias("drawn_by"),
+        *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row_col)] if row_col else []),
     )
     spark = docs.sparkSession
     cells = named.groupBy(*DIMS).agg(F.sum("tokens").alias("tokens"))
@@ -143,14 +146,12 @@ def mixed(
     found = named.join(F.broadcast(factors) if n <= cells_on_driver else factors, list(DIMS), "left")
     weight = F.when(F.col("tokens") > 0, F.col("factor")).otherwise(F.lit(1.0))
     probability = F.when(F.col("tokens") > 0, F.col("factor") / F.col("top")).otherwise(F.lit(1.0))
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("id").cast("string"), F.lit(""))).cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+    draw = F.conv(F.substring(F.md5(F.concat(F.lit("mix:"), F.col("drawn_by")).cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
     null = lambda c: F.when(F.col(c) != UNKNOWN, F.col(c)).alias(c)
-    out = found.select("id", null("source"), null("lang"), "topic", "tokens", weight.alias("weight"), probability.alias("probability"), draw.alias("draw"))
+    out = found.select("id", null("source"), null("lang"), "topic", "tokens", weight.alias("weight"), probability.alias("probability"), draw.alias("draw"), *([row_col] if row_col else []))
     return out.withColumn("sampled", F.col("draw") < F.col("probability")).withColumnRenamed("id", id_col)
 
 
 def sample(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The sampled rows of docs, with all their columns."""
-    from setphrase.llm.common import without
-
-    return without(docs, mixed(docs, id_col=id_col, **options).where("not sampled").select(id_col), id_col)
+    return mixed(docs, id_col=id_col, row_col="_row", **options).where("sampled").select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])

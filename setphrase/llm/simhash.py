@@ -343,7 +343,8 @@ def missed_links(texts: DataFrame, edges: DataFrame, kept: DataFrame, shingle: i
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
         for batch in batches:
-            for *cell, node, group, own, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for row in zip(*batch.columns):
+                *cell, node, group, own, text = (x.as_py() for x in row)
                 if cell != at:
                     yield found(at, held)
                     at, held = cell, []
@@ -391,9 +392,14 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            made = np.fromiter((fingerprint(t) for t in texts), np.uint64, len(batch))
-            keys = pa.array([bands(t) for t in texts], pa.list_(pa.int64()))
+            made, keys, ends = np.zeros(len(batch), np.uint64), np.zeros((len(batch), BANDS), np.int64), np.zeros(len(batch) + 1, np.int32)
+            for i, t in enumerate(batch.column(2)):
+                text = t.as_py()
+                made[i], found = fingerprint(text), bands(text)
+                if found is not None:
+                    keys[ends[i] // BANDS] = found
+                ends[i + 1] = ends[i] + (BANDS if found is not None else 0)
+            keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel()[: ends[-1]]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made.view(np.int64)), keys], ["id", "h", "fp", "bands"])
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), text_hash(text_col).alias("h"), F.col(text_col).alias("text"))
@@ -427,16 +433,17 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     nodes = cut(nodes.orderBy(F.col("first").asc_nulls_last(), "h").withColumn("node", F.monotonically_increasing_id()))
     distinct = cut(nodes.groupBy("fp").agg(F.min("node").alias("rep")))
     alike = nodes.join(distinct, "fp").where("node > rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
-    banded = prints.where("bands is not null").join(nodes.select("h", "node"), "h").select("node", "bands")
+    banded = prints.where("size(bands) > 0").join(nodes.select("h", "node"), "h").select("node", "bands")
     edges = cut(near_links(distinct, tau).unionByName(alike).unionByName(band_links(banded)).distinct())
-    # only texts that a link names (by a sieve of their hashes) are shuffled
+    # only texts that a link names (by a sieve of the ids) are shuffled
     ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    ends = cut(nodes.select("h", "node").join(ends, "node"))
-    texts = sifted(docs.select(text_hash(text_col).alias("h"), F.coalesce(F.col(text_col), F.lit("")).alias("t")), "h", cut(sieve(ends, "h"))).where("_hit")
-    texts = cut(texts.select("h", "t").distinct().join(ends, "h").select(F.col("node").alias("k"), "t"))
+    ends = cut(nodes.select("h", "first", "node").join(ends, "node"))
+    texts = docs.select(F.col(id_col).cast("long").alias("first"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    texts = sifted(texts, "first", cut(sieve(ends, "first"))).where("_hit").select(text_hash("t").alias("h"), "t")
+    texts = cut(texts.distinct().join(ends, "h").select(F.col("node").alias("k"), "t"))
     kept = cut(similar_enough(texts, edges, shingle, similarity))
     links = cut(kept.unionByName(missed_links(texts, edges, kept, shingle, similarity)))
     later = connected_components(links).where("node > component").select("node", F.lit(True).alias("later"))
     decided = cut(nodes.join(later, "node", "left").select("h", "first", "later"))
-    gone = prints.join(decided, "h").where(F.col("later").isNotNull() | ~F.col("id").eqNullSafe(F.col("first"))).select("id")
-    return without(docs, gone, id_col)
+    gone = prints.join(decided, "h").where(F.col("later").isNotNull() | ~F.col("id").eqNullSafe(F.col("first"))).select("id", "h")
+    return without(docs, gone, F.col(id_col).cast("long"), text_hash(text_col))

@@ -352,3 +352,16 @@ def test_near_duplicates_of_one_fingerprint(spark):
     assert len({simhash.fingerprint(t) for t in texts}) == 1
     texts.append(texts[1].replace("b30", "x"))
     assert {r["doc_id"] for r in simhash.drop_near_duplicates(near_rows(spark, list(enumerate(texts)))).collect()} == {0, 1, 2}
+
+
+def test_rows_with_null_or_repeated_ids_are_decided_one_by_one(spark):
+    words = [f"w{i}" for i in range(200)]
+    first, copy, other, third = " ".join(words), " ".join([*words[:199], "x"]), "another text " * 3 + "altogether", "a third text"
+    pairs = lambda df: {(r["doc_id"], r["text"]) for r in df.collect()}
+    near = near_rows(spark, [(1, first), (None, copy), (None, other), (7, copy + " y"), (7, third)])
+    assert pairs(simhash.drop_near_duplicates(near)) == {(1, first), (None, other), (7, third)}
+    exact = near_rows(spark, [(1, first), (7, first), (7, third)])
+    assert pairs(exact_dedup.drop_exact_duplicates(exact)) == {(1, first), (7, third)}
+    nameless = [(None, f"text number {i} of many") for i in range(200)] + [(1, "long " * 3000)]
+    mixed = mixing.sample(near_rows(spark, nameless), targets={"topic": {"short": 0.02, "long": 0.98}})
+    assert 0 < sum(i is None for i, _ in pairs(mixed)) < 200

@@ -3,7 +3,8 @@
 Each text node has a path of tags from the root. Over a page, every path gets its text length
 and its punctuation per node; both are smoothed over neighbouring paths in page order, fused,
 and paths below a share of the best are no witnesses of content. The content is the smallest
-element that holds nearly all of the witnesses' weight, without what its tags or class names
+element that holds nearly all of the witnesses' weight, or the article or main element around
+it, and its ancestors as long as they add only headings, paragraphs and the like; without what its tags or class names
 mark as something else (menus, headers, footers, asides, notices, adverts, forms, comments).
 """
 
@@ -27,6 +28,7 @@ OTHER = frozenset("head nav footer header aside form button dialog menu object a
 OTHER_NAME = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|cookies?|consent|notices?|alert|popup|modal|comments?|replies|disqus\w*|sidebar|side|menu|nav\w*|breadcrumbs?|footer|header|masthead|related|share|social|subscribe|newsletter|widget|toolbar|pagination|login|search\w*|complementary|contentinfo)(?=$|[\s_-])", re.I)
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BLOCKS_P = frozenset("address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+CONTENT = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th caption blockquote pre figcaption summary".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。，、！？]")
 
 
@@ -103,6 +105,34 @@ def _smooth(x: np.ndarray) -> np.ndarray:
     return np.convolve(np.pad(x, 1, mode="edge"), [0.25, 0.5, 0.25], "valid") if len(x) > 2 else x
 
 
+def _within(n: _Node | None, best: _Node) -> bool:
+    while n and n is not best:
+        n = n.parent
+    return n is best
+
+
+def _around(best: _Node, nodes: list[_Node]) -> _Node:
+    """The outermost article around an element, else the innermost main, else itself; then the highest ancestor that adds only content blocks."""
+    up, article, main = best, None, None
+    while up:
+        if up.tag == "article":
+            article = up
+        elif up.tag == "main":
+            main = main or up
+        up = up.parent
+    best = article or main or best
+    while best.parent:
+        for n in nodes:
+            if _within(n, best.parent) and not _within(n, best):
+                # a block that begins with a link is none
+                while n.parent and n.tag in INLINE and n.tag != "a":
+                    n = n.parent
+                if n.tag not in CONTENT:
+                    return best
+        best = best.parent
+    return best
+
+
 def main_text(page: str | None, share: float = 0.1, hold: float = 0.9) -> str:
     """The main text of a page; empty if it has none.
 
@@ -145,16 +175,8 @@ def main_text(page: str | None, share: float = 0.1, hold: float = 0.9) -> str:
         for depth, up in enumerate(reversed(chain)):
             if up.weight >= hold * top.weight and up.tag not in INLINE and up.tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li"):
                 deep[up] = depth
-    best = max(deep, key=deep.get, default=top)
-
-    def inside(n: _Node | None) -> bool:
-        while n:
-            if n is best:
-                return True
-            n = n.parent
-        return False
-
-    return " ".join(t for n, t in found if inside(n))
+    best = _around(max(deep, key=deep.get, default=top), [n for n, _ in found])
+    return " ".join(t for n, t in found if _within(n, best))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

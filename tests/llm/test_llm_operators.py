@@ -365,3 +365,11 @@ def test_rows_with_null_or_repeated_ids_are_decided_one_by_one(spark):
     nameless = [(None, f"text number {i} of many") for i in range(200)] + [(1, "long " * 3000)]
     mixed = mixing.sample(near_rows(spark, nameless), targets={"topic": {"short": 0.02, "long": 0.98}})
     assert 0 < sum(i is None for i, _ in pairs(mixed)) < 200
+
+
+@pytest.mark.parametrize("long", ["<div class=body>{}</div>", "<section>{}</section>", "<blockquote>{}</blockquote>", "<ul><li>{}</ul>", "<table><tr><td>{}</table>", "<pre>{}</pre>"])
+@pytest.mark.parametrize("around", ["article", "main", "div"])
+def test_main_text_beside_one_long_container(long, around):
+    body = "Many long words, and more of them. " * 60
+    page = f"<html><body><nav><a>Home</a></nav><div><a>One link</a> <a>two</a></div><{around}><h1>Head</h1><p>Lead.</p>{long.format(body)}<p>End.</p></{around}><footer>c</footer></body></html>"
+    assert html_main.main_text(page) == f"Head Lead. {body.strip()} End."

@@ -105,3 +105,11 @@ def test_readers(spark, tmp_path):
     path.write_text("r1\tp1\tDe Heer, komt\nbad\nr1\tp2\t1\tte Huis\n")
     rows = sources.resolutions(spark, str(path), ignorecase=True, include_boundaries=True).collect()
     assert [r["words"] for r in rows] == [["<START>", "de", "heer", "komt", "<END>"], ["<START>", "te", "huis", "<END>"]]
+
+
+def test_merged_bigrams_of_all_documents(spark):
+    docs = spark.createDataFrame([(k, ["a", "b"]) for k in (1, 2, 3)], "doc_id long, tokens array<string>")
+    counts = lambda df: [r["n_ii"] for r in df.collect() if (r["w1"], r["w2"]) == ("a", "b")]
+    found = colloc.merged_bigram_counts(docs, [])
+    assert "Limit" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert counts(found) == [3] and counts(colloc.merged_bigram_counts(docs, [], most_texts=2)) == [2]

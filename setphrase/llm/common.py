@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Callable, Iterable
 from functools import reduce
 from operator import and_
 
@@ -11,31 +11,19 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from setphrase.functions.lineage import checkpoint_dir, cut
+
 WHITE = r"[\x20\x09-\x0D]+"
+HEAVY = 20_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _checkpoint_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; only a session without one (tests, a single machine) gets a temporary folder."""
-    found = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if found.isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="setphrase-"))
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return found.get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and read it from there."""
-    _checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path below the shared checkpoint folder, for a table that is written and read again."""
-    return f"{_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def sieve(keys: DataFrame, key: str, bits: int = 24) -> DataFrame:
@@ -53,18 +41,44 @@ def sifted(df: DataFrame, key: str, bitmap: DataFrame, bits: int = 24) -> DataFr
     return found.withColumn("_hit", hit).drop("_w", "_b", "_bits")
 
 
-def without(df: DataFrame, gone: DataFrame, *keys: Column) -> DataFrame:
+def fresh(taken: Iterable[str], *names: str) -> list[str]:
+    """The names, each led by as many underscores as it takes to clash with no taken one (in any case)."""
+    used, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name = f"_{name}"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def without(df: DataFrame, gone: DataFrame, *keys: Callable[[Callable[[str], Column]], Column]) -> DataFrame:
     """df without the rows whose keys are a row of gone (null equals null); only rows that pass a sieve of gone's first key are shuffled, and only theirs are the other keys made.
 
-    An id alone doesn't name a row (it may be null or repeated): keys should hold what decided, such as a hash of the text.
+    A key is made by a function that is given a function from df's column names to columns, which
+    are renamed here so that df may have any names. An id alone doesn't name a row (it may be null
+    or repeated): keys should hold what decided, such as a hash of the text.
     """
+    at = {c: f"_c{i}" for i, c in enumerate(df.columns)}
+    column = lambda c: F.col(at[c])
     names = [f"_gone{i}" for i in range(len(keys))]
     gone = cut(gone.toDF(*names).distinct())
-    marked = sifted(df.withColumn("_key0", keys[0]), "_key0", cut(sieve(gone, "_gone0")))
+    marked = sifted(df.toDF(*at.values()).withColumn("_key0", keys[0](column)), "_key0", cut(sieve(gone, "_gone0")))
     same = [F.col(f"_key{i}").eqNullSafe(F.col(name)) for i, name in enumerate(names)]
-    keyed = marked.where("_hit").withColumns({f"_key{i}": key for i, key in enumerate(keys)})
+    keyed = marked.where("_hit").withColumns({f"_key{i}": key(column) for i, key in enumerate(keys)})
     kept = keyed.join(gone, reduce(and_, same), "left_anti").select(marked.columns)
-    return marked.where("not _hit").unionByName(kept).select(*[F.col(f"`{c}`") for c in df.columns])
+    return marked.where("not _hit").unionByName(kept).select(*[column(c).alias(c) for c in df.columns])
+
+
+def spread_join(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, how: str = "inner", heavy: int = HEAVY) -> DataFrame:
+    """rows joined to groups, which have a row for each key and the number of its rows in the column ``size``.
+
+    Keys of more than ``heavy`` rows, of which there are at most a heavy-th of the rows, are sent
+    to all tasks, so that a key that a third of all rows share isn't one task's; the rest is shuffled.
+    """
+    large = F.broadcast(groups.where(F.col(size) > heavy))
+    rest = rows.join(F.broadcast(groups.where(F.col(size) > heavy).select(*keys)), keys, "left_anti")
+    return rows.join(large, keys).unionByName(rest.join(groups.where(F.col(size) <= heavy), keys, how))
 
 
 def crc32_of_id(doc_id: str) -> Column:

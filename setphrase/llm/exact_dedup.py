@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from setphrase.llm.common import WHITE, cut, sieve, sifted, without
+from setphrase.llm.common import WHITE, cut, sieve, sifted, spread_join, without
 
 
 def normalised(text: str | Column) -> Column:
@@ -53,7 +53,7 @@ def exact_duplicates(
     groups = groups.select("h", sha("t").alias("sha"), F.col("k.id").alias("keep"), "n", F.lit(True).alias("found"))
     found = F.coalesce("found", F.lit(False))
     keep = F.when(found, F.col("keep")).otherwise(F.col("id"))
-    return hashed.join(cut(groups), ["h", "sha"], "left").select(
+    return spread_join(hashed, cut(groups), ["h", "sha"], "n", "left").select(
         F.col("id").alias(id_col),
         keep.alias("keep_id"),
         F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
@@ -65,4 +65,4 @@ def exact_duplicates(
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns; rows that repeat an id and a text all stay."""
     gone = exact_duplicates(docs, id_col, text_col).where("not kept").select(id_col, "text_sha256")
-    return without(docs, gone, F.col(id_col), F.sha2(normalised(text_col), 256))
+    return without(docs, gone, lambda c: c(id_col), lambda c: F.sha2(normalised(c(text_col)), 256))

@@ -4,7 +4,7 @@ The word BPE of ``word_bpe_49k.json`` lower-cases, drops white space and never m
 its pre-tokens, so the ids of a text are those of its pre-tokens in order. Each worker keeps
 the ids of words it has met; only new words reach the library's model, past its normaliser and
 pre-tokenizer. A text with a character outside ``SAFE`` (where its normaliser does more than
-lower-case) is encoded whole by the library.
+lower-case), or with one of the tokenizer's special tokens, is encoded whole by the library.
 """
 
 from __future__ import annotations
@@ -52,7 +52,7 @@ class WordEncoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True
+        self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         vocab = self.lib.get_vocab(with_added_tokens=True)
         if max(vocab.values()) > 0xFFFF:
             raise ValueError("ids above 65535 don't fit the 16-bit layout")
@@ -75,7 +75,8 @@ class WordEncoder:
     def ids(self, texts: list[str]) -> list[bytes]:
         get, out = self.pieces.__getitem__, []
         for text in texts:
-            out.append(b"".join(map(get, text.lower().split())) if SAFE.fullmatch(text) else self.whole(text))
+            plain = SAFE.fullmatch(text) and not any(t in text for t in self.special)
+            out.append(b"".join(map(get, text.lower().split())) if plain else self.whole(text))
             self.pieces.turn()
             self.words.turn()
         return out

@@ -5,10 +5,12 @@ the shard's alphabet, the document offsets and one bit-plane for each bit of an
 the alphabet. Spark's own writer commits it, so a lost task leaves no half-written shard and
 the path may be in any store that Spark writes to.
 
-Layout of a payload (little-endian): ``SWM1``, uint32 length of the JSON header, the header
+Layout of a payload (little-endian): ``SWM2``, uint32 length of the JSON header, the header
 (n_tokens, n_docs, planes, alphabet, sizes of the sections), then the sections: uint16 alphabet,
-int64 document ids, uint32 lengths (these three and each plane are Zstandard frames).
-Rank directories (ones before each 512-bit block) are rebuilt on opening, in one pass.
+int64 document ids, uint32 lengths (Zstandard frames), the directory, and the planes. A plane is
+cut into blocks of BLOCK bits, each a Zstandard frame of its own; the directory holds, for
+each block of each plane, the set bits before it in the plane (uint32) and the end of its frame
+(uint32). So access, count and select open only the blocks that they step on, one or two a plane.
 """
 
 from __future__ import annotations
@@ -28,8 +30,9 @@ from pyspark.sql import functions as F
 from setphrase.llm.common import cut
 from setphrase.llm.tokens import TOKENIZER, encode
 
-MAGIC = b"SWM1"
-BLOCK = 512
+MAGIC = b"SWM2"
+BLOCK = 1 << 16
+OPEN_BLOCKS = 256
 NO_ID = np.iinfo(np.int64).min
 SHARD = pa.schema({"part": pa.int32(), "seq": pa.int32(), "first_doc": pa.int64(), "n_tokens": pa.int64(), "payload": pa.binary()})
 
@@ -44,46 +47,73 @@ def build(ids: np.ndarray, docs: np.ndarray, lengths: np.ndarray) -> bytes:
     rank[alphabet] = np.arange(len(alphabet), dtype=np.uint16)
     x = rank[ids]
     planes = max(1, int(len(alphabet) - 1).bit_length()) if len(alphabet) else 0
-    parts = [pack(alphabet.tobytes()), pack(docs.astype("<i8").tobytes()), pack(lengths.astype("<u4").tobytes())]
+    before, ends, frames, end = [], [], [], 0
     for bit in range(planes - 1, -1, -1):
         ones = (x & np.uint16(1 << bit)) != 0
-        parts.append(pack(np.packbits(ones, bitorder="little").tobytes()))
+        raw = np.packbits(ones, bitorder="little").tobytes()
+        count = 0
+        for at in range(0, len(raw), BLOCK // 8):
+            block = raw[at : at + BLOCK // 8]
+            frames.append(pack(block))
+            end += len(frames[-1])
+            before.append(count), ends.append(end)
+            count += int.from_bytes(block, "little").bit_count()
         x = np.concatenate([x[~ones], x[ones]])
+    directory = np.array([before, ends], "<u4").tobytes()
+    parts = [pack(alphabet.tobytes()), pack(docs.astype("<i8").tobytes()), pack(lengths.astype("<u4").tobytes()), directory, b"".join(frames)]
     head = json.dumps({"n_tokens": len(ids), "n_docs": len(docs), "planes": planes, "alphabet": len(alphabet), "sections": [len(p) for p in parts]}).encode()
     return b"".join([MAGIC, struct.pack("<I", len(head)), head, *parts])
 
 
 class WaveletMatrix:
-    """A shard opened from its file's bytes."""
+    """A shard opened from its file's bytes; blocks of planes are unpacked as they are needed."""
 
     def __init__(self, payload: bytes):
         if payload[:4] != MAGIC:
             raise ValueError("not a wavelet-matrix shard")
         (size,) = struct.unpack_from("<I", payload, 4)
         head, at, parts = json.loads(payload[8 : 8 + size]), 8 + size, []
-        unpack = zstandard.ZstdDecompressor().decompress
+        self._unpack = zstandard.ZstdDecompressor().decompress
+        view = memoryview(payload)
         for length in head["sections"]:
-            parts.append(unpack(payload[at : at + length]))
+            parts.append(view[at : at + length])
             at += length
         self.n, self.planes = head["n_tokens"], head["planes"]
-        self.alphabet = np.frombuffer(parts[0], "<u2")
-        self.docs, self.lengths = np.frombuffer(parts[1], "<i8"), np.frombuffer(parts[2], "<u4").astype(np.int64)
-        self.bits = [np.frombuffer(p, np.uint8) for p in parts[3:]]
-        self.zeros = [self.n - int(np.bitwise_count(p).sum()) for p in self.bits]
-        self._before: list[np.ndarray] | None = None
+        self.alphabet = np.frombuffer(self._unpack(parts[0]), "<u2")
+        self.docs, self.lengths = np.frombuffer(self._unpack(parts[1]), "<i8"), np.frombuffer(self._unpack(parts[2]), "<u4").astype(np.int64)
+        self._blocks = -(-self.n // BLOCK)
+        before, ends = np.frombuffer(parts[3], "<u4").astype(np.int64).reshape(2, self.planes, self._blocks)
+        self._before, self._ends, self._frames = before, ends.ravel(), parts[4]
+        self._open: dict[int, np.ndarray] = {}
+        self.zeros = [self.n - self._ones(p, self.n) for p in range(self.planes)]
+
+    def _block(self, plane: int, block: int) -> np.ndarray:
+        """The bytes of a block; the last OPEN_BLOCKS stay open."""
+        k = plane * self._blocks + block
+        found = self._open.get(k)
+        if found is None:
+            if len(self._open) >= OPEN_BLOCKS:
+                self._open.pop(next(iter(self._open)))
+            found = self._open[k] = np.frombuffer(self._unpack(self._frames[self._ends[k - 1] if k else 0 : self._ends[k]]), np.uint8)
+        return found
+
+    def _bit(self, plane: int, at: int) -> int:
+        return int(self._block(plane, at // BLOCK)[at % BLOCK // 8] >> at % 8) & 1
 
     def _ones(self, plane: int, at: int) -> int:
         """Set bits among the first ``at`` of a plane."""
-        if self._before is None:
-            self._before = []
-            for p in self.bits:
-                counts = np.bitwise_count(np.pad(p, (0, -len(p) % (BLOCK // 8)))).reshape(-1, BLOCK // 8).sum(1, dtype=np.int64)
-                self._before.append(np.concatenate([[0], np.cumsum(counts)]))
-        block, bits = at // BLOCK, self.bits[plane]
-        count = int(self._before[plane][block])
-        start, end = block * BLOCK // 8, at // 8
-        count += int(np.bitwise_count(bits[start:end]).sum())
-        return count + (int(bits[end] & ((1 << at % 8) - 1)).bit_count() if at % 8 else 0)
+        if not at:
+            return 0
+        block = (at - 1) // BLOCK
+        bits, rest = self._block(plane, block), at - block * BLOCK
+        count = int(self._before[plane, block]) + int(np.bitwise_count(bits[: rest // 8]).sum(dtype=np.int64))
+        return count + (int(bits[rest // 8] & ((1 << rest % 8) - 1)).bit_count() if rest % 8 else 0)
+
+    def _bits(self, plane: int) -> np.ndarray:
+        """A whole plane, unpacked."""
+        k = plane * self._blocks
+        raw = b"".join(self._unpack(self._frames[self._ends[i - 1] if i else 0 : self._ends[i]]) for i in range(k, k + self._blocks))
+        return np.unpackbits(np.frombuffer(raw, np.uint8), count=self.n, bitorder="little").view(bool)
 
     def _rank_of(self, token: int) -> int | None:
         i = int(np.searchsorted(self.alphabet, token))
@@ -95,7 +125,7 @@ class WaveletMatrix:
             raise IndexError(i)
         rank = 0
         for p in range(self.planes):
-            bit = int(self.bits[p][i // 8] >> i % 8) & 1
+            bit = self._bit(p, i)
             ones = self._ones(p, i)
             i = self.zeros[p] + ones if bit else i - ones
             rank = rank << 1 | bit
@@ -125,22 +155,18 @@ class WaveletMatrix:
         for p in range(self.planes - 1, -1, -1):
             one = rank >> (self.planes - 1 - p) & 1
             want = i - self.zeros[p] if one else i
-            left, right = 0, self.n  # the least prefix with want + 1 such bits
-            while left < right:
-                mid = (left + right) // 2
-                ones = self._ones(p, mid)
-                if (ones if one else mid - ones) > want:
-                    right = mid
-                else:
-                    left = mid + 1
-            i = left - 1
+            # the last block with too few such bits before it, then the place within it
+            before = self._before[p] if one else np.arange(self._blocks) * BLOCK - self._before[p]
+            block = int(np.searchsorted(before, want, "right")) - 1
+            bits = np.unpackbits(self._block(p, block), bitorder="little")[: self.n - block * BLOCK]
+            i = block * BLOCK + int(np.flatnonzero(bits == one)[want - int(before[block])])
         return i
 
     def decode(self) -> np.ndarray:
         """All ids in order, from the last plane up: a plane's zeros come first in the order below it."""
         y = None
         for p in range(self.planes - 1, -1, -1):
-            ones = np.unpackbits(self.bits[p], count=self.n, bitorder="little").view(bool)
+            ones = self._bits(p)
             if y is None:
                 y = np.zeros(self.n, np.uint16)
                 y[self.zeros[p] :] = 1
@@ -195,7 +221,9 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 1, id_col: str = "doc
         if held:
             yield shard()
 
-    ordered = ids.repartitionByRange(parts, F.col("doc")).sortWithinPartitions("doc", "n", "ids")
+    # rows that share an id can be dealt to several parts, by a hash of what they hold
+    order = ["doc", "hash", "n", "ids"]
+    ordered = ids.withColumn("hash", F.xxhash64("ids")).repartitionByRange(parts, "doc", "hash").sortWithinPartitions(*order).select("doc", "n", "ids")
     ordered.mapInArrow(run, "part int, seq int, first_doc long, n_tokens long, payload binary").write.mode("overwrite").parquet(path)
 
 

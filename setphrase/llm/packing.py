@@ -2,14 +2,14 @@
 
 Pieces of one length are interchangeable, so the packing is solved over the histogram, whose
 size is the sequence length and not the corpus. The covering program (each column a multiset of
-lengths that fits one sequence) is solved by multiplicative weights; the column of a round is
-the knapsack of the present weights, priced by dynamic programming. Its solution is rounded
-down, and what is left is packed best-fit, also by counts. Best-fit decreasing of the whole
-histogram is a second candidate; the one with fewer sequences is used.
+lengths that fits one sequence) is solved by multiplicative weights; the columns of a round are
+knapsacks of the present weights, priced by dynamic programming. Its solution is rounded down,
+what that leaves open is solved and rounded again, and the last rest, of less than about one
+sequence, is packed best-fit.
 
 Pieces are then dealt to places by their rank within their length: the rank is a sum over
-(length, bucket) counts and a rank within the bucket, so a length that a third of all rows
-share is ranked by many tasks.
+(length, bucket) counts and a rank within the bucket. A length has a bucket for every
+BUCKET_ROWS pieces, so one that a third of all rows share is ranked by many tasks.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from setphrase.llm.common import cut
 from setphrase.llm.tokens import TOKENIZER, encoder, some
 
+BUCKET_ROWS = 2_000
 Pattern = tuple[tuple[int, int], ...]  # (length, how many), lengths descending
 
 
@@ -63,22 +64,45 @@ def best_fit(histogram: dict[int, int], size: int) -> list[tuple[Pattern, int]]:
     return [(p, n) for room in sorted(open_) for p, n in sorted(open_[room].items())]
 
 
-def knapsack(lengths: np.ndarray, worth: np.ndarray, most: np.ndarray, size: int) -> dict[int, int]:
-    """The multiset of lengths, at most ``most`` of each, that fits ``size`` and is worth most, by dynamic programming over the room."""
-    items = [(i, k) for i, n in enumerate(most.tolist()) for k in _powers(n) if k * lengths[i] <= size]
-    best, taken = np.zeros(size + 1), np.zeros((len(items), size + 1), bool)
-    for row, (i, k) in zip(taken, items):
-        w = k * int(lengths[i])
-        gain = best[: size + 1 - w] + k * worth[i]
-        np.greater(gain, best[w:], out=row[w:])
-        np.maximum(gain, best[w:], out=gain)
-        best[w:] = gain
-    chosen, room = Counter(), size
-    for row, (i, k) in zip(taken[::-1], reversed(items)):
-        if row[room]:
-            chosen[int(lengths[i])] += k
-            room -= k * int(lengths[i])
-    return dict(chosen)
+class Pricing:
+    """Columns for given prices: dynamic programming over the room, items from the shortest on.
+
+    An item is k pieces of one length; ``most`` bounds how many of a length a column holds (split
+    into powers of two). best[r, room] is the worth of the best multiset of the first r items, and
+    last[r, room] the last of them that it takes (-1: none).
+    """
+
+    def __init__(self, lengths: np.ndarray, worth: np.ndarray, most: np.ndarray, size: int):
+        order = np.argsort(lengths, kind="stable")
+        self.items = [(int(i), k, k * int(lengths[i])) for i in order.tolist() for k in _powers(int(most[i])) if k * lengths[i] <= size]
+        self.size, self.lengths = size, lengths
+        self.best = np.zeros((len(self.items) + 1, size + 1))
+        self.last = np.full((len(self.items) + 1, size + 1), -1, np.int32)
+        for r, (i, k, w) in enumerate(self.items):
+            old, new = self.best[r], self.best[r + 1]
+            gain = old[: size + 1 - w] + k * worth[i]
+            new[:w] = old[:w]
+            np.maximum(gain, old[w:], out=new[w:])
+            self.last[r + 1] = self.last[r]
+            self.last[r + 1, w:][gain > old[w:]] = r
+        # the best column in which an item is the last, and so of the greatest length
+        self.worth = np.array([k * worth[i] + self.best[r, size - w] for r, (i, k, w) in enumerate(self.items)])
+
+    def columns(self, share: float) -> Iterator[dict[int, int]]:
+        """Columns worth at least ``share`` of the best one, one for each last item, the best first: index of length -> how many."""
+        if not len(self.worth):
+            return
+        for top in np.argsort(-self.worth, kind="stable").tolist():
+            if self.worth[top] < share * self.worth.max():
+                return
+            found: Counter = Counter()
+            r, room = top, self.size
+            while r >= 0:
+                i, k, w = self.items[r]
+                found[i] += k
+                room -= w
+                r = int(self.last[r, room])
+            yield found
 
 
 def _powers(n: int) -> list[int]:
@@ -90,51 +114,80 @@ def _powers(n: int) -> list[int]:
     return made
 
 
-def configuration_lp(histogram: dict[int, int], size: int, rounds: int = 400, rate: float = 2.0) -> list[tuple[Pattern, float]]:
+def start_prices(lengths: np.ndarray, need: np.ndarray, size: int, blend: float = 0.1, tilt: float = 0.2) -> tuple[np.ndarray, float]:
+    """(prices of lengths to start from, lower bound of the linear program's value).
+
+    Sizes are a feasible dual solution, and so are the dual feasible functions that round (k + 1) x / size
+    down (an exact multiple keeps its value) and divide by k; the one with the greatest bound is taken, with a small
+    part of the sizes so that nothing is worthless. Long pieces are worth a little more than
+    their size, so that short ones, which fit anywhere, are left for the end.
+    """
+    best, bound = lengths / size, float((lengths * need).sum()) / size
+    for k in range(1, 100):
+        whole, part = np.divmod((k + 1) * lengths, size)
+        dual = np.where(part == 0, lengths / size, whole / k)
+        value = float((dual * need).sum())
+        if value > bound:
+            best, bound = dual, value
+    return (size * (1 - blend) * best + blend * lengths) * (1 + tilt * lengths / size), bound
+
+
+def configuration_lp(histogram: dict[int, int], size: int, rate: float = 2.0, share: float = 0.98) -> list[tuple[Pattern, float]]:
     """A fractional cover of the histogram by patterns, by multiplicative weights.
 
-    A length's price starts at its size (the dual optimum when sequences can be filled) and is
+    A length's price starts at its dual price (start_prices) and is
     multiplied by exp(rate x the share of its demand that is open, less the mean share), so a
-    length that lags behind becomes worth more. A round prices one pattern and adds it until
-    half of its scarcest length's open demand is covered; a pattern holds a length at most about
-    twice as often as an average sequence must.
+    length that lags behind becomes worth more. A round prices columns by the knapsack program
+    and adds those worth at least ``share`` of the best, each until half of its scarcest length's
+    open demand is covered. A column holds a length at most twice, or twice as often as an average
+    sequence must if that is more. Rounds end when what is open doesn't fill one sequence, however many that takes:
+    each round covers a whole sequence or halves an open demand.
     """
     lengths = np.array(sorted(histogram, reverse=True))
     need = np.array([histogram[int(x)] for x in lengths], float)
-    rest, found, slot = need.copy(), Counter(), {int(x): i for i, x in enumerate(lengths)}
-    for _ in range(rounds):
+    rest, found, prices = need.copy(), Counter(), start_prices(lengths, need, size)[0]
+    while True:
         some_ = rest >= 1
         least = float((lengths * rest)[some_].sum()) / size
         if least < 1:
-            break
-        share = rest / need
-        worth = lengths * np.exp(rate * (share - share[some_].mean()))
-        most = np.where(some_, np.minimum(np.floor(rest), np.maximum(1, np.ceil(2 * rest / least))), 0).astype(int)
-        pattern = knapsack(lengths, worth, most, size)
-        i, k = np.array([slot[x] for x in pattern]), np.array(list(pattern.values()), float)
-        bound = float((rest[i] / k).min())
-        amount = bound if bound < 2 else bound / 2
-        rest[i] -= k * amount
-        found[tuple(sorted(pattern.items(), reverse=True))] += amount
-    return list(found.items())
-
-
-def solve(histogram: dict[int, int], size: int, rounds: int = 400) -> list[tuple[Pattern, int]]:
-    """Patterns and how many sequences hold each; every length of the histogram is placed exactly as often as it occurs."""
+            return list(found.items())
+        open_ = rest / need
+        worth = prices * np.exp(rate * (open_ - open_[some_].mean()))
+        most = np.where(some_, np.minimum(np.floor(rest), np.maximum(2, np.ceil(2 * rest / least))), 0).astype(int)
+        for column in Pricing(lengths, worth, most, size).columns(share):
+            i, k = np.fromiter(column, int, len(column)), np.fromiter(column.values(), float, len(column))
+            bound = float((rest[i] / k).min())
+            if bound < 1:
+                continue
+            amount = bound if bound < 2 else bound / 2
+            rest[i] -= k * amount
+            found[tuple(sorted(((int(lengths[j]), n) for j, n in column.items()), reverse=True))] += amount
+
+
+def solve(histogram: dict[int, int], size: int) -> list[tuple[Pattern, int]]:
+    """Patterns and how many sequences hold each; every length of the histogram is placed exactly as often as it occurs.
+
+    The program's amounts are rounded down and what that leaves open is a program of its own,
+    until a program yields no whole sequence; the rest (less than about one sequence) is put
+    where it fits best.
+    """
     full = histogram.get(size, 0)
-    histogram = {x: n for x, n in histogram.items() if n and x < size}
-    rest, lp = dict(histogram), []
-    if histogram:
-        for pattern, amount in configuration_lp(histogram, size, rounds):
-            n = min([int(amount), *(rest[x] // k for x, k in pattern)])
+    rest = {x: n for x, n in histogram.items() if n and x < size}
+    made: Counter = Counter()
+    while rest:
+        before = made.total()
+        for pattern, amount in configuration_lp(rest, size):
+            n = min([int(amount + 1e-9), *(rest.get(x, 0) // k for x, k in pattern)])
             if n > 0:
-                lp.append((pattern, n))
+                made[pattern] += n
                 for x, k in pattern:
                     rest[x] -= n * k
-    lp += best_fit({x: n for x, n in rest.items() if n}, size)
-    plain = best_fit(histogram, size)
-    chosen = min((lp, plain), key=lambda made: sum(n for _, n in made))
-    return [(((size, 1),), full)] * bool(full) + chosen
+        rest = {x: n for x, n in rest.items() if n}
+        if made.total() == before:
+            break
+    for pattern, n in best_fit(rest, size):
+        made[pattern] += n
+    return [(((size, 1),), full)] * bool(full) + list(made.items())
 
 
 def places(patterns: list[tuple[Pattern, int]]) -> list[tuple[int, int, int, int, int, int]]:
@@ -173,25 +226,29 @@ def cut_pieces(docs: DataFrame, size: int, end_id: int, id_col: str, text_col: s
     return source.mapInArrow(run, "doc long, piece int, start long, length long, crc long")
 
 
-def pack(docs: DataFrame, size: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, buckets: int = 256) -> DataFrame:
+def pack(docs: DataFrame, size: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Rows (id, piece, start, length, ids_crc32, sequence_id, offset) for every piece of every document.
 
     A null or empty text is one piece that holds end_id alone. Rows with a null id and rows that
-    repeat an id are packed like any other. An empty table gives no rows. What is collected is the
-    histogram (at most ``size`` rows); what is broadcast are the places (bounded by the histogram
-    and the rounds of the program) and (length, bucket) sums (at most size x buckets rows).
+    repeat an id are packed like any other. An empty table gives no rows; other columns are
+    ignored. What is collected is the histogram (at most ``size`` rows). What is broadcast are the
+    buckets of each length (at most ``size`` rows) and the places: an entry for each length of each
+    pattern, and each pattern covers a sequence or halves an open demand, so their number grows
+    with size x log(pieces). The sums that ranks start from are joined on the ranks' own
+    partitioning.
     """
     spark = docs.sparkSession
     pieces = cut(cut_pieces(docs, size, end_id, id_col, text_col, tokenizer))
-    keyed = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc", "piece"), F.lit(buckets)).cast("int"))
-    sums = cut(keyed.groupBy("length", "bucket").agg(F.count("*").alias("n")))
-    histogram = {r["length"]: r["n"] for r in sums.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     rows = places(solve(histogram, size))
     dealt = spark.createDataFrame(rows, "length long, first long, end long, base long, each int, at long")
+    split = spark.createDataFrame([(x, -(-n // bucket_rows)) for x, n in histogram.items()], "length long, buckets long")
+    keyed = pieces.join(F.broadcast(split), "length").withColumn("bucket", F.pmod(F.xxhash64("doc", "piece", "crc"), F.col("buckets")).cast("int")).drop("buckets")
+    sums = cut(keyed.groupBy("length", "bucket").agg(F.count("*").alias("n")))
     upto = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select("length", "bucket", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
     order = Window.partitionBy("length", "bucket").orderBy("doc", "piece", "crc")
-    ranked = keyed.withColumn("r", F.row_number().over(order) - 1).join(F.broadcast(bases), ["length", "bucket"])
+    ranked = keyed.withColumn("r", F.row_number().over(order) - 1).join(bases, ["length", "bucket"])
     ranked = ranked.withColumn("r", F.col("r") + F.col("before")).drop("before", "bucket")
     found = ranked.join(F.broadcast(dealt), (ranked["length"] == dealt["length"]) & (F.col("r") >= F.col("first")) & (F.col("r") < F.col("end"))).drop(dealt["length"])
     k = F.col("r") - F.col("first")

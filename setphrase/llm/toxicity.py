@@ -1,128 +1,130 @@
 """Toxicity (5): class-conditional Kneser-Ney models.
 
-Each class (toxic, ordinary) has a model of words that backs off to word beginnings: a word's
-discounted count, then the number of different words that share its first five and its first
-four characters (Kneser-Ney continuation counts), then all words of both classes together.
-So an expression that one class coined is known by its stem, and a rare word that neither knows
-weighs nothing. A text's score is the difference of its two log-likelihoods, normalised by its
-length and by the root of it, on a scale from 0 to 1 by a logistic fit on labelled texts that
-the counts didn't see.
-
-A word counts once in a text, in training and in scoring, since a word that is used in a text is
-used again there. Of a word's difference only what exceeds MARGIN for the toxic class counts:
-toxic texts consist mostly of ordinary words too, and that a class's few texts in some language
-lack a word says nothing, but would outweigh all else in a long text.
-
-Counts are of all labelled texts (they grow with the input); the model that is sent out is a
-hash table of fixed size (CELLS counts for each level and class).
+Each class (toxic, ordinary) has an interpolated Kneser-Ney model of words. It backs off from the
+word to its first five and then its first four letters, and at last to the counts that both
+classes share. Counts are numbers of different texts (continuation counts: a text that repeats a
+word is one context of it), so they grow with the input and no unit is hashed or folded.
+
+At a level with counts c_y(u) of a unit u in class y, N_y their sum and N the sum of both:
+
+* shared rate       s(u)   = min over y of (c_y(u) + 1) / N_y, the rate that both classes reach;
+* shared backoff    P(u)   = (s(u) + SHARE x (c_tox(u) + c_ord(u) + 1) / N) / Z, which sums to 1;
+* discount          D_y(u) = DISCOUNT + LIFT x e + z x sqrt(e) with e = N_y x s(u), so only what a
+  class says more often than both do, beyond chance, is its own;
+* class model       P_y(u) = max(c_y(u) - D_y(u), 0) / N_y + G_y x P(u) x P_y(parent) / P(parent).
+
+G_y is the mass that discounting left to the shared counts. Unknown and evenly used words have the
+parent's ratio, which is 1 at the root. A text's two log-likelihoods are sums over its different
+words; their difference, divided by the number of words and by its root, is put on a scale from
+0 to 1 by logistic regression. Its weights, and z, are chosen on a bounded sample of the labelled
+texts, each scored with its own counts left out.
 """
 
 from __future__ import annotations
 
 import re
-from array import array
 from collections import Counter
 from collections.abc import Iterator
-from math import exp, fsum, log
+from math import exp, fsum, log, prod, sqrt
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from setphrase.llm.common import crc32_of_id, cut, sieve, sifted
 
-CELLS = 1 << 18
-STEMS = (5, 4)
+STEMS = (4, 5)  # letters of the units below the word, the shortest first
+LEVELS = len(STEMS) + 1
 DISCOUNT = 0.75
-BACKOFF = 2.0
-MARGIN = 1.8
+SHARE = 0.1
+LIFT = 2.0
+STRICTNESS = (2.0, 3.0, 4.0)  # values of z to choose from
 CALIBRATION_ROWS = 6_000
+UNITS_SENT = 2_000_000
 WORD = re.compile(r"[^\W\d_]+")
 CACHED = 250_000
 
 
-def words(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+def words(text: str) -> set[str]:
+    """The different words of a text, lower-cased."""
+    return set(WORD.findall(text.lower()))
 
 
-def cell(word: str) -> int:
-    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 42) & (CELLS - 1)
+def units(word: str) -> tuple[str, ...]:
+    """A word's units from the shortest beginning to the word itself."""
+    return (*(word[:n] for n in STEMS), word)
+
+
+def own_mass(counts: tuple[float, float], totals: tuple[float, float], z: float) -> tuple[float, float, float]:
+    """(own counts of toxic, of ordinary after discounting, shared backoff before Z) of a unit with these counts."""
+    rate = min((c + 1) / n for c, n in zip(counts, totals))
+    own = []
+    for c, n in zip(counts, totals):
+        e = n * rate
+        own.append(max(c - DISCOUNT - LIFT * e - z * sqrt(e), 0.0))
+    return own[0], own[1], rate + SHARE * (counts[0] + counts[1] + 1) / (totals[0] + totals[1])
 
 
 class ToxicityModel:
-    """counts[level][class] are hash tables; level 0 counts texts that hold a word, the others different words."""
+    """known[level] maps units that some class holds as its own to their two counts; totals[level] are sums over all units."""
 
-    def __init__(self, counts: np.ndarray):
-        self.counts = counts.astype(np.float32)
-        self.total = self.counts.sum(2)
+    def __init__(self, known: list[dict[str, tuple[int, int]]], totals: list[tuple[float, float]], kept: dict[float, list[tuple[float, float, float]]], z: float = STRICTNESS[0]):
+        # kept[z][level]: the share of each class's mass that discounting leaves to the shared counts, and Z
+        self.known, self.totals, self.kept, self.z = known, totals, kept, z
         self.weights = np.array([0.0, 0.0, -2.0])
-        self._values: dict[str, float] = {}
-        self._sizes: dict[str, int] = {}
-        self._tables: list | None = None
-        self._bases: list[float] = []
+        self._ratios: dict[str, float] = {}
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_values": {}, "_sizes": {}, "_tables": None}
-
-    def word(self, word: str) -> float:
-        """log P(word | toxic) - log P(word | ordinary) less MARGIN, 0 at least.
-
-        By Bayes the difference is that of the log-odds of the class given the word and of the
-        class alone. The class's share of a word is its discounted count, and what discounting
-        took plus BACKOFF shared counts is dealt out as at the level below; the levels below
-        count different words (continuations), the lowest one all words.
-        """
-        if self._tables is None:
-            self._prepare()
-        if not self._bases:
-            return 0.0
-        ratio = 0.0
-        for (toxic_, ordinary_), base, part in zip(self._tables, self._bases, (word[: STEMS[1]], word[: STEMS[0]], word)):
-            at = cell(part)
-            toxic, ordinary = toxic_[at], ordinary_[at]
-            total = toxic + ordinary
-            if not total:
-                continue  # nothing is known here: the share stays that of the level below
-            share = 1 / (1 + exp(-base - ratio))
-            own = max(toxic - DISCOUNT, 0.0)
-            taken = (toxic - own) + min(ordinary, DISCOUNT) + BACKOFF
-            share = (own + taken * share) / (total + BACKOFF)
-            ratio = log(share / (1 - share)) - base
-        return max(0.0, ratio - MARGIN)
-
-    def _prepare(self) -> None:
-        """Plain arrays, from the shortest stem to the word: single cells of them are read faster."""
-        order = range(len(STEMS), -1, -1)
-        self._tables = [tuple(array("f", self.counts[level, y].tobytes()) for y in (0, 1)) for level in order]
-        self._bases = [log(self.total[level, 0] / self.total[level, 1]) for level in order] if self.total[0].all() else []
-
-    def _learn(self, piece: str) -> tuple[float, int]:
-        found = words(piece)
-        return sum(map(self.word, found)), len(found)
+        return self.__dict__ | {"_ratios": {}}
+
+    def word(self, word: str, z: float, without: int | None = None) -> float:
+        """log P_toxic(word) - log P_ordinary(word); ``without``: as if one text of that class had not been counted."""
+        toxic = ordinary = 1.0  # P_y / P
+        for known, totals, kept, unit in zip(self.known, self.totals, self.kept[z], units(word)):
+            toxic, ordinary = toxic * kept[0], ordinary * kept[1]
+            counts = known.get(unit)
+            if counts is not None:
+                if without is not None:
+                    counts = (counts[0] - (without == 1), counts[1] - (without == 0))
+                a, b, shared = own_mass(counts, totals, z)
+                toxic += a / totals[0] / (shared / kept[2])
+                ordinary += b / totals[1] / (shared / kept[2])
+        return log(toxic / ordinary)
+
+    def _of(self, word: str) -> float:
+        found = self._ratios.get(word)
+        if found is None:
+            if len(self._ratios) >= CACHED:
+                self._ratios.clear()
+            found = self._ratios[word] = self.word(word, self.z)
+        return found
+
+    def unknown(self, z: float) -> float:
+        """The ratio of a word that no class holds as its own."""
+        return log(prod(k[0] for k in self.kept[z]) / prod(k[1] for k in self.kept[z]))
 
     def ratios(self, text: str) -> tuple[float, float]:
-        """The sum of the different words' ratios over their number, and over its root; zeros for a text without words."""
-        pieces = set(text.lower().split())
-        new = pieces.difference(self._values)
-        if new:
-            if len(self._values) + len(new) > CACHED:
-                self._values, self._sizes, new = {}, {}, pieces
-            for piece in new:
-                self._values[piece], self._sizes[piece] = self._learn(piece)
-        total, n = fsum(map(self._values.__getitem__, pieces)), sum(map(self._sizes.__getitem__, pieces))
-        return (total / n, total / n**0.5) if n else (0.0, 0.0)
+        """The difference of the log-likelihoods over the number of different words, and over its root; a text without words has the mean of unknown ones."""
+        found = words(text)
+        total = fsum(map(self._of, found))
+        return (total / len(found), total / sqrt(len(found))) if found else (self.unknown(self.z), 0.0)
+
+    def left_out(self, text: str, toxic: bool, z: float) -> tuple[float, float]:
+        """ratios, had this text of that class not been counted."""
+        found = words(text)
+        total = fsum(self.word(w, z, int(toxic)) for w in found)
+        return (total / len(found), total / sqrt(len(found))) if found else (self.unknown(z), 0.0)
 
     def score(self, text: str) -> float:
-        x = float(np.dot(self.weights, [*self.ratios(text), 1.0]))
-        return float(1 / (1 + np.exp(-np.clip(x, -30, 30))))
+        return scaled(self.weights, *self.ratios(text))
 
-    def calibrate(self, ratios: np.ndarray, toxic: np.ndarray) -> None:
-        """Logistic regression on the ratios, by Newton's method with a little shrinkage."""
+    def calibrate(self, ratios: np.ndarray, toxic: np.ndarray) -> float:
+        """Logistic regression on the ratios, by Newton's method with a little shrinkage; returns the mean loss."""
         if not len(toxic):
-            return
+            return 0.0
         scale = np.append(np.where(ratios.std(0) > 0, ratios.std(0), 1.0), 1.0)
         x = np.column_stack([ratios, np.ones(len(ratios))]) / scale
         share = (toxic.sum() + 0.5) / (len(toxic) + 1)
@@ -135,71 +137,180 @@ class ToxicityModel:
             if np.abs(step).max() < 1e-6:
                 break
         self.weights = w / scale
+        p = np.clip(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))), 1e-9, 1 - 1e-9)
+        return float(-(toxic * np.log(p) + (1 - toxic) * np.log(1 - p)).mean())
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 3, held_out: int = 1) -> ToxicityModel:
-    """Count on all labelled texts of one fold, calibrate on at most about CALIBRATION_ROWS of another; ``held_out`` is never read.
+def scaled(weights: np.ndarray, mean: float, rooted: float) -> float:
+    return 1 / (1 + exp(-min(30.0, max(-30.0, weights[0] * mean + weights[1] * rooted + weights[2]))))
+
+
+def _own(c: Column, other: Column, n: float, m: float, z: float) -> Column:
+    """own_mass of one class as a column."""
+    e = F.lit(float(n)) * F.least((c + 1) / F.lit(float(n)), (other + 1) / F.lit(float(m)))
+    return F.greatest(c - F.lit(DISCOUNT) - F.lit(LIFT) * e - F.lit(z) * F.sqrt(e), F.lit(0.0))
 
-    Labels that are null, or whose id is, teach nothing; an id with several labels is toxic if
-    one of them is. Texts without labels aren't shuffled (a sieve of labelled ids).
-    """
-    fold = F.pmod(crc32_of_id(id_col), F.lit(folds))
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (fold != held_out))
-    known = cut(known.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y")).withColumn("count_it", F.pmod(crc32_of_id("id"), F.lit(folds)) == (held_out + 1) % folds))
-    rest = known.where("not count_it")
-    rate = CALIBRATION_ROWS / max(1, rest.count())
-    drawn = rest.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1_000_000)) < rate * 1_000_000)
-    known = cut(known.where("count_it").unionByName(drawn))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    texts = sifted(texts, "id", cut(sieve(known, "id"))).where("_hit").join(known, "id").select("id", "text", "y", "count_it")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: tuple[Counter, Counter] = (Counter(), Counter())
+def _shared(a: Column, b: Column, n: float, m: float) -> Column:
+    return F.least((a + 1) / F.lit(float(n)), (b + 1) / F.lit(float(m))) + SHARE * (a + b + 1) / F.lit(float(n + m))
+
+
+def count_units(texts: DataFrame) -> DataFrame:
+    """Rows (level, unit, toxic, ordinary): in how many texts (text, y) of each class a unit occurs. Combined before the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
 
         def out() -> pa.RecordBatch:
-            made = [(w, y, n) for y in (0, 1) for w, n in counts[y].items()]
-            for c in counts:
-                c.clear()
-            w, y, n = zip(*made) if made else ([], [], [])
-            return pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array(y, pa.int32()), pa.array(n, pa.int64())], ["word", "y", "n"])
+            made = [(*key, n) for key, n in counts.items()]
+            counts.clear()
+            columns = zip(*made) if made else ([], [], [], [])
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int32(), pa.string(), pa.int32(), pa.int64()))], ["level", "unit", "y", "n"])
 
         for batch in batches:
             for text, y in zip(batch.column(0), batch.column(1).to_pylist()):
-                counts[bool(y)].update(set(words(text.as_py())))
-                if len(counts[0]) + len(counts[1]) > 200_000:
+                found = words(text.as_py())
+                for level, n in enumerate(STEMS):
+                    counts.update((level, u, y) for u in {w[:n] for w in found})
+                counts.update((LEVELS - 1, w, y) for w in found)
+                if len(counts) > 200_000:
                     yield out()
         yield out()
 
-    kinds = texts.where("count_it").select("text", "y").mapInArrow(count, "word string, y int, n long")
-    kinds = cut(kinds.groupBy("word", "y").agg(F.sum("n").alias("n")))
-    spot = lambda c: F.xxhash64(c).bitwiseAND(F.lit(CELLS - 1))
-    levels = [kinds.select(F.lit(0).alias("level"), "y", spot("word").alias("cell"), "n")]
-    levels += [kinds.select(F.lit(k + 1).alias("level"), "y", spot(F.substring("word", 1, n)).alias("cell"), F.lit(1).cast("long").alias("n")) for k, n in enumerate(STEMS)]
-    rows = levels[0].unionByName(levels[1]).unionByName(levels[2]).groupBy("level", "y", "cell").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros((1 + len(STEMS), 2, CELLS), np.float32)
-    counts[rows["level"].to_numpy(np.int64), 1 - rows["y"].to_numpy(np.int64), rows["cell"].to_numpy(np.int64)] = rows["n"].to_numpy(np.float32)
-    model = ToxicityModel(counts)
+    found = texts.select("text", "y").mapInArrow(run, "level int, unit string, y int, n long")
+    of = lambda y: F.sum(F.when(F.col("y") == y, F.col("n")).otherwise(0))
+    return found.groupBy("level", "unit").agg(of(1).alias("toxic"), of(0).alias("ordinary"))
 
-    bound = docs.sparkSession.sparkContext.broadcast(model)
-
-    def ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = np.array([bound.value.ratios(t.as_py()) for t in batch.column(0)], np.float64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(values[:, 0]), pa.array(values[:, 1]), batch.column(1)], ["r", "z", "y"])
 
-    seen: pd.DataFrame = texts.where("not count_it").select("text", "y").mapInArrow(ratios, "r double, z double, y int").toPandas()
-    model.calibrate(seen[["r", "z"]].to_numpy(np.float64), (seen["y"].to_numpy() > 0).astype(float))
-    return model
+def fitted(counts: DataFrame) -> tuple[DataFrame, list[tuple[float, float]], dict[float, list[tuple[float, float, float]]]]:
+    """(units that some class holds as its own at some strictness, totals, kept) of count_units.
 
+    A unit also stays if it would be some class's own with one text less of either class.
+    """
+    sums = {r["level"]: (float(r["a"]), float(r["b"])) for r in counts.groupBy("level").agg(F.sum("toxic").alias("a"), F.sum("ordinary").alias("b")).collect()}
+    totals = [tuple(max(1.0, x) for x in sums.get(level, (0.0, 0.0))) for level in range(LEVELS)]
+    a, b = F.col("toxic").cast("double"), F.col("ordinary").cast("double")
+    both, kept = [], {z: [] for z in STRICTNESS}
+    for level, (n, m) in enumerate(totals):
+        at = counts.where(F.col("level") == level)
+        least = min(STRICTNESS)
+        fewer = ((a, b), (F.greatest(a - 1, F.lit(0.0)), b), (a, F.greatest(b - 1, F.lit(0.0))))
+        both.append(at.where(F.greatest(*[x for p, q in fewer for x in (_own(p, q, n, m, least), _own(q, p, m, n, least))]) > 0))
+        sums_ = [_shared(a, b, n, m), *[x for z in STRICTNESS for x in (_own(a, b, n, m, z), _own(b, a, m, n, z))]]
+        norm, *row = at.agg(*[F.coalesce(F.sum(x), F.lit(0.0)) for x in sums_]).first()
+        for k, z in enumerate(STRICTNESS):
+            kept[z].append((1 - row[2 * k] / n, 1 - row[2 * k + 1] / m, norm or 1.0))
+    known = both[0]
+    for part in both[1:]:
+        known = known.unionByName(part)
+    return known, totals, kept
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 3, held_out: int = 1, sample: int = CALIBRATION_ROWS, units_sent: int = UNITS_SENT) -> ToxicityModel | TableModel:
+    """Count all labelled texts but those of fold ``held_out``, which is never read; calibrate on about ``sample`` of them.
 
-def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
-    """Rows (id, score, predicted) for every row of docs; whole texts, null counts as empty."""
-    bound = docs.sparkSession.sparkContext.broadcast(model)  # tables of fixed size
+    Labels that are null, or whose id is, teach nothing; an id with several labels is toxic if
+    one of them is. Texts without labels aren't shuffled (a sieve of labelled ids). Units that
+    tell the classes apart are counted; up to ``units_sent`` travel with the tasks, more stay a
+    table that texts are joined to, with the same scores.
+    """
+    fold = F.pmod(crc32_of_id(id_col), F.lit(folds))
+    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (fold != held_out))
+    known = cut(known.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("y")))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    texts = sifted(texts, "id", cut(sieve(known, "id"))).where("_hit").join(known, "id").select("id", "text", "y")
+
+    counts = cut(count_units(texts))
+    table, totals, kept = fitted(counts)
+    table = cut(table)
+    rate = sample / max(1, known.count())
+    drawn = cut(texts.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1_000_000)) < rate * 1_000_000))
+    few = table.count() <= units_sent
+    if few:
+        model = ToxicityModel(_collected(table), totals, kept)
+    else:  # the sample's own units are enough to calibrate by
+        named = drawn.select(F.explode(_words("text")).alias("word")).distinct()
+        near = [named.select(F.lit(level).alias("level"), (F.substring("word", 1, n) if n else F.col("word")).alias("unit")).distinct() for level, n in enumerate((*STEMS, 0))]
+        wanted = near[0].unionByName(near[1]).unionByName(near[2])
+        model = ToxicityModel(_collected(table.join(wanted, ["level", "unit"], "left_semi")), totals, kept)
+    bound = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = np.array([bound.value.score(t.as_py() or "") for t in batch.column(1)], np.float64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], ["id", "score", "predicted"])
-
-    out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, score double, predicted int")
-    return out.withColumnRenamed("id", id_col)
+            rows = []
+            for text, y in zip(batch.column(0), batch.column(1).to_pylist()):
+                rows.append([x for z in STRICTNESS for x in bound.value.left_out(text.as_py(), y > 0, z)])
+            values = np.array(rows, np.float64).reshape(-1, 2 * len(STRICTNESS))
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.FixedSizeListArray.from_arrays(pa.array(values.ravel()), values.shape[1]).cast(pa.list_(pa.float64()))], ["y", "r"])
+
+    seen: pd.DataFrame = drawn.select("text", "y").mapInArrow(ratios, "y int, r array<double>").toPandas()
+    seen = seen.iloc[sorted(range(len(seen)), key=lambda i: (seen["y"].iloc[i], tuple(seen["r"].iloc[i])))]  # sums don't depend on the order of tasks
+    toxic = (seen["y"].to_numpy() > 0).astype(float)
+    values = np.array(seen["r"].tolist(), np.float64).reshape(len(seen), len(STRICTNESS), 2)
+    losses = []
+    for k, z in enumerate(STRICTNESS if len(seen) else ()):
+        losses.append((model.calibrate(values[:, k], toxic), z, model.weights))
+    if losses:
+        _, model.z, model.weights = min(losses, key=lambda x: x[:2])
+    return model if few else TableModel(table, model)
+
+
+def _collected(table: DataFrame) -> list[dict[str, tuple[int, int]]]:
+    known: list[dict[str, tuple[int, int]]] = [{} for _ in range(LEVELS)]
+    rows = table.toPandas()
+    for level, unit, toxic, ordinary in zip(rows["level"], rows["unit"], rows["toxic"], rows["ordinary"]):
+        known[level][unit] = (int(toxic), int(ordinary))
+    return known
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _words(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: sorted(words(t or "")))
+
+
+class TableModel:
+    """A model whose units are too many to send: words of texts are joined to them."""
+
+    def __init__(self, table: DataFrame, model: ToxicityModel):
+        self.table, self.model = table, model
+
+    def score(self, docs: DataFrame) -> DataFrame:
+        """Rows (id, score) of rows (id, text)."""
+        m, spark = self.model, docs.sparkSession
+        rows = cut(docs.select(F.monotonically_increasing_id().alias("row"), "id", _words("text").alias("words")))
+        spread = rows.select("row", F.explode("words").alias("word"))
+        # each different word is looked up once; only words that some class knows come back
+        ratio = spread.select("word").distinct().select("word", *[(F.substring("word", 1, n) if n else F.col("word")).alias(f"u{level}") for level, n in enumerate((*STEMS, 0))])
+        toxic = ordinary = F.lit(1.0)
+        for level, ((n, o), (g, h, norm)) in enumerate(zip(m.totals, m.kept[m.z])):
+            part = self.table.where(F.col("level") == level).select(F.col("unit").alias(f"u{level}"), F.col("toxic").cast("double").alias(f"a{level}"), F.col("ordinary").cast("double").alias(f"b{level}"))
+            ratio = ratio.join(part, f"u{level}", "left")
+            a, b = F.col(f"a{level}"), F.col(f"b{level}")
+            shared = _shared(a, b, n, o) / norm
+            toxic = toxic * g + F.coalesce(_own(a, b, n, o, m.z) / n / shared, F.lit(0.0))
+            ordinary = ordinary * h + F.coalesce(_own(b, a, o, n, m.z) / o / shared, F.lit(0.0))
+        base = m.unknown(m.z)
+        own = F.coalesce(*[F.col(f"a{level}") for level in range(LEVELS)]).isNotNull()
+        ratio = cut(ratio.where(own).select("word", (F.log(toxic / ordinary) - base).alias("r")))
+        sums = spread.join(ratio, "word").groupBy("row").agg(F.sum("r").alias("total"))
+        n, total = F.size("words"), F.coalesce("total", F.lit(0.0))
+        rooted = F.sqrt(F.greatest(n, F.lit(1)).cast("double"))
+        x = m.weights[0] * (total / F.greatest(n, F.lit(1)) + base) + m.weights[1] * (total / rooted + base * F.sqrt(n.cast("double"))) + m.weights[2]
+        return rows.join(sums, "row", "left").select("id", (1 / (1 + F.exp(-F.least(F.greatest(x, F.lit(-30.0)), F.lit(30.0))))).alias("score"))
+
+
+def score(docs: DataFrame, model: ToxicityModel | TableModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """Rows (id, score, predicted) for every row of docs; whole texts, null counts as empty; other columns are ignored."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    if isinstance(model, TableModel):
+        out = model.score(rows)
+    else:
+        bound = docs.sparkSession.sparkContext.broadcast(model)  # at most UNITS_SENT units, counted by train
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                scores = np.array([bound.value.score(t.as_py()) for t in batch.column(1)], np.float64)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], ["id", "score"])
+
+        out = rows.mapInArrow(run, "id long, score double")
+    return out.select(F.col("id").alias(id_col), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -1,21 +1,26 @@
 """SimHash near-dedup (6) by the generalised pigeonhole principle.
 
-A fingerprint is split into four partitions of 16 bits. Bits that are correlated over all
-fingerprints share a partition, so that the others tell more apart. Two fingerprints within
-``tau`` bits of each other agree up to T_i bits in some partition i whenever the thresholds T_i
-of the one (-1: partition not probed) add up to tau - 4 + 1. Each fingerprint gets the
-thresholds that promise it the fewest candidates, by dynamic programming over the partitions
-on a histogram of partition values (at most 4 x 65,536 counts, whatever the input).
+A fingerprint is split into partitions, whose number depends on how many fingerprints there are:
+few wide ones for many, so that a cell (a value of a partition) holds few of them. Bits that are
+correlated over all fingerprints share a partition, so that the others tell more apart. Two
+fingerprints within ``tau`` bits of each other agree up to T_i bits in some partition i of m
+whenever the thresholds T_i of the one (-1: partition not probed) add up to tau - m + 1. Each
+fingerprint gets the thresholds that promise it the fewest candidates, by dynamic programming over
+the partitions on a histogram of partition values (their first 16 bits, so at most 65,536 counts
+a partition, whatever the input).
 
 A fingerprint is listed in the cell of its own value in each partition, and probes the cells
-within T_i bits of it. Cells are compared in blocks of bounded size; what a block emits is a
-spanning forest of the links that it verified, at most a row for each member.
+within T_i bits of it. Cells with more than BLOCK rows, listed and probing, are compared block by
+block; what a block emits is a spanning forest of the links that it verified, at most a row for
+each member.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -24,11 +29,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from setphrase.llm.common import Forest, connected_components, cut, sieve, sifted, without
+from setphrase.llm.common import Forest, connected_components, cut, sieve, sifted, spread_join, without
 
-PARTS, WIDTH, BITS = 4, 16, 64
+BITS, COUNTED = 64, 16
 BLOCK = 2048
 CHUNK = 1024
+CELLS_SENT = 1_000_000
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 WORDS_AT_ONCE = 200_000
 MEMBERS, LETTERS = 512, 4_000_000
@@ -96,19 +102,33 @@ def _correlations(distinct: DataFrame) -> tuple[np.ndarray, int]:
     return both.reshape(BITS, BITS), distinct.count()
 
 
-def group_bits(both: np.ndarray, n: int) -> list[list[int]]:
-    """Four groups of 16 bits: each starts with the most correlated free pair and takes the free bit most correlated with it."""
+def widths(n: int, tau: int) -> list[int]:
+    """Widths of the partitions that promise the least work for n evenly spread fingerprints: a row for each cell probed, and candidates, of which a row is worth fifty."""
+
+    def cost(parts: int) -> float:
+        each = _even(BITS, parts)
+        return sum(sum(comb(w, r) for r in range(t + 1)) * (1 + n / 2**w / 50) for w, t in zip(each, _even(tau + 1, parts, -1)))
+
+    return _even(BITS, min(range(2, min(tau + 1, 8) + 1), key=cost) if tau else 1)
+
+
+def _even(total: int, parts: int, plus: int = 0) -> list[int]:
+    return [total // parts + (i < total % parts) + plus for i in range(parts)]
+
+
+def group_bits(both: np.ndarray, n: int, sizes: list[int]) -> list[list[int]]:
+    """Groups of bits of these sizes: each starts with the most correlated free pair and takes the free bit most correlated with it."""
     p = np.diag(both) / max(n, 1)
     spread = np.sqrt(np.outer(p * (1 - p), p * (1 - p)))
     correlation = np.divide(both / max(n, 1) - np.outer(p, p), spread, out=np.zeros((BITS, BITS)), where=spread > 0)
     correlation = np.abs(correlation)
     np.fill_diagonal(correlation, -1)
     free, groups = list(range(BITS)), []
-    while free:
+    for size in sizes:
         pairs = correlation[np.ix_(free, free)]
         i, j = divmod(int(pairs.argmax()), len(free))
         group = [free[i], free[j]]
-        while len(group) < WIDTH:
+        while len(group) < size:
             rest = [b for b in free if b not in group]
             group.append(rest[int(correlation[np.ix_(rest, group)].mean(1).argmax())])
         groups.append(sorted(group))
@@ -126,10 +146,18 @@ def part_values(fp: np.ndarray, groups: list[list[int]]) -> np.ndarray:
     return out
 
 
-BALLS = [np.array([0], np.int64)] + [np.array([sum(1 << b for b in c) for c in combinations(range(WIDTH), r)], np.int64) for r in range(1, WIDTH + 1)]
+@cache
+def ball(width: int, radius: int) -> np.ndarray:
+    """The masks of exactly so many bits."""
+    return np.array([sum(1 << b for b in c) for c in combinations(range(width), radius)], np.int64)
 
 
-def thresholds(values: np.ndarray, histogram: np.ndarray, tau: int) -> np.ndarray:
+def counted(value: np.ndarray, width: int) -> np.ndarray:
+    """The bits of a value by which it is counted in the histogram."""
+    return value >> max(0, width - COUNTED)
+
+
+def thresholds(values: np.ndarray, histogram: np.ndarray, tau: int, sizes: list[int]) -> np.ndarray:
     """(partitions, n) thresholds from -1 to tau that add up to tau - partitions + 1, with the fewest candidates and probes.
 
     cost[i, t + 1] estimates what threshold t in partition i brings: the fingerprints in the
@@ -138,12 +166,16 @@ def thresholds(values: np.ndarray, histogram: np.ndarray, tau: int) -> np.ndarra
     """
     parts, n = values.shape
     cost = np.zeros((parts, tau + 2, n))
-    for i in range(parts):
+    for i, width in enumerate(sizes):
+        share = 2.0 ** -max(0, width - COUNTED)  # of a counted value's fingerprints, in one of its cells
         for t in range(tau + 1):
+            if t > width:
+                cost[i, t + 1] = np.inf
+                continue
             # cells at exactly t bits; a ball of 3 bits in 16 has 697 cells
-            at = sum((histogram[i][values[i] ^ m] for m in BALLS[t]), np.zeros(n)) if t < 2 else np.full(n, histogram[i].sum() * len(BALLS[t]) / 2**WIDTH)
-            cost[i, t + 1] = cost[i, t] + at + len(BALLS[t])
-    goal = tau - parts + 1 + parts  # thresholds counted from -1
+            at = sum((histogram[i][counted(values[i] ^ m, width)] * share for m in ball(width, t)), np.zeros(n)) if t < 2 else np.full(n, histogram[i].sum() * comb(width, t) / 2**width)
+            cost[i, t + 1] = cost[i, t] + at + comb(width, t)
+    goal = tau + 1  # thresholds counted from -1
     best, choice = np.full((goal + 1, n), np.inf), []
     best[0] = 0
     for i in range(parts):
@@ -186,54 +218,51 @@ def link_block(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, probe: np.ndarr
     return a[a != b], b[a != b]
 
 
-def near_links(distinct: DataFrame, tau: int) -> DataFrame:
-    """Links (a, b) that connect, among rows (fp, rep) of different fingerprints, those within tau bits of each other."""
+def near_links(distinct: DataFrame, tau: int, sizes: list[int] | None = None) -> DataFrame:
+    """Links (a, b) that connect, among rows (fp, rep) of different fingerprints, those within tau bits of each other.
+
+    ``sizes`` are the partitions' widths, which add up to 64; without them ``widths`` chooses.
+    """
     both, n = _correlations(distinct)
-    groups = group_bits(both, n)
+    sizes = sizes or widths(n, tau)
+    groups = group_bits(both, n, sizes)
 
     def cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for values, part in zip(part_values(frame["fp"].to_numpy(np.int64), groups), range(PARTS)):
-                yield pd.DataFrame({"part": np.int32(part), "value": values.astype(np.int32)})
+            for p, values in enumerate(part_values(frame["fp"].to_numpy(np.int64), groups)):
+                yield pd.DataFrame({"part": np.int32(p), "value": counted(values, sizes[p]).astype(np.int32)})
 
     counts = distinct.select("fp").mapInPandas(cells, "part int, value int").groupBy("part", "value").agg(F.count("*").alias("n")).toPandas()
-    histogram = np.zeros((PARTS, 1 << WIDTH), np.int64)
+    histogram = np.zeros((len(sizes), 1 << COUNTED), np.int64)
     histogram[counts["part"].to_numpy(np.int64), counts["value"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
 
     def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Cell rows of each fingerprint; a cell of more than BLOCK members is compared block by block."""
+        """Cell rows of each fingerprint: its own cell in each partition, and those that it probes."""
         for frame in frames:
             for at in range(0, len(frame), CHUNK):
                 part_ = frame.iloc[at : at + CHUNK]
                 fp, rep = part_["fp"].to_numpy(np.int64), part_["rep"].to_numpy(np.int64)
                 values = part_values(fp, groups)
-                t = thresholds(values, histogram, tau)
-                block = (fp.view(np.uint64) * P1 >> np.uint64(40)).astype(np.int64)
-                for p in range(PARTS):
+                t = thresholds(values, histogram, tau, sizes)
+                for p, width in enumerate(sizes):
                     rows = [(np.arange(len(fp)), values[p], t[p] >= 0, np.ones(len(fp), bool))]
                     for r in range(1, tau + 1):
                         far = np.flatnonzero(t[p] >= r)
-                        for m in BALLS[r] if len(far) else ():
-                            hit = far[histogram[p][values[p][far] ^ m] > 0]
+                        for m in ball(width, r) if len(far) else ():
+                            hit = far[histogram[p][counted(values[p][far] ^ m, width)] > 0]
                             rows.append((hit, values[p][hit] ^ m, np.ones(len(hit), bool), np.zeros(len(hit), bool)))
                     who, value, probe, listed = (np.concatenate(x) for x in zip(*rows))
-                    blocks = np.maximum(-(-histogram[p][value] // BLOCK), 1)
-                    mine = block[who] % blocks
-                    again = np.repeat(np.arange(len(who)), blocks)
-                    other = np.arange(len(again)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-                    low, high = np.minimum(mine[again], other), np.maximum(mine[again], other)
-                    key = ((np.int64(p) << 16 | value[again]) << 44) | low << 22 | high
                     flags = (probe * 1 + listed * 2).astype(np.int8)
-                    for cut_ in range(0, len(again), 100_000):
-                        some = again[cut_ : cut_ + 100_000]
-                        yield pd.DataFrame({"cell": key[cut_ : cut_ + 100_000], "fp": fp[who[some]], "rep": rep[who[some]], "flags": flags[some]})
+                    for cut_ in range(0, len(who), 50_000):
+                        some = slice(cut_, cut_ + 50_000)
+                        yield pd.DataFrame({"cell": np.int64(p) << 56 | value[some], "fp": fp[who[some]], "rep": rep[who[some]], "flags": flags[some]})
 
     def links(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
         for frame in frames:
             held = frame if held is None else pd.concat([held, frame], ignore_index=True)
-            last = held["cell"].iloc[-1]
-            whole = held["cell"].to_numpy() != last
+            last = held[["cell", "low", "high"]].iloc[-1]
+            whole = (held[["cell", "low", "high"]] != last).to_numpy().any(1)
             if whole.sum() >= 20_000:
                 yield found(held[whole])
                 held = held[~whole].reset_index(drop=True)
@@ -242,12 +271,21 @@ def near_links(distinct: DataFrame, tau: int) -> DataFrame:
 
     def found(rows: pd.DataFrame) -> pd.DataFrame:
         flags = rows["flags"].to_numpy(np.int8)
-        a, b = link_block(rows["cell"].to_numpy(np.int64), rows["fp"].to_numpy(np.int64), rows["rep"].to_numpy(np.int64), (flags & 1) > 0, (flags & 2) > 0, tau)
+        names = [rows[c].to_numpy() for c in ("cell", "low", "high")]
+        new = np.r_[True, np.logical_or.reduce([x[1:] != x[:-1] for x in names])] if len(rows) else np.zeros(0, bool)
+        a, b = link_block(np.cumsum(new), rows["fp"].to_numpy(np.int64), rows["rep"].to_numpy(np.int64), (flags & 1) > 0, (flags & 2) > 0, tau)
         return pd.DataFrame({"a": a, "b": b})
 
     known = distinct.where("rep is not null")
-    dealt = known.mapInPandas(spread, "cell long, fp long, rep long, flags byte").repartition("cell").sortWithinPartitions("cell", "rep")
-    return cut(dealt.mapInPandas(links, "a long, b long").distinct())
+    dealt = cut(known.mapInPandas(spread, "cell long, fp long, rep long, flags byte"))
+    # the rows of a large cell go to each pair of its blocks that holds theirs
+    large = cut(dealt.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    large = F.broadcast(large) if large.count() <= CELLS_SENT else large
+    own = F.pmod(F.xxhash64("fp"), F.coalesce("blocks", F.lit(1))).cast("int")
+    other = dealt.join(large, "cell", "left").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
+    paired = other.select("cell", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "fp", "rep", "flags")
+    key = ["cell", "low", "high"]
+    return cut(paired.repartition(*key).sortWithinPartitions(*key, "rep").mapInPandas(links, "a long, b long").distinct())
 
 
 def near_groups(prints: DataFrame, tau: int = 3) -> DataFrame:
@@ -257,10 +295,10 @@ def near_groups(prints: DataFrame, tau: int = 3) -> DataFrame:
     never stands for others unless all rows of a fingerprint have one.
     """
     prints = cut(prints)
-    distinct = cut(prints.groupBy("fp").agg(F.min("id").alias("rep")))
+    distinct = cut(prints.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("n")))
     components = connected_components(near_links(distinct, tau))
-    named = cut(distinct.join(components, distinct["rep"] == components["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id")))
-    return prints.join(named, "fp").select("id", "fp", "component_id")
+    named = cut(distinct.join(components, distinct["rep"] == components["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"), "n"))
+    return spread_join(prints, named, ["fp"], "n").select("id", "fp", "component_id")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, tau: int = 3) -> DataFrame:
@@ -406,8 +444,9 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataF
     return source.mapInArrow(run, "id long, h binary, fp long, bands array<long>")
 
 
-def text_hash(text_col: str) -> Column:
-    return F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+def text_hash(text: str | Column) -> Column:
+    text = F.col(text) if isinstance(text, str) else text
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
 def band_links(banded: DataFrame) -> DataFrame:
@@ -446,4 +485,4 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     later = connected_components(links).where("node > component").select("node", F.lit(True).alias("later"))
     decided = cut(nodes.join(later, "node", "left").select("h", "first", "later"))
     gone = prints.join(decided, "h").where(F.col("later").isNotNull() | ~F.col("id").eqNullSafe(F.col("first"))).select("id", "h")
-    return without(docs, gone, F.col(id_col).cast("long"), text_hash(text_col))
+    return without(docs, gone, lambda c: c(id_col).cast("long"), lambda c: text_hash(c(text_col)))

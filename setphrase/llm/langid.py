@@ -12,12 +12,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from setphrase.llm.common import cut
+
 CELLS = 1 << 16
 SPECTRUM = 3
 SAMPLE_PER_LANGUAGE = 800
@@ -133,14 +134,13 @@ def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     """Fit on about ``per_language`` texts of each language, among rows where ``learn`` holds and the language is not null.
 
     The sample takes the rows whose hashed id falls below a rate that the language's count
-    sets, so it needs no sort. Only the texts' n-gram cells (at most CELLS each) are collected.
+    sets, so it needs no sort. All languages are learned, however many. Only the texts' n-gram cells (at most CELLS each) are collected.
     """
     rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(1000).collect()
-    rate = F.lit(0.0)
-    for r in counts:
-        rate = F.when(F.col("lang") == r["lang"], F.lit(per_language / r["n"])).otherwise(rate)
-    drawn = rows.where(F.pmod(F.xxhash64("id", F.lit(8)), F.lit(1_000_000)) < rate * 1_000_000)
+    counts = cut(rows.groupBy("lang").agg(F.count("*").alias("n")))
+    # a row for each language, of each of which the model itself holds CELLS floats
+    rated = rows.join(F.broadcast(counts), "lang")
+    drawn = rated.where(F.pmod(F.xxhash64("id", F.lit(8)), F.lit(1_000_000)) < F.lit(per_language * 1_000_000.0) / F.col("n")).select("id", "text", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(CELLS, bool)
@@ -148,18 +148,18 @@ def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
             cells = [grams(t.as_py(), table) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([c.astype("<u2").tobytes() for c in cells], pa.binary())], ["id", "lang", "cells"])
 
-    sample = drawn.mapInArrow(run, "id long, lang string, cells binary").toPandas() if counts else pd.DataFrame({"id": [], "lang": [], "cells": []})
+    sample = drawn.mapInArrow(run, "id long, lang string, cells binary").toPandas()
     sample = sample[sample["cells"].map(len) > 0].sort_values(["id", "lang"])
     return KernelClassifier.fit([np.frombuffer(c, "<u2").astype(np.int64) for c in sample["cells"]], sample["lang"].tolist())
 
 
-def identify(docs: DataFrame, model: KernelClassifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the columns ``lang_pred`` and ``score`` beside all its own.
+def identify(docs: DataFrame, model: KernelClassifier, id_col: str = "doc_id", text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
+    """docs with the columns ``pred_col`` and ``score_col`` behind all its own; columns of docs with these names are replaced.
 
     ``und`` (score 0) if the text is null or has no letter, or if nothing was learned.
     """
     bound = docs.sparkSession.sparkContext.broadcast(model)  # CELLS x languages floats
-    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    names = [c for c in docs.columns if c.lower() not in (pred_col.lower(), score_col.lower())]
     kept = docs.select(*[F.col(f"`{c}`") for c in names])
     at = names.index(text_col)
 
@@ -169,7 +169,7 @@ def identify(docs: DataFrame, model: KernelClassifier, id_col: str = "doc_id", t
             for first in range(0, len(batch), 256):
                 part = batch.slice(first, 256)
                 langs, scores = model_.predict([grams(t.as_py(), table) for t in part.column(at)])
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*part.schema.names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*part.schema.names, pred_col, score_col])
 
-    schema = StructType([*kept.schema.fields]).add("lang_pred", "string").add("score", "double")
+    schema = StructType([*kept.schema.fields]).add(pred_col, "string").add(score_col, "double")
     return kept.mapInArrow(run, schema)

@@ -14,6 +14,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from setphrase.llm.common import cut
+
 DIMS = ("source", "lang", "topic")
 ROUNDS = 25
 CELLS_ON_DRIVER = 200_000
@@ -22,22 +24,18 @@ UNKNOWN = "\x00null"
 
 def n_tokens(text: str) -> Column:
     """Words between white space; 0 for null."""
-    trimmed = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
-    return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, r"[\x20\x09-\x0D]+"))).cast("long")
+    return F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
 def topic(text: str) -> Column:
-    """What kind of content a text is, by its own words: licensed, secret, shouted, marked, long or short prose, none."""
+    """The form of a text, for documents that carry no topic of their own: none (no letter), symbols (fewer than
+    three letters to a character that is neither letter nor white space), else short, medium or long
+    prose (below 1,000, below 10,000 characters, longer)."""
     t = F.coalesce(F.col(text), F.lit(""))
-    return (
-        F.when(~t.rlike(r"\S"), "none")
-        .when(t.rlike(r"(?i)\blicensed under\b|\ball rights reserved\b"), "licensed")
-        .when(t.rlike(r"(?i)\b(token|password|api_key|secret)\s*="), "secret")
-        .when(t.rlike(r"!! \S+!!"), "shouted")
-        .when(t.rlike(r"[#$%&*]{3}"), "marked")
-        .when(F.length(t) >= 4000, "long")
-        .otherwise("short")
-    )
+    other = F.length(F.regexp_replace(t, r"[\p{L}\x20\x09-\x0D]+", ""))
+    letters = F.length(F.regexp_replace(t, r"[^\p{L}]+", ""))
+    size = F.length(t)
+    return F.when(letters == 0, "none").when(letters < 3 * other, "symbols").when(size < 1_000, "short").when(size < 10_000, "medium").otherwise("long")
 
 
 def tempered(shares: Mapping[str, float], exponent: float) -> dict[str, float]:
@@ -64,8 +62,6 @@ def rake(cells: np.ndarray, codes: np.ndarray, targets: Sequence[np.ndarray], ro
 
 def _rake_frames(cells: DataFrame, dims: Sequence[str], targets: Mapping[str, DataFrame], rounds: int) -> DataFrame:
     """The same as rake for more cells than the driver should hold, as joins and sums."""
-    from setphrase.llm.common import cut
-
     total = cells.agg(F.sum("tokens").cast("double").alias("t")).first()["t"] or 0.0
     now = cells.withColumn("w", F.col("tokens").cast("double"))
     for _ in range(rounds):
@@ -88,9 +84,11 @@ def mixed(
     lang_col: str = "lang",
     cells_on_driver: int = CELLS_ON_DRIVER,
     row_col: str | None = None,
+    topic_col: str | None = None,
 ) -> DataFrame:
     """Rows (id, source, lang, topic, tokens, weight, probability, draw, sampled) for every row of docs.
 
+    ``topic_col`` names a column of topics (null is a topic of its own); without one, a text's form is its topic.
     ``targets`` gives shares of tokens for values of source, lang or topic; a dimension that it
     leaves out gets its own shares raised to ``exponent``; values that it doesn't name get none.
     ``weight`` is the calibrated factor of the cell: sums of weight x tokens meet the targets.
@@ -104,15 +102,13 @@ def mixed(
         F.col(id_col).cast("long").alias("id"),
         F.coalesce(F.col(source_col), F.lit(UNKNOWN)).alias("source"),
         F.coalesce(F.col(lang_col), F.lit(UNKNOWN)).alias("lang"),
-        topic(text_col).alias("topic"),
+        (F.coalesce(F.col(topic_col), F.lit(UNKNOWN)) if topic_col else topic(text_col)).alias("topic"),
         n_tokens(text_col).alias("tokens"),
         F.coalesce(F.col(id_col).cast("long").cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).alias("drawn_by"),
         *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row_col)] if row_col else []),
     )
     spark = docs.sparkSession
     cells = named.groupBy(*DIMS).agg(F.sum("tokens").alias("tokens"))
-    from setphrase.llm.common import cut
-
     cells = cut(cells.where("tokens > 0"))
     n = cells.count()
     if n <= cells_on_driver:
@@ -148,7 +144,7 @@ def mixed(
     probability = F.when(F.col("tokens") > 0, F.col("factor") / F.col("top")).otherwise(F.lit(1.0))
     draw = F.conv(F.substring(F.md5(F.concat(F.lit("mix:"), F.col("drawn_by")).cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
     null = lambda c: F.when(F.col(c) != UNKNOWN, F.col(c)).alias(c)
-    out = found.select("id", null("source"), null("lang"), "topic", "tokens", weight.alias("weight"), probability.alias("probability"), draw.alias("draw"), *([row_col] if row_col else []))
+    out = found.select("id", null("source"), null("lang"), null("topic"), "tokens", weight.alias("weight"), probability.alias("probability"), draw.alias("draw"), *([row_col] if row_col else []))
     return out.withColumn("sampled", F.col("draw") < F.col("probability")).withColumnRenamed("id", id_col)
 
 

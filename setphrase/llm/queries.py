@@ -102,13 +102,11 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _raking_sql(rounds: int, exponent: float) -> str:
     """IPF with its rounds written out: each fits one marginal of the one before."""
     t = r"coalesce(text, '')"
-    trimmed = rf"regexp_replace({t}, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')"
+    letters, other = rf"length(regexp_replace({t}, '[^\p{{L}}]+', '', 'g'))", rf"length(regexp_replace({t}, '[\p{{L}}\x20\x09-\x0D]+', '', 'g'))"
     parts = [
         rf"""docs as materialized (select doc_id, coalesce(source, '{mixing.UNKNOWN.strip(chr(0))}?') as source, coalesce(lang, '{mixing.UNKNOWN.strip(chr(0))}?') as lang,
-  case when not regexp_matches({t}, '\S') then 'none' when regexp_matches({t}, '(?i)\blicensed under\b|\ball rights reserved\b') then 'licensed'
-    when regexp_matches({t}, '(?i)\b(token|password|api_key|secret)\s*=') then 'secret' when regexp_matches({t}, '!! \S+!!') then 'shouted'
-    when regexp_matches({t}, '[#$%&*]{{3}}') then 'marked' when length({t}) >= 4000 then 'long' else 'short' end as topic,
-  case when {trimmed} = '' then 0 else len(regexp_split_to_array({trimmed}, '[\x20\x09-\x0D]+')) end as n_tokens from documents)""",
+  case when {letters} = 0 then 'none' when {letters} < 3 * {other} then 'symbols' when length({t}) < 1000 then 'short' when length({t}) < 10000 then 'medium' else 'long' end as topic,
+  len(regexp_extract_all({t}, '[^\x20\x09-\x0D]+')) as n_tokens from documents)""",
         "c0 as materialized (select source, lang, topic, sum(n_tokens)::double as tokens, sum(n_tokens)::double as w from docs group by all having sum(n_tokens) > 0)",
     ]
     for d in mixing.DIMS:

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from setphrase.llm import embed_dedup, exact_dedup, html_main, langid, mixing, packing, queries, simhash, tokens, toxicity, url_rules, wavelet
 from setphrase.llm.common import connected_components
@@ -23,7 +24,8 @@ def docs_frame(spark, rows):
 @pytest.fixture(scope="module")
 def awkward(spark):
     # clashing names beside the known columns
-    return docs_frame(spark, AWKWARD).selectExpr("*", "1 as id", "2 as t", "3 as h", "4 as fp", "5 as word", "6 as length")
+    names = "id t h fp word length _w _b _bits _hit _key0 _gone0 _c0 score lang_pred _row row key node n_links topic tokens weight".split()
+    return docs_frame(spark, AWKWARD).selectExpr("*", *[f"{i} as {c}" for i, c in enumerate(names)])
 
 
 @pytest.fixture(scope="module")
@@ -79,10 +81,18 @@ def test_embeddings_against_brute_force(spark, data):
     assert all(found[i]["n_links"] == 0 and found[i]["component_id"] == i for i, _ in bad)
 
 
+def test_vectors_that_share_an_id_keep_their_own_links(spark):
+    rows = [(1, [1.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0]), (2, [0.99, 0.1, 0.0]), (None, [0.0, 1.0, 0.001]), (None, [0.0, 0.0, 5.0]), (3, [0.0, 0.0, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "0 as key", "1 as row", "2 as n_links", "3 as v", "4 as ok")
+    found = sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embed_dedup.near_vectors(frame).collect()), key=str)
+    assert found == sorted([(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (None, 1, 1, False), (None, 0, None, True), (3, 0, 3, True)], key=str)
+    lonely = [r for r in embed_dedup.near_vectors(spark.createDataFrame(rows[:3], "vec_id long, embedding array<float>")).collect()]
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in lonely) == [(1, 0, 1), (1, 1, 1), (2, 1, 1)]
+    assert embed_dedup.near_vectors(frame.limit(0)).count() == 0
+
+
 def test_exact_dedup_with_colliding_hashes(spark):
     rows = [(i, f"text {i % 3}", "en", "a", 0) for i in range(30)]
-    from pyspark.sql import functions as F
-
     found = exact_dedup.exact_duplicates(docs_frame(spark, rows), hash_128=lambda t: F.unhex(F.lit("00"))).collect()
     assert {(r["doc_id"], r["keep_id"], r["group_size"]) for r in found} == {(i, i % 3, 10) for i in range(30)}
 
@@ -119,19 +129,31 @@ def test_near_duplicates_keep_the_first(spark):
     assert {r["doc_id"] for r in simhash.drop_near_duplicates(docs_frame(spark, rows)).collect()} == {1, 3}
 
 
-def test_tokens_equal_the_library(texts):
+@pytest.fixture(scope="module")
+def library():
+    """The tokenizer as its file gives it."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    made = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    return lambda text: made.encode(text, add_special_tokens=False).ids
+
+
+def test_tokens_equal_the_library(texts, library):
     enc = tokens.encoder()
     rng = random.Random(1)
-    odd = ["", "Don't STOP! <|endoftext|> — 3.14", "ÀÉßÿ café über²", "İstanbul ﬁ"] + ["".join(rng.choice("aB'3 .,-éÀß×\t\nxyz<>|/") for _ in range(50)) for _ in range(200)]
+    odd = ["", "Don't STOP! <|endoftext|> — 3.14", "hello <|endoftext|> world", "<|startoftext|><|STARTOFTEXT|>A<|endoftext", "<|end<|endoftext|>oftext|>", "ÀÉßÿ café über²", "İstanbul ﬁ"] + ["".join(rng.choice("aB'3 .,-éÀß×\t\nxyz<>|/") for _ in range(50)) for _ in range(200)]
     every = odd + list(texts.values())[:100]
-    assert enc.ids(every) == [enc.whole(t) for t in every]
+    assert [np.frombuffer(x, "<u2").tolist() for x in enc.ids(every)] == [library(t) for t in every]
+    assert library("hello <|endoftext|> world")[1] == 49407
 
 
 def test_wavelet_matrix_answers_like_a_list():
     rng = np.random.default_rng(2)
-    for size, top in ((0, 1), (1, 1), (700, 1), (3000, 5), (5000, 40_000)):
+    for size, top in ((0, 1), (1, 1), (700, 1), (3000, 5), (5000, 40_000), (150_000, 900)):
         ids = rng.integers(0, top, size).astype("<u2")
         m = wavelet.WaveletMatrix(wavelet.build(ids, np.array([1], np.int64), np.array([size], np.int64)))
+        assert len(m._open) <= m.planes  # nothing but the planes' last blocks has been unpacked
         assert m.decode().tolist() == ids.tolist()
         for i in rng.integers(0, max(1, size), 20) if size else ():
             token = int(ids[i])
@@ -143,10 +165,10 @@ def test_wavelet_matrix_answers_like_a_list():
         assert m.count(65535) == 0
 
 
-def test_shards_round_trip(spark, data, texts):
-    lib, start, want = tokens.encoder(), 0, {}
+def test_shards_round_trip(spark, data, texts, library):
+    start, want = 0, {}
     for k in sorted(texts):
-        ids = np.append(np.frombuffer(lib.whole(texts[k]), "<u2"), 1).astype("<u4")
+        ids = np.array([*library(texts[k]), 1], "<u4")
         want[k] = (start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
     found = queries.op3_wavelet_shards(spark, str(data)).collect()
@@ -166,21 +188,25 @@ def check_packing(rows, size=2048):
     return len(at)
 
 
-def test_packing_is_whole_and_tight(spark, data, texts):
+def test_packing_is_whole_and_tight(spark, data, texts, library):
     rows = queries.op4_best_fit_packing(spark, str(data)).collect()
-    lib = tokens.encoder()
     want = set()
     for k, t in texts.items():
-        ids = np.append(np.frombuffer(lib.whole(t), "<u2"), 0).astype("<u4")
+        ids = np.array([*library(t), 0], "<u4")
         want |= {(k, p, a, len(ids[a : a + 2048]), zlib.crc32(ids[a : a + 2048].tobytes())) for p, a in enumerate(range(0, len(ids), 2048))}
     assert {(r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows} == want
     lower = -(-sum(r["length"] for r in rows) // 2048)
     assert check_packing(rows) <= lower * 1.01 + 2
 
 
-def test_packing_many_equal_lengths():
-    rng = random.Random(7)
-    histogram = dict(Counter([700] * 5000 + [rng.randrange(1, 2049) for _ in range(5000)]))
+@pytest.mark.parametrize("kind", ["hot", "halves", "skewed", "few"])
+def test_packing_places_pieces_by_configurations(kind, monkeypatch):
+    """Nearly all pieces by rounded configurations, close to the dual bound, also where best-fit has an easy time."""
+    rng = np.random.default_rng(7)
+    lengths = {"hot": [700] * 5000 + rng.integers(1, 2049, 5000).tolist(), "halves": rng.integers(1024, 2048, 3000).tolist(), "skewed": np.clip(rng.lognormal(5.8, 1.1, 20_000).astype(int), 1, 2048).tolist(), "few": rng.integers(1, 2049, 150).tolist()}[kind]
+    histogram, rest = dict(Counter(lengths)), []
+    plain = packing.best_fit
+    monkeypatch.setattr(packing, "best_fit", lambda h, size: rest.append(dict(h)) or plain(h, size))
     made = packing.solve(histogram, 2048)
     placed = Counter()
     for pattern, n in made:
@@ -188,14 +214,18 @@ def test_packing_many_equal_lengths():
         for x, k in pattern:
             placed[x] += n * k
     assert placed == histogram
-    # dual feasible functions floor((k + 1) x / size) / k bound the number of sequences from below
-    lower = max(sum(((k + 1) * x // 2048 if (k + 1) * x % 2048 else (k + 1) * x / 2048 * k / (k + 1)) / k * n for x, n in histogram.items()) for k in range(1, 60))
-    assert sum(n for _, n in made) <= 1.02 * lower + 2
+    assert sum(sum(h.values()) for h in rest) <= 0.05 * len(lengths)
+    _, bound = packing.start_prices(np.array(list(histogram)), np.array(list(histogram.values())), 2048)
+    assert sum(n for _, n in made) <= min(1.005 * bound + 3, 1.005 * sum(n for _, n in plain(histogram, 2048)) + 2)
 
 
-def test_language_on_held_out_documents(spark, data):
-    from pyspark.sql import functions as F
+def test_packing_in_small_buckets(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    rows = packing.pack(docs, bucket_rows=3).collect()
+    assert check_packing(rows) == check_packing(packing.pack(docs).collect()) and len({(r["doc_id"], r["piece"]) for r in rows}) == len(rows)
+
 
+def test_language_on_held_out_documents(spark, data):
     found = queries.op8_language_id(spark, str(data).replace("sf0.001", "sf0.01"))
     docs = spark.read.parquet(str(data).replace("sf0.001", "sf0.01") + "/documents.parquet").select("doc_id", "lang")
     held = found.where("held_out and lang_pred <> 'und'").join(docs, "doc_id").where("lang is not null")
@@ -203,8 +233,6 @@ def test_language_on_held_out_documents(spark, data):
 
 
 def test_language_edges(spark, awkward):
-    from pyspark.sql import functions as F
-
     model = langid.train(awkward, F.lit(True))
     found = [(r["doc_id"], r["lang_pred"], r["score"]) for r in langid.identify(awkward, model).collect()]
     assert {i for i, lang, _ in found if lang == "und"} == {1, 2, 6, 7}
@@ -215,8 +243,62 @@ def test_toxicity_on_held_out_documents(spark, data):
     folder = str(data).replace("sf0.001", "sf0.1")
     found = queries.op5_toxicity(spark, folder).where("held_out").join(spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "toxic"), "doc_id").where("toxic is not null").collect()
     hit = sum(r["predicted"] and r["toxic"] for r in found)
-    assert hit >= 0.7 * sum(r["toxic"] for r in found)
-    assert hit >= 0.7 * sum(r["predicted"] for r in found)
+    print(f"{hit} of {sum(r['toxic'] for r in found)} toxic rows, {sum(r['predicted'] for r in found)} predicted")
+    assert hit >= 0.8 * sum(r["toxic"] for r in found)
+    assert hit >= 0.9 * sum(r["predicted"] for r in found)
+
+
+def test_toxicity_against_brute_force(spark):
+    """Both forms of the model against sums over dictionaries, and rows of the held-out fold, which must teach nothing."""
+    from math import exp, log, sqrt
+
+    rng = random.Random(2)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 8))) for _ in range(300)]
+    rows, labels = [], []
+    for i in range(400):
+        toxic = i % 5 == 0
+        words = rng.choices(vocabulary, k=rng.randrange(3, 40)) + (rng.sample(["awfulest", "awful", "baddie", "badd"], 2) if toxic else [])
+        rows.append((i, " ".join(words), "en", "a", 0))
+        labels.append((i, int(toxic)))
+    docs, known = docs_frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.train(docs, known)
+    flipped = spark.createDataFrame([(i, 1 - y if zlib.crc32(str(i).encode()) % 3 == 1 else y) for i, y in labels], "doc_id long, toxic int")
+    assert toxicity.train(docs, flipped).weights.tolist() == model.weights.tolist()
+    counts = [Counter() for _ in range(6)]
+    for (_, text, *_), (i, y) in zip(rows, labels):
+        if zlib.crc32(str(i).encode()) % 3 != 1:
+            for level, n in enumerate((4, 5, 99)):
+                counts[2 * level + 1 - y].update({w[:n] for w in text.split()})
+    totals = [sum(c.values()) for c in counts]
+
+    def own(level, u, z):
+        c, n = counts[2 * level : 2 * level + 2], totals[2 * level : 2 * level + 2]
+        s = min((c[k][u] + 1) / n[k] for k in (0, 1))
+        return [max(c[k][u] - 0.75 - 2 * n[k] * s - z * sqrt(n[k] * s), 0) / n[k] for k in (0, 1)], s + 0.1 * (c[0][u] + c[1][u] + 1) / sum(n)
+
+    def ratio(word):
+        p = [1.0, 1.0]
+        for level, n in enumerate((4, 5, 99)):
+            every = [own(level, u, model.z) for u in {*counts[2 * level], *counts[2 * level + 1]}]
+            left = [1 - sum(o[k] for o, _ in every) for k in (0, 1)]
+            mine, shared = own(level, word[:n], model.z)
+            p = [left[k] * p[k] + mine[k] * sum(s for _, s in every) / shared for k in (0, 1)]
+        return log(p[0] / p[1])
+
+    new = ["awfully bad", "", None, "abc badd unheard", rows[0][1]]
+    frame = docs_frame(spark, [(i, t, "en", "a", 0) for i, t in enumerate(new)]).selectExpr("*", "1 as words", "2 as row", "3 as id", "4 as score")
+    want = []
+    for text in new:
+        words = set((text or "").split())
+        mean = sum(map(ratio, words)) / len(words) if words else ratio("unheard")
+        x = model.weights[0] * mean + model.weights[1] * mean * sqrt(len(words)) + model.weights[2]
+        want.append(1 / (1 + exp(-max(-30, min(30, x)))))
+    table = toxicity.train(docs, known, units_sent=0)
+    assert isinstance(table, toxicity.TableModel)
+    for m in (model, table):
+        found = {r["doc_id"]: r["score"] for r in toxicity.score(frame, m).collect()}
+        assert [round(found[i], 9) for i in range(len(new))] == [round(x, 9) for x in want]
+    assert want[0] > 0.5 > want[1]
 
 
 def test_url_rules_and_index_agree():
@@ -240,6 +322,30 @@ def test_main_text():
     assert html_main.main_text(None) == html_main.main_text("") == html_main.main_text("<nav>x</nav>") == ""
 
 
+def test_main_text_takes_names_and_forms_as_evidence():
+    m, body = html_main.main_text, "Many long words, and more of them. " * 40
+    assert m("<form><article><h1>T</h1><p>One two, three.</p></article></form><p>x</p>") == "T One two, three. x"
+    assert m("<div><p title=don't>Para one, with words.</p><p>Two, more.</p></div>") == "Para one, with words. Two, more."
+    assert m("<div><div class='side-by-side'><p>Para one, with words.</p></div><p>Two, more.</p></div>") == "Para one, with words. Two, more."
+    assert m(f"<div class='banner top'>Sale, now.</div><form id=aspnet><div><h1>Head</h1><p>{body}</p></div></form><div class='cookie-notice'>We use, cookies.</div>") == f"Head {body.strip()}"
+    assert m("<article class=post><h1>A</h1><p>Text, one.</p><div class=comments><article class=comment><p>Nice, one.</p></article></div></article>") == "A Text, one."
+    assert m("<article class=comment><p>Nice, one.</p></article><article><p>The article, itself.</p></article>") == "The article, itself."
+    assert m("<article><p>1 &lt; 2 &amp;amp; &#x41;&nbsp;b, <script>if (a<b) {</script>c<!-- <p> --> d.<p a=\"<b>\" b='>'>e, f.</article>") == "1 < 2 &amp; A b, c d. e, f."
+    assert m("a < b, and <c>d</c> <") == "a < b, and d <"
+
+
+HOSTILE = {"tags": "<a " * 350_000, "quotes": '<a b="x' * 140_000, "deep": "<div>" * 200_000 + "text, here", "texts": "<div>x, " * 120_000, "ends": "<b><div>" * 80_000 + "</b>" * 80_000, "unknown": "<div>" * 100_000 + "</x>" * 100_000, "comments": "<!--" * 250_000, "signs": "<" * 1_000_000, "paragraphs": "<p>x" * 250_000, "equals": "<a " + "= " * 500_000}
+
+
+@pytest.mark.parametrize("kind", HOSTILE)
+def test_main_text_of_hostile_pages(kind):
+    import time
+
+    began = time.perf_counter()
+    html_main.main_text(HOSTILE[kind])
+    assert time.perf_counter() - began < 6  # a second or less on an idle machine; minutes if it were quadratic
+
+
 def test_mixing_meets_its_marginals():
     rng = np.random.default_rng(0)
     codes = np.array([np.repeat(range(3), 4), np.tile(range(4), 3)])
@@ -256,6 +362,14 @@ def test_mixing_on_driver_and_by_joins(spark, data):
     assert rows(200_000) == rows(0)
 
 
+def _shards(d):
+    from setphrase.llm.common import shared_folder
+
+    path = shared_folder(d.sparkSession, "shards")
+    wavelet.write_shards(d, path)
+    return wavelet.read_shards(d.sparkSession, path)
+
+
 OPERATORS = {
     "exact_dedup": lambda d: exact_dedup.exact_duplicates(d),
     "simhash": lambda d: simhash.simhash_groups(d),
@@ -263,6 +377,9 @@ OPERATORS = {
     "mixing": lambda d: mixing.mixed(d),
     "html": lambda d: html_main.extract(d.withColumnRenamed("doc_id", "page_id").withColumnRenamed("source", "url").withColumnRenamed("text", "html")),
     "url": lambda d: url_rules.judge_urls(d.withColumnRenamed("doc_id", "page_id").withColumnRenamed("text", "url"), queries.HOST_RULES),
+    "language": lambda d: langid.identify(d, langid.train(d, F.lit(True))),
+    "embeddings": lambda d: embed_dedup.near_vectors(d.withColumnsRenamed({"doc_id": "vec_id"}).withColumn("embedding", F.expr("array(n_chars, 1.0D, vec_id)"))),
+    "shards": lambda d: _shards(d),
     "toxicity": lambda d: toxicity.score(d, toxicity.train(d, d.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic"))),
 }
 
@@ -292,6 +409,48 @@ def test_duplicates_of_awkward_rows(spark, awkward):
     assert sorted(r["doc_id"] or 0 for r in kept.select("doc_id").collect()) == [0, 1, 3, 5, 6, 7]
 
 
+@pytest.mark.parametrize("stage", ["language_id", "exact_dedup", "simhash_near_dedup", "source_mixing"])
+def test_stages_on_awkward_rows(spark, awkward, stage):
+    """Whole rows stay, of all columns; the long text, which nothing resembles, is among them."""
+    import corpus_pipeline
+
+    run = dict(corpus_pipeline.STAGES)[stage]
+    kept = run(spark, awkward, "")
+    assert kept.columns == awkward.columns and run(spark, awkward.limit(0), "").count() == 0
+    rows, given = [tuple(r) for r in kept.collect()], Counter(tuple(r) for r in awkward.collect())
+    assert not Counter(rows) - given
+    ids = Counter(r[0] for r in rows)
+    want = {"language_id": {3: 1, 4: 2, None: 1, 5: 1}, "exact_dedup": {1: 1, 3: 1, None: 1, 5: 1, 6: 1, 7: 1}, "simhash_near_dedup": {1: 1, 3: 1, None: 1, 5: 1, 6: 1}}
+    assert stage not in want or ids == want[stage]
+    assert run(spark, awkward.unionByName(awkward), "").count() >= len(rows)
+
+
+def test_last_stage_on_awkward_rows(spark, awkward):
+    import corpus_pipeline
+
+    rows = corpus_pipeline.pack(spark, awkward, "").collect()
+    assert Counter(r["doc_id"] for r in rows if r["piece"] == 0) == Counter(r[0] for r in AWKWARD)
+    check_packing(rows)
+
+
+@pytest.mark.parametrize("sizes", [[16] * 4, [22, 21, 21], [32, 32], [13, 13, 13, 13, 12], [8] * 8])
+@pytest.mark.parametrize("block", [2048, 7])
+def test_near_links_by_any_partitions(spark, sizes, block, monkeypatch):
+    rng = random.Random(9)
+    tau = max(3, len(sizes) - 1)
+    prints = {rng.getrandbits(64) for _ in range(150)}
+    for p in list(prints)[:100]:
+        for _ in range(2):
+            prints.add(p ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(1, tau + 3))))
+    prints = sorted(prints)
+    links = [(a, b) for a in range(len(prints)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= tau]
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rows = [(p - (1 << 64) if p >> 63 else p, i) for i, p in enumerate(prints)]
+    made = simhash.near_links(spark.createDataFrame(rows, "fp long, rep long"), tau, sizes).collect()
+    assert components(len(prints), [(r["a"], r["b"]) for r in made]) == components(len(prints), links)
+    assert simhash.widths(100_000, 3) == [16] * 4 and simhash.widths(10**8, 3) == [22, 21, 21] and simhash.widths(10**10, 3) == [32, 32]
+
+
 def test_pipeline_runs_whole(spark, data):
     import corpus_pipeline
 

@@ -10,14 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from setphrase.llm import exact_dedup, langid, mixing, packing, simhash
-from setphrase.llm.common import crc32_of_id, shared_folder, table
+from setphrase.llm.common import crc32_of_id, fresh, shared_folder, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents in which a language is recognised; those without any letter go."""
     model = langid.train(docs, F.pmod(crc32_of_id("doc_id"), F.lit(4)) != 2)
-    found = langid.identify(docs, model)
-    return found.where(F.col("lang_pred") != "und").select(*docs.columns)
+    pred, score = fresh(docs.columns, "lang_pred", "score")
+    found = langid.identify(docs, model, pred_col=pred, score_col=score)
+    return found.where(F.col(pred) != "und").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

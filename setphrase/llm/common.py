@@ -15,6 +15,7 @@ from setphrase.functions.lineage import checkpoint_dir, cut
 
 WHITE = r"[\x20\x09-\x0D]+"
 HEAVY = 20_000
+ROWS_AT_ONCE = 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +27,14 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def whole_texts(df: DataFrame) -> DataFrame:
+    """df, whose texts go to Python: Arrow batches of ROWS_AT_ONCE rows, unless the session has its own size, so that a batch of long texts stays small on both sides."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":  # Spark's default
+        conf.set(key, str(ROWS_AT_ONCE))
+    return df
+
+
 def sieve(keys: DataFrame, key: str, bits: int = 24) -> DataFrame:
     """A bitmap of 2**bits bits (at most 2**(bits - 6) rows) in which the hash of each key sets one."""
     bit = F.xxhash64(key).bitwiseAND(F.lit((1 << bits) - 1))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from setphrase.llm.common import cut
+from setphrase.llm.common import cut, whole_texts
 
 CELLS = 1 << 16
 SPECTRUM = 3
@@ -148,7 +148,7 @@ def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
             cells = [grams(t.as_py(), table) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([c.astype("<u2").tobytes() for c in cells], pa.binary())], ["id", "lang", "cells"])
 
-    sample = drawn.mapInArrow(run, "id long, lang string, cells binary").toPandas()
+    sample = whole_texts(drawn).mapInArrow(run, "id long, lang string, cells binary").toPandas()
     sample = sample[sample["cells"].map(len) > 0].sort_values(["id", "lang"])
     return KernelClassifier.fit([np.frombuffer(c, "<u2").astype(np.int64) for c in sample["cells"]], sample["lang"].tolist())
 
@@ -172,4 +172,4 @@ def identify(docs: DataFrame, model: KernelClassifier, id_col: str = "doc_id", t
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*part.schema.names, pred_col, score_col])
 
     schema = StructType([*kept.schema.fields]).add(pred_col, "string").add(score_col, "double")
-    return kept.mapInArrow(run, schema)
+    return whole_texts(kept).mapInArrow(run, schema)

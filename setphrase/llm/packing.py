@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from setphrase.llm.common import cut
+from setphrase.llm.common import cut, whole_texts
 from setphrase.llm.tokens import TOKENIZER, encoder, some
 
 BUCKET_ROWS = 2_000
@@ -223,7 +223,7 @@ def cut_pieces(docs: DataFrame, size: int, end_id: int, id_col: str, text_col: s
                 yield pa.RecordBatch.from_arrays([keys.take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc", "piece", "start", "length", "crc"])
 
     source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, "doc long, piece int, start long, length long, crc long")
+    return whole_texts(source).mapInArrow(run, "doc long, piece int, start long, length long, crc long")
 
 
 def pack(docs: DataFrame, size: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, bucket_rows: int = BUCKET_ROWS) -> DataFrame:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from setphrase.llm.common import Forest, connected_components, cut, sieve, sifted, spread_join, without
+from setphrase.llm.common import Forest, connected_components, cut, sieve, sifted, spread_join, whole_texts, without
 
 BITS, COUNTED = 64, 16
 BLOCK = 2048
@@ -81,7 +81,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             made = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(1)), np.uint64, len(batch))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.view(np.int64))], ["id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp long")
+    return whole_texts(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))).mapInArrow(run, "id long, fp long")
 
 
 def _correlations(distinct: DataFrame) -> tuple[np.ndarray, int]:
@@ -258,16 +258,18 @@ def near_links(distinct: DataFrame, tau: int, sizes: list[int] | None = None) ->
                         yield pd.DataFrame({"cell": np.int64(p) << 56 | value[some], "fp": fp[who[some]], "rep": rep[who[some]], "flags": flags[some]})
 
     def links(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
+        held: list[pd.DataFrame] = []
         for frame in frames:
-            held = frame if held is None else pd.concat([held, frame], ignore_index=True)
-            last = held[["cell", "low", "high"]].iloc[-1]
-            whole = (held[["cell", "low", "high"]] != last).to_numpy().any(1)
-            if whole.sum() >= 20_000:
-                yield found(held[whole])
-                held = held[~whole].reset_index(drop=True)
-        if held is not None:
-            yield found(held)
+            held.append(frame)
+            if sum(map(len, held)) < 20_000:
+                continue
+            rows = pd.concat(held, ignore_index=True)
+            last = rows[["cell", "low", "high"]].iloc[-1]
+            whole = (rows[["cell", "low", "high"]] != last).to_numpy().any(1)
+            yield found(rows[whole])
+            held = [rows[~whole]]
+        if held:
+            yield found(pd.concat(held, ignore_index=True))
 
     def found(rows: pd.DataFrame) -> pd.DataFrame:
         flags = rows["flags"].to_numpy(np.int8)
@@ -441,7 +443,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataF
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made.view(np.int64)), keys], ["id", "h", "fp", "bands"])
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), text_hash(text_col).alias("h"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, "id long, h binary, fp long, bands array<long>")
+    return whole_texts(source).mapInArrow(run, "id long, h binary, fp long, bands array<long>")
 
 
 def text_hash(text: str | Column) -> Column:

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from setphrase.llm.common import whole_texts
+
 TOKENIZER = "word_bpe_49k.json"
 SAFE = re.compile(r"[\t\n\r\x20-\x7e\xc0-\xff]*")
 PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
@@ -118,4 +120,4 @@ def encode(docs: DataFrame, end_id: int, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([docs_.slice(first, len(part)), n, pa.array(ids, pa.binary())], ["doc", "n", "ids"])
 
     source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, "doc long, n long, ids binary")
+    return whole_texts(source).mapInArrow(run, "doc long, n long, ids binary")

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from setphrase.llm.common import crc32_of_id, cut, sieve, sifted
+from setphrase.llm.common import crc32_of_id, cut, sieve, sifted, whole_texts
 
 STEMS = (4, 5)  # letters of the units below the word, the shortest first
 LEVELS = len(STEMS) + 1
@@ -177,7 +177,7 @@ def count_units(texts: DataFrame) -> DataFrame:
                     yield out()
         yield out()
 
-    found = texts.select("text", "y").mapInArrow(run, "level int, unit string, y int, n long")
+    found = whole_texts(texts.select("text", "y")).mapInArrow(run, "level int, unit string, y int, n long")
     of = lambda y: F.sum(F.when(F.col("y") == y, F.col("n")).otherwise(0))
     return found.groupBy("level", "unit").agg(of(1).alias("toxic"), of(0).alias("ordinary"))
 
@@ -312,5 +312,5 @@ def score(docs: DataFrame, model: ToxicityModel | TableModel, id_col: str = "doc
                 scores = np.array([bound.value.score(t.as_py()) for t in batch.column(1)], np.float64)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], ["id", "score"])
 
-        out = rows.mapInArrow(run, "id long, score double")
+        out = whole_texts(rows).mapInArrow(run, "id long, score double")
     return out.select(F.col("id").alias(id_col), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

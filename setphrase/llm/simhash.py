@@ -458,7 +458,7 @@ def band_links(banded: DataFrame) -> DataFrame:
     return keyed.join(least, "band").where("node > b").select(F.col("node").alias("a"), "b").distinct()
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = 7, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = 3, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of each group of near-duplicates (its smallest id), with all its columns.
 
     Fingerprints of three-word shingles within ``tau`` bits propose links, and so do the bands of

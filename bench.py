@@ -55,11 +55,15 @@ def main() -> None:
         try:
             known[name](spark, folder).write.format("noop").mode("overwrite").save()
             took[name] = round(time.perf_counter() - began, 3)
-        except Exception as e:  # the line below must come out whatever happens
+            spark.catalog.clearCache()
+        except Exception as e:  # the line below must come out whatever happens, even without a JVM
+            took.setdefault(name, None)
             print(f"{name}: {str(e)[:200]}", file=sys.stderr)
-            took[name] = None
-        spark.catalog.clearCache()
-    spark.stop()
+        print(f"{name}: {took[name]} s", file=sys.stderr, flush=True)
+    try:
+        spark.stop()
+    except Exception as e:
+        print(f"stop: {str(e)[:200]}", file=sys.stderr)
     sf = re.search(r"sf([\d.]+)", folder)
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(t for t in took.values() if t), 3), "unit": "sec", "queries": took, "sf": float(sf[1]) if sf else None}))
 

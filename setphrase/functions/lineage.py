@@ -7,6 +7,7 @@ import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -29,6 +30,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return found.get()
 
 
+def sized(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """df, to be broadcast where it is joined if it has at most so many rows, which are counted; meant for tables that are kept anyway."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and read it from there."""
     checkpoint_dir(df.sparkSession)

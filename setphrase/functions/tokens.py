@@ -124,6 +124,20 @@ def multiset_overlap(a: str | Column, b: str | Column) -> Column:
     return F.filter(a, lambda x, i: seen(x, i) <= F.size(F.filter(b, lambda y: y == x)))
 
 
+def set_overlap(a: str | Column, b: str | Column) -> Column:
+    """The distinct elements that both arrays hold, sorted."""
+    return F.array_sort(F.array_intersect(_col(a), _col(b)))
+
+
+def set_contains(a: str | Column, b: str | Column) -> Column:
+    """Whether a holds every element of b, however often."""
+    return F.size(F.array_except(_col(b), _col(a))) == 0
+
+
+def set_equal(a: str | Column, b: str | Column) -> Column:
+    return set_key(a) == set_key(b)
+
+
 def set_key(ids: str | Column) -> Column:
     """The sorted distinct elements: equal for all orderings of a set."""
     return F.array_sort(F.array_distinct(_col(ids)))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from setphrase.functions import tokens as T
-from setphrase.operators.cooc import masked, pairs
+from setphrase.operators.cooc import pairs
 
 CONTEXT = 4
 
@@ -15,10 +15,12 @@ def selected(tok: DataFrame, vocab: DataFrame, cooc: DataFrame, min_cooc_freq: i
     """(doc_id, pos, term, sel): sel is the term if it occurs at least min_cooc_freq times and at least
     min_neighbour_cooc positions within the window hold a term that co-occurs with it as often; else null.
 
-    Every pair of neighbours is formed once and credits both its positions.
+    Every pair of neighbours is formed once and credits both its positions. Tokens are looked up
+    in the vocabulary once for both uses.
     """
-    held = masked(tok, vocab.where(F.col("tf") >= min_cooc_freq))
-    near = pairs(masked(tok, vocab), window)
+    known = tok.join(vocab.select("term", F.col("term").alias("st"), "tf"), "term", "left")
+    held = known.select("doc_id", "pos", "term", F.when(F.col("tf") >= min_cooc_freq, F.col("st")).alias("st"))
+    near = pairs(known.select("doc_id", "pos", "st"), window)
     strong = near.join(cooc.where(F.col("freq") >= min_cooc_freq).select("t1", "t2"), ["t1", "t2"], "left_semi")
     credit = strong.select("doc_id", F.explode(F.array("pos", F.col("pos") + F.col("d"))).alias("pos"))
     enough = credit.groupBy("doc_id", "pos").agg(F.count("*").alias("n")).where(F.col("n") >= min_neighbour_cooc)
@@ -108,6 +110,18 @@ def _matches(df: DataFrame, start, terms, span) -> DataFrame:
     )
 
 
+def char_starts(tok: DataFrame) -> DataFrame:
+    """(doc_id, pos, char_start): where each token begins in its document's tokens joined by blanks."""
+    before = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    return tok.select("doc_id", "pos", F.coalesce(F.sum(F.length("term") + 1).over(before), F.lit(0)).alias("char_start"))
+
+
+def with_chars(matches: DataFrame, tok: DataFrame) -> DataFrame:
+    """matches with char_start and char_end in the document's tokens joined by blanks; a slot counts as it is written in the phrase."""
+    at = char_starts(tok).withColumnRenamed("pos", "word_start")
+    return matches.join(at, ["doc_id", "word_start"]).withColumn("char_end", F.col("char_start") + F.length("phrase"))
+
+
 def phrase_frequencies(matches: DataFrame) -> DataFrame:
     return matches.groupBy("phrase").agg(F.count("*").alias("freq"))
 

@@ -2,30 +2,95 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from setphrase.functions import tokens as T
 
 
-def find(docs: DataFrame, pattern: Sequence[str]) -> DataFrame:
+@dataclass(frozen=True)
+class Pattern:
+    """A sequence of one label or more, hashable, with ``in`` and ``len``."""
+
+    labels: tuple[str, ...]
+
+    def __init__(self, labels: Iterable[str]):
+        object.__setattr__(self, "labels", tuple(labels))
+        if not self.labels:
+            raise ValueError("a pattern has at least one label")
+
+    @property
+    def start(self) -> str:
+        return self.labels[0]
+
+    @property
+    def end(self) -> str:
+        return self.labels[-1]
+
+    @property
+    def length(self) -> int:
+        return len(self.labels)
+
+    def __len__(self) -> int:
+        return len(self.labels)
+
+    def __contains__(self, label: object) -> bool:
+        return label in self.labels
+
+    def __iter__(self):
+        return iter(self.labels)
+
+
+class PatternIndex:
+    """A set of patterns, with those that start or end with a label, to be looked up in documents (doc_id, tokens)."""
+
+    def __init__(self, patterns: Pattern | Iterable[Pattern] = ()):
+        self.patterns: set[Pattern] = set()
+        self.add([patterns] if isinstance(patterns, Pattern) else patterns)
+
+    def add(self, patterns: Iterable[Pattern]) -> None:
+        self.patterns.update(p if isinstance(p, Pattern) else Pattern(p) for p in patterns)
+
+    def __len__(self) -> int:
+        return len(self.patterns)
+
+    def __contains__(self, pattern: object) -> bool:
+        return pattern in self.patterns
+
+    def starting_with(self, label: str) -> set[Pattern]:
+        return {p for p in self.patterns if p.start == label}
+
+    def ending_with(self, label: str) -> set[Pattern]:
+        return {p for p in self.patterns if p.end == label}
+
+    def find(self, docs: DataFrame) -> DataFrame:
+        """find_all for the patterns of this index."""
+        return find_all(docs, docs.sparkSession.createDataFrame([(list(p),) for p in self.patterns], "labels array<string>"))
+
+
+def find(docs: DataFrame, pattern: Iterable[str]) -> DataFrame:
     """(doc_id, start): all occurrences in (doc_id, tokens)."""
-    return docs.select("doc_id", F.explode(T.positions_of("tokens", pattern)).alias("start"))
+    return docs.select("doc_id", F.explode(T.positions_of("tokens", list(pattern))).alias("start"))
 
 
-def contains(docs: DataFrame, pattern: Sequence[str]) -> DataFrame:
+def contains(docs: DataFrame, pattern: Iterable[str]) -> DataFrame:
     """(doc_id, found)."""
-    return docs.select("doc_id", (F.size(T.positions_of("tokens", pattern)) > 0).alias("found"))
+    return docs.select("doc_id", (F.size(T.positions_of("tokens", list(pattern))) > 0).alias("found"))
 
 
 def find_all(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(doc_id, start, pattern): occurrences of patterns (labels array), looked up by their first label and compared in place."""
+    """(doc_id, start, pattern): occurrences of patterns (labels array), looked up by their first label.
+
+    Each token carries as many tokens as the longest pattern has, never its whole document.
+    """
     index = patterns.where(F.size("labels") > 0).select(F.col("labels")[0].alias("term"), F.col("labels").alias("pattern")).distinct()
-    at = docs.select("doc_id", "tokens", F.posexplode("tokens").alias("start", "term"))
-    hit = at.join(index, "term").where(F.slice("tokens", F.col("start") + 1, F.size("pattern")) == F.col("pattern"))
-    return hit.select("doc_id", "start", "pattern")
+    longest = index.agg(F.coalesce(F.max(F.size("pattern")), F.lit(1)).alias("n")).first()["n"]
+    window = F.transform("tokens", lambda term, i: F.struct(i.alias("start"), term.alias("term"), F.slice("tokens", i + 1, longest).alias("ahead")))
+    at = docs.select("doc_id", F.inline(window))
+    return at.join(index, "term").where(F.slice("ahead", F.lit(1), F.size("pattern")) == F.col("pattern")).select("doc_id", "start", "pattern")
 
 
 def phrase_ids(phrases: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -46,6 +111,21 @@ def of_set(counted: DataFrame, ids: Sequence[int]) -> DataFrame:
     return counted.where(F.col("key") == F.array(*[F.lit(i) for i in sorted(set(ids))]))
 
 
+def multiset_overlaps(rows: DataFrame, key: str, a: str, b: str) -> DataFrame:
+    """(key, overlap): the elements of array a in order, each as often as array b holds it at most; for arrays of any length.
+
+    Elements are numbered among their equals and joined to b's counts, so the work grows with the
+    arrays' lengths and not with their square. A key names one row.
+    """
+    both = rows.select(F.col(key).alias("key"), F.col(a).alias("a"), F.col(b).alias("b"))
+    order = Window.partitionBy("key", "x").orderBy("i")
+    mine = both.select("key", F.posexplode("a").alias("i", "x")).withColumn("k", F.row_number().over(order))
+    theirs = both.select("key", F.explode("b").alias("x")).groupBy("key", "x").agg(F.count("*").alias("n"))
+    kept = mine.join(theirs, ["key", "x"]).where("k <= n").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("r"))
+    none = F.array().cast(both.schema["a"].dataType)
+    return both.select("key").join(kept, "key", "left").select(F.col("key").alias(key), F.coalesce(F.transform("r", lambda e: e["x"]), none).alias("overlap"))
+
+
 def known(counted: DataFrame, ids: DataFrame, exact: bool = True) -> DataFrame:
     """The rows of ids (ids) whose ordering, or only whose set, has been counted."""
     keyed = ids.withColumn("key", T.set_key("ids"))

@@ -8,13 +8,15 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from setphrase.functions.lineage import sized
 from setphrase.operators import cooc, formulas, vocab
 
 
 class PhraseSearch:
     """Formulaic phrases of a corpus (doc_id, tokens).
 
-    ``persist`` keeps the token table on disk and in memory, since three passes read it.
+    ``persist`` keeps the token table on disk and in memory, since three passes read it; the
+    vocabulary's size is then counted, and tokens are looked up in a small one without a shuffle.
     """
 
     def __init__(self, docs: DataFrame, min_term_freq: int = 1, skip_size: int = 4, min_cooc_freq: int | None = None, min_neighbour_cooc: int | None = None, enforce_max_term_frac: float | None = None, persist: bool = True):
@@ -36,7 +38,8 @@ class PhraseSearch:
 
     @cached_property
     def min_freq_vocab(self) -> DataFrame:
-        return vocab.selected_vocabulary(self.vocab, min_term_freq=self.min_term_freq)
+        found = vocab.selected_vocabulary(self.vocab, min_term_freq=self.min_term_freq)
+        return sized(found) if self.persist else found
 
     @property
     def coll_size(self) -> DataFrame:

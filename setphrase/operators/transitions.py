@@ -6,6 +6,8 @@ graph are arrays of one word; nodes of a tree are paths from <PHRASE>.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +16,6 @@ from setphrase.functions.lineage import cut
 from setphrase.operators import context
 
 ROOT = "<PHRASE>"
-DEPTH = 12
 
 
 def counts(ctx: DataFrame, tree: bool = True, min_word_prob: float = 0.1, variant_of: DataFrame | None = None, exclude_var: bool = False) -> DataFrame:
@@ -50,12 +51,14 @@ def pruned_tree(edges: DataFrame, min_prob: float = 0.1) -> DataFrame:
     return edges.join(weak, ["direction", "dst"], "left_anti").select(*edges.columns)
 
 
-def reachable(edges: DataFrame, start: str = ROOT, depth: int = DEPTH) -> DataFrame:
-    """(direction, node): nodes that can be reached from the start; every round joins only what is new."""
+def reachable(edges: DataFrame, start: str = ROOT, depth: int | None = None) -> DataFrame:
+    """(direction, node): nodes that can be reached from the start, in at most ``depth`` steps if given; every round joins only what is new, until nothing is."""
     edges = cut(edges.select("direction", "src", "dst"))
     seen = cut(edges.select("direction").distinct().withColumn("node", F.array(F.lit(start))))
     new = seen
-    for _ in range(depth):
+    for step in count():
+        if step == depth:
+            break
         onward = edges.join(new.withColumnRenamed("node", "src"), ["direction", "src"]).select("direction", F.col("dst").alias("node")).distinct()
         new = cut(onward.join(seen, ["direction", "node"], "left_anti"))
         if new.isEmpty():
@@ -64,7 +67,7 @@ def reachable(edges: DataFrame, start: str = ROOT, depth: int = DEPTH) -> DataFr
     return seen
 
 
-def pruned(edges: DataFrame, min_prob: float = 0.1, tree: bool = True, depth: int = DEPTH) -> DataFrame:
+def pruned(edges: DataFrame, min_prob: float = 0.1, tree: bool = True, depth: int | None = None) -> DataFrame:
     """Likely edges whose source can be reached from the phrase."""
     if tree:
         return pruned_tree(edges, min_prob)
@@ -76,18 +79,21 @@ def probabilities(ctx: DataFrame, min_prob: float = 0.1, min_word_prob: float =
     return pruned(shares(counts(ctx, tree, min_word_prob, variant_of, exclude_var)), min_prob, tree)
 
 
-def extensions(edges: DataFrame, min_split_prob: float = 0.1, min_extend_prob: float = 0.9, depth: int = 6) -> DataFrame:
+def extensions(edges: DataFrame, min_split_prob: float = 0.1, min_extend_prob: float = 0.9, depth: int | None = None) -> DataFrame:
     """(direction, path, prob, kind) of a word graph: likely continuations of the phrase.
 
     Paths whose probability from the phrase stays at least min_split_prob, without slots, steps
     to the same word or words met more than twice. A path at min_extend_prob is "main" and takes
     its parent's place; a less likely one is "split" and takes the place of a split parent.
+    No path has a word three times, so rounds end; ``depth`` ends them before.
     """
     edges = cut(edges.select("direction", "src", "dst", "prob"))
     step = edges.where(F.size("dst") == 1).select("direction", F.col("src")[0].alias("a"), F.col("dst")[0].alias("b"), "prob").where(~F.col("b").contains("<VAR-"))
     paths = cut(edges.select("direction").distinct().select("direction", F.array(F.lit(ROOT)).alias("path"), F.lit(1.0).alias("p"), F.lit(True).alias("main")))
     every, new = paths, paths
-    for _ in range(depth):
+    for step_ in count():
+        if step_ == depth:
+            break
         tail = new.withColumn("a", F.element_at("path", -1)).join(step, ["direction", "a"]).where("a <> b")
         grown = tail.select("direction", F.concat("path", F.array("b")).alias("path"), (F.col("p") * F.col("prob")).alias("p"))
         grown = grown.where((F.col("p") >= min_split_prob) & (F.size(F.filter("path", lambda w: w == F.element_at("path", -1))) <= 2))
@@ -122,7 +128,7 @@ def extend_phrase(phrase: str, ctx: DataFrame, variant_of: DataFrame | None = No
     return extended_phrases(phrase, extensions(edges))
 
 
-def dot(edges: DataFrame, phrase: str, direction: str, exclude_var: bool = False, depth: int = DEPTH) -> DataFrame:
+def dot(edges: DataFrame, phrase: str, direction: str, exclude_var: bool = False, depth: int | None = None) -> DataFrame:
     """(line_no, line): Graphviz text of what can be reached in one direction; arrows of pre graphs point at the phrase."""
     own = cut(edges.where(F.col("direction") == direction))
     if exclude_var:

@@ -4,12 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 from setphrase.functions.tokens import words
 
 BLOCK = 1 << 16
 
 
+def checked(docs: DataFrame, tokens_col: str = "tokens") -> DataFrame:
+    """docs, if it has a column of token arrays (or of structs with an array ``words``), as ``tokens``; else a TypeError or KeyError. Rows with a null token end the query."""
+    if tokens_col not in docs.columns:
+        raise KeyError(f"no column {tokens_col}")
+    kind = docs.schema[tokens_col].dataType
+    at = F.col(f"`{tokens_col}`")
+    if isinstance(kind, StructType):
+        if "words" not in kind.names:
+            raise KeyError(f"{tokens_col} needs a field words, an array of strings")
+        kind, at = kind["words"].dataType, at["words"]
+    if not isinstance(kind, ArrayType) or not isinstance(kind.elementType, StringType):
+        raise TypeError(f"{tokens_col} must be an array of strings or a struct with one in words, not {kind.simpleString()}")
+    sound = F.when(F.exists(at, lambda t: t.isNull()), F.raise_error(F.lit("a token is null"))).otherwise(at)
+    return docs.withColumn("tokens", sound)
+
+
 def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer=words) -> DataFrame:
     """(doc_id, tokens): the canonical input."""
     return docs.select(F.col(id_col).alias("doc_id"), tokenizer(text_col).alias("tokens"))
@@ -37,6 +54,25 @@ def vocabulary(tok: DataFrame) -> DataFrame:
     return first.withColumn("r", inner).join(base, "b").select("term", (F.col("base") + F.col("r")).alias("term_id"), "tf")
 
 
+def extended_vocabulary(vocab: DataFrame, tok: DataFrame) -> DataFrame:
+    """A vocabulary (term, term_id, tf) with another corpus added: known terms keep their ids, new ones follow in order of first appearance; frequencies add up.
+
+    To reset one, make a ``vocabulary`` anew.
+    """
+    more = vocabulary(tok)
+    known = vocab.select("term", "term_id", "tf")
+    new = more.join(known.select("term"), "term", "left_anti")
+    first = known.agg(F.coalesce(F.max("term_id") + 1, F.lit(0)).alias("first"))
+    # ids of new terms are those of a ranking of their own: ranks among blocks of ids, then within one
+    blocks = new.withColumn("b", F.floor(F.col("term_id") / BLOCK))
+    base = blocks.groupBy("b").agg(F.count("*").alias("n")).select("b", (F.sum("n").over(Window.orderBy("b")) - F.col("n")).alias("base"))
+    inner = F.row_number().over(Window.partitionBy("b").orderBy("term_id")) - 1
+    numbered = blocks.withColumn("r", inner).join(base, "b").join(F.broadcast(first))  # one row
+    added = more.select("term", F.col("tf").alias("more"))
+    grown = known.join(added, "term", "left").select("term", "term_id", (F.col("tf") + F.coalesce("more", F.lit(0))).alias("tf"))
+    return grown.unionByName(numbered.select("term", (F.col("first") + F.col("base") + F.col("r")).alias("term_id"), "tf"))
+
+
 def selected_vocabulary(vocab: DataFrame, terms: list[str] | None = None, ids: list[int] | None = None, min_term_freq: int | None = None) -> DataFrame:
     """A part of a vocabulary with its ids: terms win over the frequency threshold, which wins over ids."""
     if terms is not None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from setphrase.functions import tokens as T
@@ -146,7 +147,7 @@ def pruned_markov(spark, sf_dir):
 
 @query(f"""with recursive {MARKOV}, step as materialized (select direction, src[1] as a, dst[1] as b, prob from probs where dst[1] not like '%<VAR-%' and src[1] <> dst[1]),
 x as (select distinct direction, ['<PHRASE>'] as path, 1.0::double as p from probs union all select x.direction, list_append(path, b), p * prob from x join step s on s.direction = x.direction and s.a = path[len(path)]
-  where p * prob >= 0.02 and len(path) <= 6 and len(list_filter(list_append(path, b), lambda w: w = b)) <= 2),
+  where p * prob >= 0.02 and len(list_filter(list_append(path, b), lambda w: w = b)) <= 2),
 par as (select direction, path[1:len(path) - 1] as path, max((p >= 0.9)::int) as m from x where len(path) > 1 group by all)
 select x.direction, array_to_string(x.path, ' ') as path, round(p, 6) as prob, case when p >= 0.9 then 'main' else 'split' end as kind from x left join par on par.direction = x.direction and par.path = x.path where m is null or (p >= 0.9 and m = 0)""")
 def phrase_extensions(spark, sf_dir):
@@ -240,18 +241,22 @@ def key_phrase_trim(spark, sf_dir):
     return ctx.select("direction", "context", F.when(F.col("direction") == "post", T.key_phrase("context", _KEYS, "post")).otherwise(T.key_phrase("context", _KEYS, "pre")).alias("trimmed"))
 
 
+_RUNS = " ".join(f"when least(len(x), len(y)) >= {n} and x[len(x) - {n - 1}:len(x)] = y[1:{n}] then array_to_string(y[1:{n}], ' ') when least(len(x), len(y)) >= {n} and y[len(y) - {n - 1}:len(y)] = x[1:{n}] then array_to_string(x[1:{n}], ' ')" for n in (6, 5, 4, 3))
 
 
-@query(r"""with d as (select doc_id, array_to_string(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda x: x <> '')[1:6], ' ') as a, array_to_string(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda x: x <> '')[4:9], ' ') as b from documents),
-s as (select *, string_split(a, ' ') as x, string_split(b, ' ') as y from d)
-select doc_id, case when contains(b, a) then a when contains(a, b) then b else
-  (select array_to_string(case when x[len(x) - n + 1:len(x)] = y[1:n] then y[1:n] else x[1:n] end, ' ') from (select unnest(range(3, least(len(x), len(y)) + 1)) as n) where x[len(x) - n + 1:len(x)] = y[1:n] or y[len(y) - n + 1:len(y)] = x[1:n] order by n desc limit 1) end as overlap from s""")
+@query(f"""with {S.DOCS}, i as (select doc_id, w, unnest(range(1, len(w) + 1, 3))::int as i from docs), p as (select doc_id, i - 1 as start, w[i:i + 5] as x, w[i + 3:i + 8] as y from i),
+s as (select *, array_to_string(x, ' ') as a, array_to_string(y, ' ') as b from p)
+select doc_id, start, case when contains(b, a) then a when contains(a, b) then b {_RUNS} end as overlap from s""")
 def partial_overlap(spark, sf_dir):
-    both = corpus(spark, sf_dir).select("doc_id", F.array_join(F.slice("tokens", 1, 6), " ").alias("a"), F.array_join(F.slice("tokens", 4, 6), " ").alias("b"))
-    return both.select("doc_id", T.partial_overlap("a", "b").alias("overlap"))
+    """Of all pairs of six-word windows three words apart."""
+    docs = corpus(spark, sf_dir).where(F.size("tokens") > 0)
+    window = lambda i, at: F.array_join(F.slice("tokens", i + at, 6), " ")
+    starts = F.sequence(F.lit(1), F.size("tokens"), F.lit(3))
+    both = docs.select("doc_id", F.inline(F.transform(starts, lambda i: F.struct((i - 1).alias("start"), window(i, 0).alias("a"), F.when(i + 3 <= F.size("tokens"), window(i, 3)).otherwise(F.lit("")).alias("b")))))
+    return both.select("doc_id", "start", T.partial_overlap("a", "b").alias("overlap"))
 
 
-@query(f"with {S.TOK} select a.doc_id, a.pos as start from tok a join tok b on b.doc_id = a.doc_id and b.pos = a.pos + 1 where a.term = 'of' and b.term = 'the'")
+@query(f"with {S.TOK}, l as (select doc_id, pos, term, lead(term) over (partition by doc_id order by pos) as after from tok) select doc_id, pos as start from l where term = 'of' and after = 'the'")
 def pattern_positions(spark, sf_dir):
     return patterns.find(corpus(spark, sf_dir), ["of", "the"])
 
@@ -273,8 +278,52 @@ def phrase_pattern_groups(spark, sf_dir):
     return patterns.orderings(grams).where("freq > 1").select(F.array_join("key", " ").alias("key"), F.array_join("ids", " ").alias("ids"), "freq")
 
 
-@query(r"""with d as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda x: x <> '') as w from documents), s as (select doc_id, w[1:20] as a, w[21:40] as b from d)
-select doc_id, coalesce((select string_agg(x, ' ' order by i) from (select x, i, row_number() over (partition by x order by i) as k from (select unnest(a) as x, generate_subscripts(a, 1) as i)) where k <= len(list_filter(b, lambda y: y = x))), '') as overlap from s""")
+HALVES = f"{S.DOCS}, s as (select doc_id, w[1:len(w) // 2] as a, w[len(w) // 2 + 1:len(w)] as b from docs)"
+
+
+def _halves(spark, sf_dir):
+    docs = corpus(spark, sf_dir).withColumn("half", F.floor(F.size("tokens") / 2).cast("int"))
+    return docs.select("doc_id", F.slice("tokens", F.lit(1), F.col("half")).alias("a"), F.slice("tokens", F.col("half") + 1, F.size("tokens") - F.col("half")).alias("b"))
+
+
+@query(f"""with {HALVES}, x as (select doc_id, unnest(a) as x, generate_subscripts(a, 1) as i from s), k as (select *, row_number() over (partition by doc_id, x order by i) as k from x),
+y as (select doc_id, x, count(*) as n from (select doc_id, unnest(b) as x from s) group by 1, 2), o as (select doc_id, string_agg(x, ' ' order by i) as overlap from k join y using (doc_id, x) where k <= n group by 1)
+select doc_id, coalesce(overlap, '') as overlap from s left join o using (doc_id)""")
 def multiset_overlap(spark, sf_dir):
-    both = corpus(spark, sf_dir).select("doc_id", F.slice("tokens", 1, 20).alias("a"), F.slice("tokens", 21, 20).alias("b"))
-    return both.select("doc_id", F.array_join(T.multiset_overlap("a", "b"), " ").alias("overlap"))
+    """Of the two halves of each text."""
+    found = patterns.multiset_overlaps(_halves(spark, sf_dir), "doc_id", "a", "b")
+    return found.select("doc_id", F.array_join("overlap", " ").alias("overlap"))
+
+
+@query(f"with {HALVES} select doc_id, coalesce(array_to_string(list_sort(list_intersect(list_distinct(a), list_distinct(b))), ' '), '') as shared, list_has_all(a, b) as contained, list_sort(list_distinct(a)) = list_sort(list_distinct(b)) as equal from s")
+def set_overlap(spark, sf_dir):
+    """Shared terms of the two halves of each text, and whether the first holds all of the second, or both the same."""
+    return _halves(spark, sf_dir).select("doc_id", F.array_join(T.set_overlap("a", "b"), " ").alias("shared"), T.set_contains("a", "b").alias("contained"), T.set_equal("a", "b").alias("equal"))
+
+
+_LOOKED_UP = ["of the", "the of", "of an unheardofterm", "in the of the"]
+_IDS = f"{S.TOK}, f as (select term, min(struct_pack(d := doc_id, p := pos)) as f from tok group by term), v as (select term, row_number() over (order by f.d, f.p) - 1 as term_id from f)"
+
+
+def _looked_up(spark, sf_dir):
+    phrases = spark.createDataFrame([(p,) for p in _LOOKED_UP], "phrase string")
+    return patterns.phrase_ids(phrases, vocab.vocabulary(vocab.positions(corpus(spark, sf_dir))))
+
+
+@query(f"""with {_IDS}, p as (select unnest({_LOOKED_UP}) as phrase), w as (select phrase, unnest(string_split(phrase, ' ')) as term, generate_subscripts(string_split(phrase, ' '), 1) as i from p)
+select phrase, string_agg(coalesce(term_id, -1)::varchar, ' ' order by i) as ids from w left join v using (term) group by 1""")
+def phrase_term_ids(spark, sf_dir):
+    return _looked_up(spark, sf_dir).select("phrase", F.array_join(F.transform("ids", lambda i: i.cast("string")), " ").alias("ids"))
+
+
+@query(f"""with {_IDS}, t as (select doc_id, pos, term_id, lead(term_id) over (partition by doc_id order by pos) as b from tok join v using (term)), c as (select distinct least(term_id, b) as x, greatest(term_id, b) as y from t where b is not null),
+p as (select unnest({_LOOKED_UP}) as phrase), w as (select phrase, list(coalesce(term_id, -1) order by i) as ids from (select phrase, unnest(string_split(phrase, ' ')) as term, generate_subscripts(string_split(phrase, ' '), 1) as i from p) left join v using (term) group by 1)
+select array_to_string(ids, ' ') as ids from w where exists (select 1 from c where list_sort(list_distinct(ids)) = case when x = y then [x] else [x, y] end)""")
+def known_phrase_sets(spark, sf_dir):
+    """Which of some phrases have the terms of a bigram of the corpus, in whatever order."""
+    docs = corpus(spark, sf_dir)
+    tok = vocab.with_ids(vocab.positions(docs), vocab.vocabulary(vocab.positions(docs)))
+    pairs = tok.select("doc_id", "pos", "term_id", F.lead("term_id").over(Window.partitionBy("doc_id").orderBy("pos")).alias("b")).where("b is not null")
+    counted = patterns.orderings(pairs.select(F.array("term_id", "b").alias("ids")))
+    found = patterns.known(counted, _looked_up(spark, sf_dir).select(F.col("ids").cast("array<bigint>").alias("ids")), exact=False)
+    return found.select(F.array_join(F.transform("ids", lambda i: i.cast("string")), " ").alias("ids"))

@@ -199,3 +199,21 @@ def candidate_variables(spark, sf_dir):
     s, options = search(spark, sf_dir), {"min_phrase_length": 2, "max_phrase_length": 3}
     best = vocab.top(formulas.phrase_frequencies(s.extract_phrases("sub_phrases", **options)), 20, "freq", "phrase")
     return s.extract_candidate_variables("sub_phrases", best, **options)
+
+
+@query(f"""with {S.TOK}, own as (select tok.*, lang = 'en' as own from tok join documents using (doc_id)), f as (select term, min(struct_pack(d := doc_id, p := pos)) filter (own) as f1, min(struct_pack(d := doc_id, p := pos)) filter (not own) as f2, count(*) as tf from own group by term)
+select term, row_number() over (order by f1 is null, coalesce(f1, f2).d, coalesce(f1, f2).p) - 1 as term_id, tf from f""")
+def extended_vocab(spark, sf_dir):
+    """The vocabulary of the English documents, and then of the others."""
+    docs = read(spark, sf_dir, "documents").where("text is not null")
+    tok = lambda part: vocab.positions(vocab.tokenised(docs.where(part)))
+    return vocab.extended_vocabulary(vocab.vocabulary(tok("lang = 'en'")), tok("lang <> 'en'"))
+
+
+_CHARS = f"{S.ISLANDS}, ch as (select doc_id, pos, coalesce(sum(length(term) + 1) over (partition by doc_id order by pos rows between unbounded preceding and 1 preceding), 0)::bigint as c from tok)"
+
+
+@query(f"with {_CHARS} select r.doc_id, array_to_string(terms, ' ') as phrase, start as word_start, c as char_start, c + length(array_to_string(terms, ' ')) as char_end from runs r join ch on ch.doc_id = r.doc_id and ch.pos = r.start where len(terms) >= 3")
+def phrase_chars(spark, sf_dir):
+    s = search(spark, sf_dir)
+    return formulas.with_chars(s.extract_phrases("long_phrases"), s.tok).select("doc_id", "phrase", "word_start", "char_start", "char_end")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from setphrase.functions import dutch, edits
-from setphrase.operators import context, variants, vocab
+from setphrase.functions.lineage import cut
+from setphrase.operators import colloc, context, variants, vocab
 from setphrase.plans import phrases_sql as S
-from setphrase.plans.context_queries import CTX, contexts
+from setphrase.plans.context_queries import BIG, CTX, contexts
 from setphrase.plans.core_queries import corpus, search
 from setphrase.plans.registry import query, read
 from setphrase.sources import text as sources
@@ -28,6 +29,50 @@ def similar_terms(spark, sf_dir):
     return variants.similar_terms(_frequent(spark, sf_dir), "term", 0.8).withColumn("cosine", F.round("cosine", 6))
 
 
+BOTH = f"{SIMILAR}, near as materialized (select a as term, b as near, round(cosine, 6) as cosine from sim where cosine >= 0.7 - 1e-12 union all select b, a, round(cosine, 6) from sim where cosine >= 0.7 - 1e-12)"
+
+
+@query(f"with {BOTH} select term, near, cosine from near qualify row_number() over (partition by term order by cosine desc, near) <= 5")
+def ranked_similar_terms(spark, sf_dir):
+    return _ranked(spark, sf_dir, 5)
+
+
+def _ranked(spark, sf_dir, top):
+    half = cut(variants.similar_terms(_frequent(spark, sf_dir), "term", 0.7).withColumn("cosine", F.round("cosine", 6)))
+    return variants.ranked(half, top)
+
+
+def _bytes(word: str) -> str:
+    """A lower-case word with a byte for each letter: the SQL engine's edit distance is one of bytes."""
+    return f"translate({word}, 'àáâäçèéêëìíîïñòóôöùúûüß', 'ABCDEFGHIJKLMNOPQRSTUVW')"
+
+
+_NEAR = f"""{BOTH}, nw as materialized (select term as word, near from (select *, row_number() over (partition by term order by cosine desc, near) as r from near where length(term) >= 4)
+where r <= case when length(term) <= 6 then 100 else 1000 end and abs(length(term) - length(near)) <= 2 and levenshtein({_bytes('term')}, {_bytes('near')}) <= 3)"""
+
+
+def _near_words(spark, sf_dir):
+    """Letters stand in for word vectors."""
+    return colloc.variant_words(_ranked(spark, sf_dir, 1000).withColumnRenamed("term", "word"))
+
+
+@query(f"with {_NEAR} select * from nw")
+def variant_words(spark, sf_dir):
+    return _near_words(spark, sf_dir)
+
+
+_SELECTED = f"{BIG.removeprefix(S.TOK + ', ')}, sel as materialized (select w1, w2 from m where length(w1) >= 4 and length(w2) >= 4 order by n_ii desc, w1, w2 limit 300)"
+
+
+@query(f"""with {_NEAR}, {_SELECTED}, own as (select distinct w as word, w as near from (select unnest([w1, w2]) as w from sel)), n as materialized (select * from nw union select * from own),
+j as (select sel.w1 as p1, sel.w2 as p2, a.near as w1, b.near as w2 from sel join n a on a.word = sel.w1 join n b on b.word = sel.w2), k as (select j.* from j join m using (w1, w2) where levenshtein({_bytes("w1 || ' ' || w2")}, {_bytes("p1 || ' ' || p2")}) <= 4)
+select w1, w2, min(struct_pack(a := p1, b := p2)).a as p1, min(struct_pack(a := p1, b := p2)).b as p2 from k group by 1, 2""")
+def bigram_variants(spark, sf_dir):
+    counts = cut(colloc.bigram_counts(vocab.positions(corpus(spark, sf_dir))))
+    selected = counts.where("length(w1) >= 4 and length(w2) >= 4").orderBy(F.desc("n_ii"), "w1", "w2").limit(300)
+    return colloc.bigram_variants(selected, counts, _near_words(spark, sf_dir))
+
+
 @query()
 def variant_similarity(spark, sf_dir):
     pairs = variants.similar_terms(_frequent(spark, sf_dir), "term", 0.7)
@@ -54,7 +99,7 @@ def word_swaps(spark, sf_dir):
 
 
 def _sub_phrases(spark, sf_dir):
-    merged = context.merged_phrases(contexts(spark, sf_dir).where("direction = 'post'"))
+    merged = context.merged_phrases(contexts(spark, sf_dir))
     return context.sub_contexts(merged).select("sub_phrase", "freq"), variants.word_swaps(merged)
 
 
@@ -97,9 +142,9 @@ def preferred_spellings(spark, sf_dir):
     return dutch.most_frequent(dutch.rewrites(s.min_freq_vocab), s.vocab, "term")
 
 
-@query(f"with {S.VOCAB} select term, strip_accents(term) as ascii from tf where regexp_matches(term, '^[a-zà-ÿ0-9_]*$')")
+@query(f"with {S.VOCAB} select term, strip_accents(term) as ascii from tf")
 def unicode_ascii(spark, sf_dir):
-    return dutch.ascii_words(vocab.term_frequencies(vocab.positions(corpus(spark, sf_dir))).where("term rlike '^[a-zà-ÿ0-9_]*$'"))
+    return dutch.ascii_words(vocab.term_frequencies(vocab.positions(corpus(spark, sf_dir))))
 
 
 @query("""with l as (select doc_id as file, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as line_no from documents where text is not null),

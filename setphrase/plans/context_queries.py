@@ -161,7 +161,9 @@ def extended_phrases(spark, sf_dir):
     return transitions.extend_phrase("of the", contexts(spark, sf_dir), None, 0.02, _PROB)
 
 
-@query()
+@query(f"""{_REACH}, named as (select replace(replace(src[1], '<PHRASE>', 'of the'), '"', chr(39)) as a, replace(replace(dst[1], '<PHRASE>', 'of the'), '"', chr(39)) as b, prob
+  from kept k where direction = 'post' and exists (select 1 from reach r where r.direction = k.direction and r.node = k.src)), lines as (select '  "' || a || '" -> "' || b || '" [label="' || printf('%.2f', prob) || '"];' as line from named)
+select (row_number() over (order by line))::int as line_no, line from lines union all select 0, 'digraph {{' union all select 1073741824, '}}'""")
 def transition_dot(spark, sf_dir):
     return transitions.dot(transitions.probabilities(contexts(spark, sf_dir), 0.05, _PROB, tree=False), "of the", "post")
 
@@ -202,7 +204,11 @@ def above_score(spark, sf_dir):
     return colloc.above(colloc.scored(_bigrams(spark, sf_dir)).select("w1", "w2", F.round("score", 3).alias("score")), 50.0)
 
 
-@query()
+@query(f"""with recursive {BIG}, s as (select w1, w2, round({_LLR}, 3) as score from m), best as (select * from s order by score desc, w1, w2 limit 100),
+r as materialized (select *, row_number() over (order by score desc, w1, w2) as k from best where length(w1) + length(w2) >= 9),
+g as (select 0::bigint as k, []::varchar[] as used, false as taken union all
+  select g.k + 1, case when list_contains(used, w1) or list_contains(used, w2) then used else list_concat(used, [w1, w2]) end, not (list_contains(used, w1) or list_contains(used, w2)) from g join r on r.k = g.k + 1)
+select w1, w2, score from g join r using (k) where taken""")
 def non_overlapping_bigrams(spark, sf_dir):
     return colloc.non_overlapping(nbest_bigrams(spark, sf_dir))
 

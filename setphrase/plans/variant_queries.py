@@ -126,17 +126,52 @@ def context_word_variants(spark, sf_dir):
     return spark.createDataFrame(list(found.items()), "variant string, preferred string")
 
 
-@query()
+def _respelled(step: str, before: str, group: str) -> str:
+    """A table (term, w): w of the table before, with the rules of a letter group as a case expression; for words in small letters."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    marks = {"#": r"\x02", "[|]": r"\x03"}
+
+    def ends(left: str) -> str:
+        for mark, code in marks.items():
+            left = left.replace(mark, code)
+        return quoted(f"(?:{left})$")
+
+    fits = lambda left, right: " and ".join([f"regexp_matches(l, {ends(left)})"] * bool(left) + [f"regexp_matches(p[i + 1], {quoted(f'^(?:{right})')})"] * bool(right)) or "true"
+    cases = " ".join(f"when {fits(left, right)} then {quoted(out)}" for left, right, out in dutch.RULES[group])
+    own = {w: w for w in [*dutch.KEPT.get(group, ()), *dutch.KEPT_IN_ANY_CASE.get(group, ())]} | dutch.OWN.get(group, {})
+    own |= {w: w.replace("gh", "ch") for w in dutch.CH_FOR_GH} if group == "gh" else {}
+    fixed = "".join(f"when w = {quoted(old)} then {quoted(new)} " for old, new in sorted(own.items()))
+    return f"""{step}_p as (select term, w, string_split(w, '{group}') as p from {before}), {step}_i as (select term, p, unnest(range(1, len(p))) as i from {step}_p where len(p) > 1),
+{step}_o as (select term, string_agg(case {cases} end || p[i + 1], '' order by i) as o from (select *, case when i = 1 then chr(2) else chr(3) end || p[i] as l from {step}_i) group by term),
+{step} as materialized (select term, case {fixed}when o is null then w else p[1] || o end as w from {step}_p left join {step}_o using (term))"""
+
+
+_GROUPS = ("ck", "ae", "gh", "uy", "ey", "y")
+_SPELLED = ", ".join(_respelled(f"s{k + 1}", f"s{k}", group) for k, group in enumerate(_GROUPS))
+
+
+@query(f"""with {S.VOCAB}, s0 as (select term, term as w from tf), {_SPELLED}
+select term, case when w in ('wordt', 'vindt') then w when w = 'duisent' then 'duizend' when regexp_matches(w, '(dt|heit|lant)$') then regexp_replace(w, 'd?t$', 'd') else w end as normal from s{len(_GROUPS)}""")
 def normalise_dutch(spark, sf_dir):
     return dutch.normalised(vocab.term_frequencies(vocab.positions(corpus(spark, sf_dir))))
 
 
-@query()
+_TABLE = ", ".join(f"('{old}', '{new}')" for old, new in dutch.NGRAMS_NL)
+# every hit of an n-gram is either replaced or not, from the last to the first
+_REWRITES = f"""with recursive {S.VOCAB}, ng(o, n) as (values {_TABLE}), l as (select term, unnest(range(0, length(term) - 1)) as i from minv where length(term) > 1),
+hit as materialized (select term, i, o, n, row_number() over (partition by term order by i desc, o desc, n desc) as k, count(*) over (partition by term) as many from l join ng on substr(term, i + 1, 2) = o
+  where o[1] <> o[2] or length(regexp_extract(substr(term, 1, i), '(' || o[1] || '*)$', 1)) % 2 = 0),
+r as (select term, 0::bigint as k, term as spelling, 0 as used from hit where k = 1 union all
+  select r.term, r.k + 1, case when take then substr(spelling, 1, i) || n || substr(spelling, i + 3) else spelling end, used + take::int from r join hit on hit.term = r.term and hit.k = r.k + 1 cross join (values (true), (false)) as c(take)),
+made as materialized (select r.term, spelling from r join hit on hit.term = r.term and hit.k = r.k where r.k = many and used > 0)"""
+
+
+@query(f"{_REWRITES} select * from made")
 def ngram_rewrites(spark, sf_dir):
     return dutch.rewrites(search(spark, sf_dir).min_freq_vocab)
 
 
-@query()
+@query(f"{_REWRITES} select made.term, arg_min(spelling, (-tf, spelling)) as best from made join tf on tf.term = made.spelling group by made.term")
 def preferred_spellings(spark, sf_dir):
     s = search(spark, sf_dir)
     return dutch.most_frequent(dutch.rewrites(s.min_freq_vocab), s.vocab, "term")

@@ -16,6 +16,7 @@ from setphrase.functions.lineage import checkpoint_dir, cut
 WHITE = r"[\x20\x09-\x0D]+"
 HEAVY = 20_000
 ROWS_AT_ONCE = 1_000
+ROWS_A_FILE = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -123,27 +124,35 @@ def _digest(df: DataFrame) -> tuple:
     return row["n"], row["s"]
 
 
+def gathered(df: DataFrame, rows: int) -> DataFrame:
+    """df in as many partitions as so many rows need: a small table shuffled in many partitions costs files and tasks, not data."""
+    return df.coalesce(-(-max(1, rows) // ROWS_A_FILE))
+
+
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Rows (node, component) for every node with a link to another; component is the smallest reachable node.
 
     Alternates the large-star and small-star steps of Kiveris et al. (2014), whose number
     of rounds grows with the logarithm of the longest path. A node's minimum is pre-aggregated
     and written before it is joined back, so that the join of a hub's links can be split.
+    No step makes more rows than twice the links, so their number tells how many partitions do.
     """
     ends = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v")
     edges = cut(ends.distinct())
     before = _digest(edges)
+    few = lambda df: gathered(df, 2 * before[0])
+    edges = few(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        least = cut(few(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = cut(large.where("u <> v").distinct())
+        large = cut(few(large.where("u <> v").distinct()))
         after = _digest(large)
-        least = cut(large.groupBy("u").agg(F.min("v").alias("m")))
+        least = cut(few(large.groupBy("u").agg(F.min("v").alias("m"))))
         if after == before and least.count() == after[0]:
             break
         moved = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        edges = cut(moved.unionByName(least.withColumnRenamed("m", "v")).distinct())
+        edges = cut(few(moved.unionByName(least.withColumnRenamed("m", "v")).distinct()))
         before = _digest(edges)
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -68,6 +68,23 @@ def corpus(spark: SparkSession, paths: Paths, text_field: str, doc_id_field: str
     return rows.select(doc_id.alias("doc_id"), tokenize(text_field).alias("tokens"), meta.alias("metadata"))
 
 
+def doc_reader(spark: SparkSession, paths: Paths, id_field: str, text_field: str, ignorecase: bool = False, include_boundaries: bool = False, remove_punctuation: bool = False, tokenize: Callable[[Column], Column] | None = None, **options) -> DataFrame:
+    """``corpus`` with words split by blanks unless ``tokenize`` says otherwise, in small letters, between marks and without punctuation if asked.
+
+    Without punctuation, tokens lose the marks at their edges and those that are nothing else go.
+    """
+
+    def tokens(text: str) -> Column:
+        col = F.lower(F.col(text)) if ignorecase else F.col(text)
+        made = tokenize(col) if tokenize else F.filter(F.split(col, r"\s+"), lambda t: t != "")
+        if remove_punctuation:
+            bare = F.transform(made, lambda t: F.regexp_replace(t, f"^[{T.PUNCT}]+|[{T.PUNCT}]+$", ""))
+            made = F.filter(bare, lambda t: t != "")
+        return bounded_words(made, "" if include_boundaries else None)
+
+    return corpus(spark, paths, text_field, id_field, tokens, **options)
+
+
 def bounded_words(words: Column, name: str | None) -> Column:
     """Words between <NAME_START> and <NAME_END>; an empty name gives <START> and <END>, None no marks."""
     if name is None:
@@ -150,21 +167,32 @@ def police_ordinances(spark: SparkSession, paths: Paths) -> DataFrame:
     return rows.withColumn("words", bounded_words(split_words("text"), "PARA"))
 
 
+def transcribed(xml: bytes) -> list[str]:
+    """Paragraphs of a charter's <transcriptie>."""
+    try:
+        found = ElementTree.fromstring(xml).find(".//transcriptie")
+    except ElementTree.ParseError:
+        found = None
+    inner = "".join(found.itertext()) if found is not None else ""
+    paras = re.findall(r"<p\b[^>]*>(.*?)</p>", inner, re.S) or [inner]
+    text = "\n".join(re.sub(r"{.*?}", "", re.sub(r"<[^>]+>", "", p)) for p in paras)
+    return text.split("\n")
+
+
 def charters(spark: SparkSession, paths: Paths) -> DataFrame:
-    """Paragraphs of the XML files in ZIP archives: the text of <transcriptie>, read as markup itself, without what stands in braces."""
+    """Paragraphs of the XML files in ZIP archives: the text of <transcriptie>, read as markup itself, without what stands in braces.
+
+    An archive is read by one task, a file of it at a time. Files that aren't well-formed XML, or
+    have no <transcriptie>, give one empty paragraph.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
             for content in frame["content"]:
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
                     for name in sorted(n for n in z.namelist() if n.endswith(".xml") and not n.startswith("__MACOSX")):
-                        found = ElementTree.fromstring(z.read(name)).find(".//transcriptie")
-                        inner = "".join(found.itertext()) if found is not None else ""
-                        paras = re.findall(r"<p\b[^>]*>(.*?)</p>", inner, re.S) or [inner]
-                        text = "\n".join(re.sub(r"{.*?}", "", re.sub(r"<[^>]+>", "", p)) for p in paras)
-                        rows += [(name, f"{name}-{i}", para) for i, para in enumerate(text.split("\n"), 1)]
-            yield pd.DataFrame(rows, columns=["doc_id", "para_id", "text"])
+                        texts = transcribed(z.read(name))
+                        yield pd.DataFrame([(name, f"{name}-{i}", text) for i, text in enumerate(texts, 1)], columns=["doc_id", "para_id", "text"])
 
     files = spark.read.format("binaryFile").load(_paths(paths)).select("content")
     return files.mapInPandas(run, "doc_id string, para_id string, text string").withColumn("words", split_words("text"))
@@ -194,6 +222,7 @@ def normalised_corpus(docs: DataFrame, *steps: Callable[[DataFrame], DataFrame])
 
 def facsimile_lines(spark: SparkSession, paths: Paths) -> DataFrame:
     """(facs, line_id, line_text) of lines such as "#facs_12_r1l3 text"; other lines are dropped."""
+    # fixed value: the lines' format
     pattern = r"^#facs_(\d+)_(\w+) +(.*)"
     rows = spark.read.text(_paths(paths)).where(F.col("value").rlike(pattern))
     part = lambda i: F.regexp_extract("value", pattern, i)

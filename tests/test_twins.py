@@ -285,3 +285,72 @@ def test_skip_grams_are_all_choices(spark):
     want = [tokens[i] + tokens[i + a] + tokens[i + b] for i, (a, b) in product(range(5), [(1, 2), (1, 3), (2, 3)]) if i + b < 5]
     row = spark.range(1).select(F.transform(T.skip_ngrams(F.array(*map(F.lit, tokens)), 3, 1), lambda g: F.array_join(g["terms"], "")).alias("g")).first()
     assert row["g"] == want
+
+
+def test_doc_reader_and_charters(spark, tmp_path):
+    import zipfile
+
+    from setphrase.sources import text as sources
+
+    path = tmp_path / "x.tsv"
+    path.write_text("id\ttext\tyear\n1\tDe Heer, komt (nu) .\t1705\n2\t\t1706\n")
+    rows = sources.doc_reader(spark, str(path), "id", "text", ignorecase=True, include_boundaries=True, remove_punctuation=True).orderBy("doc_id").collect()
+    assert [(r["doc_id"], r["tokens"], r["metadata"]) for r in rows] == [("1", ["<START>", "de", "heer", "komt", "nu", "<END>"], {"year": "1705"}), ("2", ["<START>", "<END>"], {"year": "1706"})]
+    assert sources.doc_reader(spark, str(path), "id", "text").orderBy("doc_id").first()["tokens"] == ["De", "Heer,", "komt", "(nu)", "."]
+    with zipfile.ZipFile(tmp_path / "c.zip", "w") as z:
+        z.writestr("a.xml", "<c><transcriptie>&lt;p&gt;Wij {sic} maken&lt;/p&gt;&lt;p&gt;cont&lt;/p&gt;</transcriptie></c>")
+        z.writestr("b.xml", "<c><transcriptie>broken")
+        z.writestr("c.xml", "<c><other/></c>")
+    rows = sources.charters(spark, str(tmp_path / "c.zip")).orderBy("para_id").collect()
+    assert [(r["para_id"], r["text"], r["words"]) for r in rows] == [("a.xml-1", "Wij  maken", ["Wij", "maken"]), ("a.xml-2", "cont", ["cont"]), ("b.xml-1", "", []), ("c.xml-1", "", [])]
+
+
+def test_fixed_lists_and_lookups(spark):
+    sentences = vocab.positions(spark.createDataFrame([(1, "a b a".split())], "doc_id long, tokens array<string>"))
+    assert [(r["term"], r["tf"]) for r in vocab.top(vocab.term_frequencies(sentences), 1, "tf", "term").collect()] == [("a", 2)]
+    phrases = spark.createDataFrame([("a b",), ("b zz",)], "phrase string")
+    known = spark.createDataFrame([("a", 0), ("b", 1)], "term string, term_id long")
+    with_var = known.unionByName(spark.createDataFrame([("<VAR>", 7)], "term string, term_id long"))
+    assert {r["phrase"]: r["ids"] for r in patterns.phrase_ids(phrases, known).collect()} == {"a b": [0, 1], "b zz": [1, -1]}
+    assert {r["phrase"]: r["ids"] for r in patterns.phrase_ids(phrases, with_var).collect()} == {"a b": [0, 1], "b zz": [1, 7]}
+    counted = patterns.orderings(spark.createDataFrame([([1, 2],), ([2, 1],), ([1, 2, 1],)], "ids array<int>"))
+    assert counted.count() == 3 and patterns.of_set(counted, [2, 1, 2]).count() == 3
+    asked = spark.createDataFrame([([2, 2, 1],), ([2, 1],), ([3],)], "ids array<int>")
+    assert sorted(r["ids"] for r in patterns.known(counted, asked).collect()) == [[2, 1]]
+    assert sorted(r["ids"] for r in patterns.known(counted, asked, exact=False).collect()) == [[2, 1], [2, 2, 1]]
+
+
+def test_word_swaps_against_brute_force(spark):
+    rng = random.Random(12)
+    phrases = {" ".join(rng.choices(["aa", "bb", "cc", "ddd"], k=rng.randrange(3, 6))): rng.randrange(1, 50) for _ in range(70)}
+    ranked = sorted(phrases, key=lambda p: (-phrases[p], p))
+    spots = [(p, i, tuple(p.split(" ")[i : i + 2])) for p in ranked for i in range(len(p.split(" ")) - 1)]
+    first, last = {}, {}
+    for at, (_, _, g) in enumerate(spots):
+        first.setdefault(g, at)
+        last[g] = at
+
+    def rest(p, g):
+        s = " ".join(g)
+        head, _, tail = p.partition(s)
+        return head + tail[1:] if head.endswith(" ") and tail.startswith(" ") else p.replace(s, "")
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, c in enumerate(a, 1):
+            old, row = row, [i]
+            for j, d in enumerate(b, 1):
+                row.append(min(old[j - 1] + (c != d), old[j] + 1, row[-1] + 1))
+        return row[-1]
+
+    want = Counter()
+    held = sorted({(p, g) for p, _, g in spots})
+    for p, g in held:
+        for q, h in held:
+            if g != h and sorted(g) == sorted(h) and last[g] > first[h] and " ".join(g) not in q:
+                x, y = rest(p, g), rest(q, h)
+                longest = max(len(x), len(y))
+                if abs(len(x) - len(y)) <= 4 and (not longest or 1 - distance(x, y) / longest >= 0.7):
+                    want[" ".join(g), " ".join(h)] += 1
+    frame = spark.createDataFrame(list(phrases.items()), "context string, freq long")
+    assert {(r["swap1"], r["swap2"]): r["freq"] for r in variants.word_swaps(frame).collect()} == want and want

@@ -90,11 +90,14 @@ class KernelClassifier:
         for language in languages:
             own = np.flatnonzero(label == language)
             chosen += rng.permutation(own)[: -(-landmarks // len(languages))].tolist()
-        # landmarks as columns: presence over the root of how many n-grams a landmark holds
-        marks = np.zeros((CELLS, len(chosen)), np.float32)
+        # landmarks as columns: presence over the root of how many n-grams a landmark holds; only n-grams that one holds have a row
+        held = np.unique(np.concatenate([cells[i] for i in chosen]))
+        marks = np.zeros((len(held) + 1, len(chosen)), np.float32)
+        row = np.full(CELLS, len(held))
+        row[held] = np.arange(len(held))
         for k, i in enumerate(chosen):
-            marks[cells[i], k] = 1 / np.sqrt(len(cells[i]))
-        kernel = np.vstack([marks[c].sum(0) / np.sqrt(len(c)) for c in cells]).astype(np.float64)
+            marks[row[cells[i]], k] = 1 / np.sqrt(len(cells[i]))
+        kernel = np.vstack([marks[row[c]].sum(0) / np.sqrt(len(c)) for c in cells]).astype(np.float64)
         values, vectors = np.linalg.eigh(kernel[chosen])
         ok = values > 1e-8 * values.max()
         white = vectors[:, ok] / np.sqrt(values[ok])
@@ -103,7 +106,9 @@ class KernelClassifier:
         weight = np.sqrt(len(labels) / len(languages) / np.array([(label == x).sum() for x in label]))[:, None]
         a = (phi * weight).T @ (phi * weight) + ridge * len(cells) / 100 * np.eye(phi.shape[1])
         coef = np.linalg.solve(a, (phi * weight).T @ (y * weight))
-        model = cls(languages, marks @ (white @ coef[:-1]))
+        folded = np.zeros((CELLS, len(languages)))
+        folded[held] = marks[:-1] @ (white @ coef[:-1])
+        model = cls(languages, folded)
         model.bias = coef[-1].astype(np.float32)
         return model
 

@@ -76,11 +76,11 @@ class Pricing:
         order = np.argsort(lengths, kind="stable")
         self.items = [(int(i), k, k * int(lengths[i])) for i in order.tolist() for k in _powers(int(most[i])) if k * lengths[i] <= size]
         self.size, self.lengths = size, lengths
-        self.best = np.zeros((len(self.items) + 1, size + 1))
-        self.last = np.full((len(self.items) + 1, size + 1), -1, np.int32)
+        self.best = np.zeros((len(self.items) + 1, size + 1), np.float32)
+        self.last = np.full((len(self.items) + 1, size + 1), -1, np.int16 if len(self.items) < 1 << 15 else np.int32)
         for r, (i, k, w) in enumerate(self.items):
             old, new = self.best[r], self.best[r + 1]
-            gain = old[: size + 1 - w] + k * worth[i]
+            gain = old[: size + 1 - w] + np.float32(k * worth[i])
             new[:w] = old[:w]
             np.maximum(gain, old[w:], out=new[w:])
             self.last[r + 1] = self.last[r]

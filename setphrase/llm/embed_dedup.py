@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from setphrase.llm.common import Forest, connected_components, cut, sieve, sifted
+from setphrase.llm.common import Forest, connected_components, cut, sieve, sifted, spread_join
 
 LEAF = 1024
 BLOCK = 2048
@@ -132,8 +132,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     made = cut(made)
     counts = made.groupBy("key").agg(F.sum("n").alias("n"))
     components = cut(connected_components(made.where("key <> root").select(F.col("key").alias("a"), F.col("root").alias("b"))))
-    first = components.join(whole.select(F.col("key").alias("node"), "rep"), "node").groupBy("component").agg(F.min("rep").alias("first"))
-    placed = components.join(first, "component").select(F.col("node").alias("key"), "first")
+    first = components.join(whole.select(F.col("key").alias("node"), "rep"), "node").groupBy("component").agg(F.min("rep").alias("first"), F.count("*").alias("nodes"))
+    placed = spread_join(components, cut(first), ["component"], "nodes").select(F.col("node").alias("key"), "first")
     named = whole.select("key", "rep", "many").join(counts, "key", "left").join(placed.withColumn("placed", F.lit(True)), "key", "left")
     named = cut(named.select("key", (F.coalesce("n", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.when(F.col("placed"), F.col("first")).otherwise(F.col("rep")).alias("component_id")))
     # a row is its vector's key unless the vector is repeated; only rows that may repeat one are shuffled with it

@@ -394,6 +394,30 @@ def test_empty_table(spark, awkward, name):
     assert OPERATORS[name](awkward.limit(0)).count() == 0
 
 
+def test_values_of_awkward_rows(spark, awkward, library):
+    """Nulls, empty and long texts, ties and repeated rows have the results that the docstrings give them."""
+    text = {i: t or "" for i, t, *_ in AWKWARD if i != 4}
+    exact = Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_duplicates(awkward).collect())
+    assert exact == Counter({(1, 1, 2, True): 1, (2, 1, 2, False): 1, (3, 3, 3, True): 1, (4, 3, 3, False): 2, (None, None, 1, True): 1, (5, 5, 1, True): 1, (6, 6, 1, True): 1, (7, 7, 1, True): 1})
+    groups = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in simhash.simhash_groups(awkward).collect()}
+    assert all(groups[i][0] == f"{simhash.fingerprint(t):016x}" for i, t in text.items())
+    assert groups[1] == groups[2] == groups[7] == ("0" * 16, 1) and groups[4][1] == 3 and groups[None][1] is None
+    want = {i: (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for i, t in text.items() for ids in [[*library(t), 1]]}
+    shards = {r["doc"]: (r["n"], r["crc"]) for r in _shards(awkward).collect()}
+    assert all(shards[i] == x for i, x in want.items()) and shards[1] == (1, zlib.crc32(np.array([1], "<u4").tobytes()))
+    packed = packing.pack(awkward).collect()
+    assert sum(r["length"] for r in packed if r["doc_id"] == 5) == want[5][0] and max(r["length"] for r in packed) <= 2048 < want[5][0]
+    mixed = {r["doc_id"]: (r["tokens"], r["topic"], r["sampled"]) for r in mixing.mixed(awkward).collect()}
+    assert mixed[1] == mixed[2] == mixed[7] == (0, "none", True) and mixed[5][:2] == (18_001, "long") and mixed[6][:2] == (3, "none")
+    scores = {r["doc_id"]: r["score"] for r in OPERATORS["toxicity"](awkward).collect()}
+    assert scores[1] == scores[2] == scores[7] and scores[3] == scores[4] and all(0 <= s <= 1 for s in scores.values())
+    hosts = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in OPERATORS["url"](awkward).collect()}
+    assert set(hosts.values()) == {("", "", None, "allow")}
+    pages = {r["page_id"]: (r["text"], r["n_chars"]) for r in OPERATORS["html"](awkward).collect()}
+    long = " ".join(text[5].split())
+    assert pages[1] == pages[2] == pages[7] == ("", 0) and pages[5] == (long, len(long)) and pages[4] == ("same text here", 14)
+
+
 def test_awkward_shards(spark, awkward, tmp_path):
     for df, n in ((awkward, len(AWKWARD)), (awkward.limit(0), 0)):
         wavelet.write_shards(df, f"{tmp_path}/{n}")
@@ -409,6 +433,66 @@ def test_duplicates_of_awkward_rows(spark, awkward):
     assert sorted(r["doc_id"] or 0 for r in kept.select("doc_id").collect()) == [0, 1, 3, 5, 6, 7]
 
 
+def brute_force_pipeline(docs, tokens_of):
+    """Pieces (doc_id, piece, start, length, crc) of the documents that all stages keep, by dictionaries and all pairs."""
+    import hashlib
+    import re
+
+    docs = {i: t for i, t in docs.items() if t and any(c.isalpha() for c in t[0])}
+    first = {}
+    for i in sorted(docs):
+        first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", docs[i][0]), i)
+    docs = {i: docs[i] for i in first.values()}
+    words = {i: re.findall(r"[^\x20\x09-\x0D]+", t.translate({c: c + 32 for c in range(65, 91)})) for i, (t, *_) in docs.items()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in words.items()}
+    ids = sorted(docs)
+    links = [(a, b) for a in range(len(ids)) for b in range(a) if len(sets[ids[a]] & sets[ids[b]]) >= 0.8 * len(sets[ids[a]] | sets[ids[b]])]
+    docs = {i: docs[i] for i, root in zip(ids, components(len(ids), links)) if ids[root] == i}
+
+    def form(t):
+        letters = sum(c.isalpha() for c in t)
+        other = sum(not c.isalpha() and c not in " \t\n\v\f\r" for c in t)
+        return "none" if not letters else "symbols" if letters < 3 * other else "short" if len(t) < 1000 else "medium" if len(t) < 10_000 else "long"
+
+    cell = {i: (source, lang, form(t)) for i, (t, lang, source) in docs.items()}
+    sums = Counter()
+    for i in docs:
+        sums[cell[i]] += len(words[i])
+    total, weight = sum(sums.values()), {c: float(n) for c, n in sums.items()}
+    targets = []
+    for d in range(3):
+        own = Counter()
+        for c, n in sums.items():
+            own[c[d]] += n / total
+        scale = sum(x**0.9 for x in own.values())
+        targets.append({v: x**0.9 / scale * total for v, x in own.items()})
+    for _ in range(mixing.ROUNDS):
+        for d in range(3):
+            now = Counter()
+            for c, w in weight.items():
+                now[c[d]] += w
+            weight = {c: w * targets[d][c[d]] / now[c[d]] for c, w in weight.items()}
+    factor = {c: w / sums[c] for c, w in weight.items()}
+    drawn = lambda i: int(hashlib.md5(f"mix:{i}".encode()).hexdigest()[:13], 16) / 2**52
+    docs = {i: t for i, t in docs.items() if drawn(i) < factor[cell[i]] / max(factor.values())}
+    made = set()
+    for i, (t, *_) in docs.items():
+        every = np.array([*tokens_of(t), 0], "<u4")
+        made |= {(i, p, a, len(every[a : a + 2048]), zlib.crc32(every[a : a + 2048].tobytes())) for p, a in enumerate(range(0, len(every), 2048))}
+    return made
+
+
+def test_pipeline_against_brute_force(spark, data, library):
+    import corpus_pipeline
+
+    docs = {r["doc_id"]: (r["text"], r["lang"], r["source"]) for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    rows = corpus_pipeline.run(spark, str(data)).collect()
+    want = brute_force_pipeline(docs, library)
+    assert {(r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows} == want and len(rows) == len(want)
+    assert len({r["doc_id"] for r in rows}) >= 50
+    check_packing(rows)
+
+
 @pytest.mark.parametrize("stage", ["language_id", "exact_dedup", "simhash_near_dedup", "source_mixing"])
 def test_stages_on_awkward_rows(spark, awkward, stage):
     """Whole rows stay, of all columns; the long text, which nothing resembles, is among them."""
@@ -451,14 +535,6 @@ def test_near_links_by_any_partitions(spark, sizes, block, monkeypatch):
     assert simhash.widths(100_000, 3) == [16] * 4 and simhash.widths(10**8, 3) == [22, 21, 21] and simhash.widths(10**10, 3) == [32, 32]
 
 
-def test_pipeline_runs_whole(spark, data):
-    import corpus_pipeline
-
-    rows = corpus_pipeline.run(spark, str(data)).collect()
-    assert rows and {"doc_id", "sequence_id", "offset"} <= set(rows[0].asDict())
-    check_packing(rows)
-
-
 def near_rows(spark, texts):
     return docs_frame(spark, [(k, t, "en", "a", 0) for k, t in texts])
 

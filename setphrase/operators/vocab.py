@@ -12,7 +12,10 @@ BLOCK = 1 << 16
 
 
 def checked(docs: DataFrame, tokens_col: str = "tokens") -> DataFrame:
-    """docs, if it has a column of token arrays (or of structs with an array ``words``), as ``tokens``; else a TypeError or KeyError. Rows with a null token end the query."""
+    """docs, if it has a column of token arrays (or of structs with an array ``words``), as ``tokens``; else a TypeError or KeyError.
+
+    Tokens are strings, or structs whose field ``n`` is the string. Rows with a null token end the query.
+    """
     if tokens_col not in docs.columns:
         raise KeyError(f"no column {tokens_col}")
     kind = docs.schema[tokens_col].dataType
@@ -21,6 +24,8 @@ def checked(docs: DataFrame, tokens_col: str = "tokens") -> DataFrame:
         if "words" not in kind.names:
             raise KeyError(f"{tokens_col} needs a field words, an array of strings")
         kind, at = kind["words"].dataType, at["words"]
+    if isinstance(kind, ArrayType) and isinstance(kind.elementType, StructType) and "n" in kind.elementType.names:
+        kind, at = ArrayType(kind.elementType["n"].dataType), F.transform(at, lambda t: t["n"])
     if not isinstance(kind, ArrayType) or not isinstance(kind.elementType, StringType):
         raise TypeError(f"{tokens_col} must be an array of strings or a struct with one in words, not {kind.simpleString()}")
     sound = F.when(F.exists(at, lambda t: t.isNull()), F.raise_error(F.lit("a token is null"))).otherwise(at)

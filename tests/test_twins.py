@@ -205,6 +205,7 @@ def test_sentences_are_checked(spark):
     frame = lambda kind, v: spark.createDataFrame([(1, v)], f"doc_id long, tokens {kind}")
     assert vocab.checked(frame("array<string>", ["this", "is"])).first()["tokens"] == ["this", "is"]
     assert vocab.checked(frame("struct<words:array<string>>", (["a"],))).first()["tokens"] == ["a"]
+    assert vocab.checked(frame("array<struct<t:string,n:string>>", [("This", "this"), ("is", "is")])).first()["tokens"] == ["this", "is"]
     for kind, value, error in (("string", "this is", TypeError), ("struct<text:string>", ("a",), KeyError), ("array<int>", [1], TypeError)):
         with pytest.raises(error):
             vocab.checked(frame(kind, value))
@@ -354,3 +355,22 @@ def test_word_swaps_against_brute_force(spark):
                     want[" ".join(g), " ".join(h)] += 1
     frame = spark.createDataFrame(list(phrases.items()), "context string, freq long")
     assert {(r["swap1"], r["swap2"]): r["freq"] for r in variants.word_swaps(frame).collect()} == want and want
+
+
+def test_candidates_as_values(spark):
+    from setphrase.operators import candidate
+
+    text = "that's just like, uh, your opinion, man."
+    made = candidate.CandidatePhrase.of(text)
+    assert made.text == text and made == candidate.CandidatePhrase.of(text.split(" ")) == candidate.CandidatePhrase.of([{"t": w, "n": w} for w in text.split(" ")]) and len(made) == 7
+    slot = candidate.CandidatePhrase.of(["a", None, "of"])
+    assert str(slot) == "a <VAR> of" and slot.slots == (1,)
+    with pytest.raises(TypeError):
+        candidate.CandidatePhrase.of(["a", 3])
+    match = candidate.CandidateMatch(slot, 5, 2, 10, ["a", "bit", "of"])
+    assert (match.word_end, match.char_end, match.variable_terms, len(match)) == (5, 20, ["bit"], 10)
+    docs = spark.createDataFrame([(1, "a bit of a lot of it".split())], "doc_id long, tokens array<string>")
+    sel = vocab.positions(docs).withColumn("sel", F.when(F.col("term").isin("a", "of"), F.col("term")))
+    found = formulas.with_chars(formulas.sub_phrases(sel, 2, 3, max_variables=9), vocab.positions(docs))
+    hits = found.join(candidate.frame(spark, [slot]), "phrase", "left_semi").orderBy("word_start").collect()
+    assert [(candidate.of_row(r).variable_terms, r["char_start"]) for r in hits] == [(["bit"], 0), (["lot"], 9)]

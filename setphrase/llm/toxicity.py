@@ -43,7 +43,7 @@ SHARE = 0.1
 LIFT = 2.0
 STRICTNESS = (2.0, 3.0, 4.0)  # values of z to choose from
 CALIBRATION_ROWS = 6_000
-UNITS_SENT = 2_000_000
+UNITS_SENT = 500_000
 WORD = re.compile(r"[^\W\d_]+")
 CACHED = 250_000
 

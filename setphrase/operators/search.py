@@ -16,7 +16,8 @@ class PhraseSearch:
     """Formulaic phrases of a corpus (doc_id, tokens).
 
     ``persist`` keeps the token table on disk and in memory, since three passes read it; the
-    vocabulary's size is then counted, and tokens are looked up in a small one without a shuffle.
+    sizes of the vocabulary and of the strong pairs are then counted, and tokens and pairs are
+    looked up in small ones without a shuffle.
     """
 
     def __init__(self, docs: DataFrame, min_term_freq: int = 1, skip_size: int = 4, min_cooc_freq: int | None = None, min_neighbour_cooc: int | None = None, enforce_max_term_frac: float | None = None, persist: bool = True):
@@ -57,7 +58,8 @@ class PhraseSearch:
         tok = self.tok
         if max_docs is not None:
             tok = tok.join(self.docs.select("doc_id").orderBy("doc_id").limit(max_docs), "doc_id", "left_semi")
-        return formulas.selected(tok, self.min_freq_vocab, self.cooc, m, 1 if k is None else k)
+        strong = self.cooc.where(F.col("freq") >= m)
+        return formulas.selected(tok, self.min_freq_vocab, sized(strong) if self.persist else strong, m, 1 if k is None else k)
 
     def extract_phrases(self, phrase_type: str = "sub_phrases", min_cooc_freq: int | None = None, min_neighbour_cooc: int = 1, max_docs: int | None = None, **options) -> DataFrame:
         """Matches of "sub_phrases", "long_phrases" or "candidate_phrases"."""

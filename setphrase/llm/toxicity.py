@@ -2,8 +2,9 @@
 
 Each class (toxic, ordinary) has an interpolated Kneser-Ney model of words. It backs off from the
 word to its first five and then its first four letters, and at last to the counts that both
-classes share. Counts are numbers of different texts (continuation counts: a text that repeats a
-word is one context of it), so they grow with the input and no unit is hashed or folded.
+classes share. A word's count is the number of texts that hold it (a text that repeats a word is
+one context of it), a beginning's count is the sum over its words. Counts grow with the input and
+no unit is hashed or folded.
 
 At a level with counts c_y(u) of a unit u in class y, N_y their sum and N the sum of both:
 
@@ -80,15 +81,16 @@ class ToxicityModel:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_ratios": {}}
 
-    def word(self, word: str, z: float, without: int | None = None) -> float:
-        """log P_toxic(word) - log P_ordinary(word); ``without``: as if one text of that class had not been counted."""
+    def word(self, word: str, z: float, without: tuple[int, list[Counter]] | None = None) -> float:
+        """log P_toxic(word) - log P_ordinary(word); ``without``: less what a text of that class holds, by level and unit."""
         toxic = ordinary = 1.0  # P_y / P
-        for known, totals, kept, unit in zip(self.known, self.totals, self.kept[z], units(word)):
+        for level, (known, totals, kept, unit) in enumerate(zip(self.known, self.totals, self.kept[z], units(word))):
             toxic, ordinary = toxic * kept[0], ordinary * kept[1]
             counts = known.get(unit)
             if counts is not None:
                 if without is not None:
-                    counts = (counts[0] - (without == 1), counts[1] - (without == 0))
+                    y, held = without
+                    counts = (counts[0] - y * held[level][unit], counts[1] - (1 - y) * held[level][unit])
                 a, b, shared = own_mass(counts, totals, z)
                 toxic += a / totals[0] / (shared / kept[2])
                 ordinary += b / totals[1] / (shared / kept[2])
@@ -115,7 +117,8 @@ class ToxicityModel:
     def left_out(self, text: str, toxic: bool, z: float) -> tuple[float, float]:
         """ratios, had this text of that class not been counted."""
         found = words(text)
-        total = fsum(self.word(w, z, int(toxic)) for w in found)
+        held = [Counter(w[:n] for w in found) for n in (*STEMS, None)]
+        total = fsum(self.word(w, z, (int(toxic), held)) for w in found)
         return (total / len(found), total / sqrt(len(found))) if found else (self.unknown(z), 0.0)
 
     def score(self, text: str) -> float:
@@ -155,37 +158,42 @@ def _shared(a: Column, b: Column, n: float, m: float) -> Column:
     return F.least((a + 1) / F.lit(float(n)), (b + 1) / F.lit(float(m))) + SHARE * (a + b + 1) / F.lit(float(n + m))
 
 
-def count_units(texts: DataFrame) -> DataFrame:
-    """Rows (level, unit, toxic, ordinary): in how many texts (text, y) of each class a unit occurs. Combined before the shuffle."""
+def count_words(texts: DataFrame) -> DataFrame:
+    """Rows (word, toxic, ordinary): how many texts (text, y) of each class hold a word. Combined before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        counts: tuple[Counter, Counter] = (Counter(), Counter())
 
         def out() -> pa.RecordBatch:
-            made = [(*key, n) for key, n in counts.items()]
-            counts.clear()
-            columns = zip(*made) if made else ([], [], [], [])
-            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int32(), pa.string(), pa.int32(), pa.int64()))], ["level", "unit", "y", "n"])
+            both = list(counts[0].keys() | counts[1].keys())
+            columns = [pa.array(both, pa.string()), *[pa.array([counts[y][w] for w in both], pa.int64()) for y in (1, 0)]]
+            counts[0].clear(), counts[1].clear()
+            return pa.RecordBatch.from_arrays(columns, ["word", "toxic", "ordinary"])
 
         for batch in batches:
             for text, y in zip(batch.column(0), batch.column(1).to_pylist()):
-                found = words(text.as_py())
-                for level, n in enumerate(STEMS):
-                    counts.update((level, u, y) for u in {w[:n] for w in found})
-                counts.update((LEVELS - 1, w, y) for w in found)
-                if len(counts) > 200_000:
+                counts[y].update(words(text.as_py()))
+                if len(counts[0]) + len(counts[1]) > 200_000:
                     yield out()
         yield out()
 
-    found = whole_texts(texts.select("text", "y")).mapInArrow(run, "level int, unit string, y int, n long")
-    of = lambda y: F.sum(F.when(F.col("y") == y, F.col("n")).otherwise(0))
-    return found.groupBy("level", "unit").agg(of(1).alias("toxic"), of(0).alias("ordinary"))
+    found = whole_texts(texts.select("text", "y")).mapInArrow(run, "word string, toxic long, ordinary long")
+    return found.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+
+
+def count_units(counted: DataFrame) -> DataFrame:
+    """Rows (level, unit, toxic, ordinary) of words and their beginnings."""
+    made = counted.select(F.lit(LEVELS - 1).alias("level"), F.col("word").alias("unit"), "toxic", "ordinary")
+    for level, n in enumerate(STEMS):
+        begun = counted.groupBy(F.substring("word", 1, n).alias("unit")).agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+        made = made.unionByName(begun.select(F.lit(level).alias("level"), "unit", "toxic", "ordinary"))
+    return made
 
 
 def fitted(counts: DataFrame) -> tuple[DataFrame, list[tuple[float, float]], dict[float, list[tuple[float, float, float]]]]:
     """(units that some class holds as its own at some strictness, totals, kept) of count_units.
 
-    A unit also stays if it would be some class's own with one text less of either class.
+    A unit also stays if it would be some class's own with one count less of either class.
     """
     sums = {r["level"]: (float(r["a"]), float(r["b"])) for r in counts.groupBy("level").agg(F.sum("toxic").alias("a"), F.sum("ordinary").alias("b")).collect()}
     totals = [tuple(max(1.0, x) for x in sums.get(level, (0.0, 0.0))) for level in range(LEVELS)]
@@ -218,10 +226,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (fold != held_out))
     known = cut(known.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("y")))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    texts = sifted(texts, "id", cut(sieve(known, "id"))).where("_hit").join(known, "id").select("id", "text", "y")
+    texts = sifted(texts, "id", cut(sieve(known, "id"))).where("_hit").join(known.hint("merge"), "id").select("id", "text", "y")
 
-    counts = cut(count_units(texts))
-    table, totals, kept = fitted(counts)
+    table, totals, kept = fitted(count_units(cut(count_words(texts))))
     table = cut(table)
     rate = sample / max(1, known.count())
     drawn = cut(texts.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1_000_000)) < rate * 1_000_000))

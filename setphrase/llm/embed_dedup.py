@@ -135,12 +135,12 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     first = components.join(whole.select(F.col("key").alias("node"), "rep"), "node").groupBy("component").agg(F.min("rep").alias("first"), F.count("*").alias("nodes"))
     placed = spread_join(components, cut(first), ["component"], "nodes").select(F.col("node").alias("key"), "first")
     named = whole.select("key", "rep", "many").join(counts, "key", "left").join(placed.withColumn("placed", F.lit(True)), "key", "left")
-    named = cut(named.select("key", (F.coalesce("n", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.when(F.col("placed"), F.col("first")).otherwise(F.col("rep")).alias("component_id")))
+    named = cut(named.select("key", (F.coalesce("n", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.when(F.col("placed"), F.col("first")).otherwise(F.col("rep")).alias("component_id"), "many"))
     # a row is its vector's key unless the vector is repeated; only rows that may repeat one are shuffled with it
     again = cut(whole.where("many > 1").select("v", "key"))
     copies = sifted(rows.where("ok").select("row", "v"), "v", cut(sieve(again, "v"))).where("_hit").join(again, "v").select("row", "key")
     keyed = rows.select("row", "id", "ok").join(copies, "row", "left").select("id", F.when(F.col("ok"), F.coalesce("key", "row")).alias("key"), F.col("ok"))
-    linked = keyed.where("ok").join(named, "key").select("id", "n_links", "component_id")
+    linked = spread_join(keyed.where("ok"), named, ["key"], "many").select("id", "n_links", "component_id")
     alone = keyed.where("not ok").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     found = linked.unionByName(alone)
     return found.select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

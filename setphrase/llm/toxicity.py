@@ -15,10 +15,11 @@ At a level with counts c_y(u) of a unit u in class y, N_y their sum and N the su
 * class model       P_y(u) = max(c_y(u) - D_y(u), 0) / N_y + G_y x P(u) x P_y(parent) / P(parent).
 
 G_y is the mass that discounting left to the shared counts. Unknown and evenly used words have the
-parent's ratio, which is 1 at the root. A text's two log-likelihoods are sums over its different
-words; their difference, divided by the number of words and by its root, is put on a scale from
-0 to 1 by logistic regression. Its weights, and z, are chosen on a bounded sample of the labelled
-texts, each scored with its own counts left out.
+parent's ratio, which is 1 at the root. The difference of a text's two log-likelihoods is
+normalised by the text's length and by its root, and once more over different words only, so that
+neither a long text nor one repeated word decides; logistic regression puts the three on a scale from
+0 to 1. Its weights, and z, are chosen on a bounded sample of the labelled texts, each scored with
+its own counts left out.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, StructType
 
 from setphrase.llm.common import crc32_of_id, cut, sieve, sifted, whole_texts
 
@@ -42,16 +43,17 @@ LEVELS = len(STEMS) + 1
 DISCOUNT = 0.75
 SHARE = 0.1
 LIFT = 2.0
-STRICTNESS = (2.0, 3.0, 4.0)  # values of z to choose from
+STRICTNESS = (3.0, 4.0, 6.0)  # values of z to choose from
+FEATURES = 3
 CALIBRATION_ROWS = 6_000
 UNITS_SENT = 500_000
 WORD = re.compile(r"[^\W\d_]+")
 CACHED = 250_000
 
 
-def words(text: str) -> set[str]:
-    """The different words of a text, lower-cased."""
-    return set(WORD.findall(text.lower()))
+def words(text: str) -> Counter[str]:
+    """The words of a text, lower-cased, with how often each occurs."""
+    return Counter(WORD.findall(text.lower()))
 
 
 def units(word: str) -> tuple[str, ...]:
@@ -75,11 +77,11 @@ class ToxicityModel:
     def __init__(self, known: list[dict[str, tuple[int, int]]], totals: list[tuple[float, float]], kept: dict[float, list[tuple[float, float, float]]], z: float = STRICTNESS[0]):
         # kept[z][level]: the share of each class's mass that discounting leaves to the shared counts, and Z
         self.known, self.totals, self.kept, self.z = known, totals, kept, z
-        self.weights = np.array([0.0, 0.0, -2.0])
-        self._ratios: dict[str, float] = {}
+        self.weights = np.append(np.zeros(FEATURES), -2.0)
+        self._excess: dict[str, float] = {}
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_ratios": {}}
+        return self.__dict__ | {"_excess": {}}
 
     def word(self, word: str, z: float, without: tuple[int, list[Counter]] | None = None) -> float:
         """log P_toxic(word) - log P_ordinary(word); ``without``: less what a text of that class holds, by level and unit."""
@@ -96,33 +98,27 @@ class ToxicityModel:
                 ordinary += b / totals[1] / (shared / kept[2])
         return log(toxic / ordinary)
 
-    def _of(self, word: str) -> float:
-        found = self._ratios.get(word)
-        if found is None:
-            if len(self._ratios) >= CACHED:
-                self._ratios.clear()
-            found = self._ratios[word] = self.word(word, self.z)
-        return found
-
     def unknown(self, z: float) -> float:
         """The ratio of a word that no class holds as its own."""
         return log(prod(k[0] for k in self.kept[z]) / prod(k[1] for k in self.kept[z]))
 
-    def ratios(self, text: str) -> tuple[float, float]:
-        """The difference of the log-likelihoods over the number of different words, and over its root; a text without words has the mean of unknown ones."""
-        found = words(text)
-        total = fsum(map(self._of, found))
-        return (total / len(found), total / sqrt(len(found))) if found else (self.unknown(self.z), 0.0)
+    def ratios(self, text: str) -> list[float]:
+        """normalised ratios of a text's words."""
+        found, known, base = words(text), self._excess, self.unknown(self.z)
+        if len(known) > CACHED:
+            known.clear()
+        for word in found.keys() - known.keys():
+            known[word] = self.word(word, self.z) - base
+        return normalised([(known[w], n) for w, n in found.items()], base)
 
-    def left_out(self, text: str, toxic: bool, z: float) -> tuple[float, float]:
+    def left_out(self, text: str, toxic: bool, z: float) -> list[float]:
         """ratios, had this text of that class not been counted."""
-        found = words(text)
+        found, base = words(text), self.unknown(z)
         held = [Counter(w[:n] for w in found) for n in (*STEMS, None)]
-        total = fsum(self.word(w, z, (int(toxic), held)) for w in found)
-        return (total / len(found), total / sqrt(len(found))) if found else (self.unknown(z), 0.0)
+        return normalised([(self.word(w, z, (int(toxic), held)) - base, n) for w, n in found.items()], base)
 
     def score(self, text: str) -> float:
-        return scaled(self.weights, *self.ratios(text))
+        return scaled(self.weights, self.ratios(text))
 
     def calibrate(self, ratios: np.ndarray, toxic: np.ndarray) -> float:
         """Logistic regression on the ratios, by Newton's method with a little shrinkage; returns the mean loss."""
@@ -131,7 +127,7 @@ class ToxicityModel:
         scale = np.append(np.where(ratios.std(0) > 0, ratios.std(0), 1.0), 1.0)
         x = np.column_stack([ratios, np.ones(len(ratios))]) / scale
         share = (toxic.sum() + 0.5) / (len(toxic) + 1)
-        w, shrink = np.array([0.0, 0.0, np.log(share / (1 - share))]), np.array([0.1, 0.1, 0.0])
+        w, shrink = np.append(np.zeros(FEATURES), np.log(share / (1 - share))), np.append(np.full(FEATURES, 0.1), 0.0)
         for _ in range(100):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
             h = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(shrink + 1e-6)
@@ -144,8 +140,18 @@ class ToxicityModel:
         return float(-(toxic * np.log(p) + (1 - toxic) * np.log(1 - p)).mean())
 
 
-def scaled(weights: np.ndarray, mean: float, rooted: float) -> float:
-    return 1 / (1 + exp(-min(30.0, max(-30.0, weights[0] * mean + weights[1] * rooted + weights[2]))))
+def normalised(words_: list[tuple[float, int]], base: float) -> list[float]:
+    """Of words' ratios above ``base`` and how often each occurs: the sum of ratios over the text's length, over its root,
+    and what different words have above base over the root of their number. A text without words has base, 0, 0."""
+    total, size = fsum(x * n for x, n in words_), sum(n for _, n in words_)
+    if not size:
+        return [base, 0.0, 0.0]
+    return [base + total / size, base * sqrt(size) + total / sqrt(size), fsum(x for x, _ in words_) / sqrt(len(words_))]
+
+
+def scaled(weights: np.ndarray, ratios: list[float]) -> float:
+    x = fsum(w * r for w, r in zip(weights.tolist(), [*ratios, 1.0]))
+    return 1 / (1 + exp(-min(30.0, max(-30.0, x))))
 
 
 def _own(c: Column, other: Column, n: float, m: float, z: float) -> Column:
@@ -172,7 +178,7 @@ def count_words(texts: DataFrame) -> DataFrame:
 
         for batch in batches:
             for text, y in zip(batch.column(0), batch.column(1).to_pylist()):
-                counts[y].update(words(text.as_py()))
+                counts[y].update(words(text.as_py()).keys())
                 if len(counts[0]) + len(counts[1]) > 200_000:
                     yield out()
         yield out()
@@ -236,7 +242,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if few:
         model = ToxicityModel(_collected(table), totals, kept)
     else:  # the sample's own units are enough to calibrate by
-        named = drawn.select(F.explode(_words("text")).alias("word")).distinct()
+        named = drawn.select(F.explode(_words("text")).alias("w")).select("w.word").distinct()
         near = [named.select(F.lit(level).alias("level"), (F.substring("word", 1, n) if n else F.col("word")).alias("unit")).distinct() for level, n in enumerate((*STEMS, 0))]
         wanted = near[0].unionByName(near[1]).unionByName(near[2])
         model = ToxicityModel(_collected(table.join(wanted, ["level", "unit"], "left_semi")), totals, kept)
@@ -247,13 +253,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             rows = []
             for text, y in zip(batch.column(0), batch.column(1).to_pylist()):
                 rows.append([x for z in STRICTNESS for x in bound.value.left_out(text.as_py(), y > 0, z)])
-            values = np.array(rows, np.float64).reshape(-1, 2 * len(STRICTNESS))
+            values = np.array(rows, np.float64).reshape(-1, FEATURES * len(STRICTNESS))
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.FixedSizeListArray.from_arrays(pa.array(values.ravel()), values.shape[1]).cast(pa.list_(pa.float64()))], ["y", "r"])
 
     seen: pd.DataFrame = drawn.select("text", "y").mapInArrow(ratios, "y int, r array<double>").toPandas()
     seen = seen.iloc[sorted(range(len(seen)), key=lambda i: (seen["y"].iloc[i], tuple(seen["r"].iloc[i])))]  # sums don't depend on the order of tasks
     toxic = (seen["y"].to_numpy() > 0).astype(float)
-    values = np.array(seen["r"].tolist(), np.float64).reshape(len(seen), len(STRICTNESS), 2)
+    values = np.array(seen["r"].tolist(), np.float64).reshape(len(seen), len(STRICTNESS), FEATURES)
     losses = []
     for k, z in enumerate(STRICTNESS if len(seen) else ()):
         losses.append((model.calibrate(values[:, k], toxic), z, model.weights))
@@ -270,9 +276,9 @@ def _collected(table: DataFrame) -> list[dict[str, tuple[int, int]]]:
     return known
 
 
-@F.pandas_udf(ArrayType(StringType()))
+@F.pandas_udf(ArrayType(StructType().add("word", "string").add("n", "long")))
 def _words(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: sorted(words(t or "")))
+    return texts.map(lambda t: [{"word": w, "n": n} for w, n in sorted(words(t or "").items())])
 
 
 class TableModel:
@@ -285,7 +291,7 @@ class TableModel:
         """Rows (id, score) of rows (id, text)."""
         m, spark = self.model, docs.sparkSession
         rows = cut(docs.select(F.monotonically_increasing_id().alias("row"), "id", _words("text").alias("words")))
-        spread = rows.select("row", F.explode("words").alias("word"))
+        spread = rows.select("row", F.inline("words"))
         # each different word is looked up once; only words that some class knows come back
         ratio = spread.select("word").distinct().select("word", *[(F.substring("word", 1, n) if n else F.col("word")).alias(f"u{level}") for level, n in enumerate((*STEMS, 0))])
         toxic = ordinary = F.lit(1.0)
@@ -299,10 +305,12 @@ class TableModel:
         base = m.unknown(m.z)
         own = F.coalesce(*[F.col(f"a{level}") for level in range(LEVELS)]).isNotNull()
         ratio = cut(ratio.where(own).select("word", (F.log(toxic / ordinary) - base).alias("r")))
-        sums = spread.join(ratio, "word").groupBy("row").agg(F.sum("r").alias("total"))
-        n, total = F.size("words"), F.coalesce("total", F.lit(0.0))
-        rooted = F.sqrt(F.greatest(n, F.lit(1)).cast("double"))
-        x = m.weights[0] * (total / F.greatest(n, F.lit(1)) + base) + m.weights[1] * (total / rooted + base * F.sqrt(n.cast("double"))) + m.weights[2]
+        sums = spread.join(ratio, "word").groupBy("row").agg(F.sum(F.col("r") * F.col("n")).alias("total"), F.sum("r").alias("different"))
+        total, different = F.coalesce("total", F.lit(0.0)), F.coalesce("different", F.lit(0.0))
+        size = F.aggregate("words", F.lit(0).cast("long"), lambda acc, w: acc + w["n"])
+        root = lambda c: F.sqrt(F.greatest(c, F.lit(1)).cast("double"))
+        weights = m.weights.tolist()
+        x = weights[0] * (base + total / F.greatest(size, F.lit(1))) + weights[1] * (base * F.sqrt(size.cast("double")) + total / root(size)) + weights[2] * different / root(F.size("words")) + weights[3]
         return rows.join(sums, "row", "left").select("id", (1 / (1 + F.exp(-F.least(F.greatest(x, F.lit(-30.0)), F.lit(30.0))))).alias("score"))
 
 

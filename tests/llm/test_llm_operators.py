@@ -285,13 +285,14 @@ def test_toxicity_against_brute_force(spark):
             p = [left[k] * p[k] + mine[k] * sum(s for _, s in every) / shared for k in (0, 1)]
         return log(p[0] / p[1])
 
-    new = ["awfully bad", "", None, "abc badd unheard", rows[0][1]]
+    new = ["awfully bad awful awful", "", None, "abc badd unheard abc", rows[0][1]]
     frame = docs_frame(spark, [(i, t, "en", "a", 0) for i, t in enumerate(new)]).selectExpr("*", "1 as words", "2 as row", "3 as id", "4 as score")
     want = []
     for text in new:
-        words = set((text or "").split())
-        mean = sum(map(ratio, words)) / len(words) if words else ratio("unheard")
-        x = model.weights[0] * mean + model.weights[1] * mean * sqrt(len(words)) + model.weights[2]
+        words, base = (text or "").split(), ratio("unheard")
+        mean = sum(map(ratio, words)) / len(words) if words else base
+        above = sum(ratio(w) - base for w in set(words)) / sqrt(max(1, len(set(words))))
+        x = model.weights @ np.array([mean, mean * sqrt(len(words)), above, 1.0])
         want.append(1 / (1 + exp(-max(-30, min(30, x)))))
     table = toxicity.train(docs, known, units_sent=0)
     assert isinstance(table, toxicity.TableModel)

@@ -107,7 +107,7 @@ class ToxicityModel:
         found, known, base = words(text), self._excess, self.unknown(self.z)
         if len(known) > CACHED:
             known.clear()
-        for word in found.keys() - known.keys():
+        for word in [w for w in found if w not in known]:
             known[word] = self.word(word, self.z) - base
         return normalised([(known[w], n) for w, n in found.items()], base)
 

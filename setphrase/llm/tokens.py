@@ -24,7 +24,7 @@ TOKENIZER = "word_bpe_49k.json"
 SAFE = re.compile(r"[\t\n\r\x20-\x7e\xc0-\xff]*")
 PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
 CACHED = 400_000
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[tuple[str, int], WordEncoder] = {}
 
 
 class _Cache(dict):
@@ -84,13 +84,13 @@ class WordEncoder:
         return out
 
 
-def encoder(name: str = TOKENIZER) -> WordEncoder:
+def encoder(name: str = TOKENIZER, cached: int = CACHED) -> WordEncoder:
     """The worker's own encoder; name is a public file's name, or a path."""
-    if name not in _encoders:
+    if (name, cached) not in _encoders:
         import public_tokenizers
 
-        _encoders[name] = WordEncoder(name if os.path.exists(name) else public_tokenizers.path(name))
-    return _encoders[name]
+        _encoders[name, cached] = WordEncoder(name if os.path.exists(name) else public_tokenizers.path(name), cached)
+    return _encoders[name, cached]
 
 
 def some(texts: list[str | None], chars: int = 400_000) -> Iterator[tuple[int, list[str]]]:
@@ -106,12 +106,12 @@ def some(texts: list[str | None], chars: int = 400_000) -> Iterator[tuple[int, l
         yield first, run
 
 
-def encode(docs: DataFrame, end_id: int, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
+def encode(docs: DataFrame, end_id: int, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, cached: int = CACHED) -> DataFrame:
     """Rows (doc, n, ids): the 16-bit ids of each whole text (null: empty) and then end_id; n counts both."""
     tail = np.array([end_id], "<u2").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, cached)
         for batch in batches:
             docs_, texts = batch.column(0), batch.column(1).to_pylist()
             for first, part in some(texts):

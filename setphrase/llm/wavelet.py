@@ -31,8 +31,9 @@ from setphrase.llm.common import cut
 from setphrase.llm.tokens import TOKENIZER, encode
 
 MAGIC = b"SWM2"
-BLOCK = 1 << 16
-OPEN_BLOCKS = 256
+BLOCK = 1 << 18
+OPEN_BLOCKS = 128
+CACHED = 800_000
 NO_ID = np.iinfo(np.int64).min
 SHARD = pa.schema({"part": pa.int32(), "seq": pa.int32(), "first_doc": pa.int64(), "n_tokens": pa.int64(), "payload": pa.binary()})
 
@@ -58,7 +59,7 @@ def build(ids: np.ndarray, docs: np.ndarray, lengths: np.ndarray) -> bytes:
             end += len(frames[-1])
             before.append(count), ends.append(end)
             count += int.from_bytes(block, "little").bit_count()
-        x = np.concatenate([x[~ones], x[ones]])
+        x = np.concatenate([np.compress(~ones, x), np.compress(ones, x)])  # indexing by a mask stumbles over every change of bit
     directory = np.array([before, ends], "<u4").tobytes()
     parts = [pack(alphabet.tobytes()), pack(docs.astype("<i8").tobytes()), pack(lengths.astype("<u4").tobytes()), directory, b"".join(frames)]
     head = json.dumps({"n_tokens": len(ids), "n_docs": len(docs), "planes": planes, "alphabet": len(alphabet), "sections": [len(p) for p in parts]}).encode()
@@ -171,7 +172,7 @@ class WaveletMatrix:
                 y = np.zeros(self.n, np.uint16)
                 y[self.zeros[p] :] = 1
             up = np.empty(self.n, np.uint16)
-            up[~ones], up[ones] = y[: self.zeros[p]], y[self.zeros[p] :]
+            up[np.flatnonzero(~ones)], up[np.flatnonzero(ones)] = y[: self.zeros[p]], y[self.zeros[p] :]
             if p:  # ranks gain the bit that the plane above sorted by
                 y = up
                 above = self.planes - p
@@ -189,7 +190,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 1, id_col: str = "doc
     repeat an id stay, next to one another. An empty table makes an empty one. Only ids
     (2 bytes a token) are shuffled, and a task holds one shard, not a partition.
     """
-    ids = cut(encode(docs, end_id, id_col, text_col, tokenizer))
+    ids = cut(encode(docs, end_id, id_col, text_col, tokenizer, CACHED))
     total = ids.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     parts = max(1, -(-total // (2 * shard_tokens)), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from setphrase.functions import tokens as T
+from setphrase.functions.lineage import sized
 
+MOST_SOUGHT = 1_000
 EMPTY = "direction string, phrase string, context string, freq long"
 
 
@@ -23,21 +25,29 @@ def main_phrases(phrases: DataFrame) -> DataFrame:
 def occurrences(docs: DataFrame, phrases: DataFrame, context_size: int = 5) -> DataFrame:
     """(doc_id, phrase, pre, post): every occurrence (overlapping ones too) of phrases (phrase, main) in (doc_id, tokens).
 
-    N-grams are formed for each length that a phrase has and joined with the phrases on their text.
+    Up to MOST_SOUGHT phrases are sought within each row, so that only hits become rows and
+    nothing is shuffled. More are joined with all n-grams of the lengths that they have.
     """
-    named = phrases.select("phrase", "main", F.size(F.split("phrase", " ", -1)).alias("n"))
-    lengths = sorted(r["n"] for r in named.select("n").distinct().collect())
+    named = phrases.where("phrase is not null").select("phrase", "main", F.size(F.split("phrase", " ", -1)).alias("n"))
+    few = [r["phrase"] for r in named.select("phrase").distinct().limit(MOST_SOUGHT + 1).collect()]
+    sought = few if len(few) <= MOST_SOUGHT else None
+    lengths = sorted({len(p.split(" ")) for p in few} if sought is not None else {r["n"] for r in named.select("n").distinct().collect()})
     found = None
     for n in lengths:
+        text = lambda i, n=n: F.array_join(F.slice("tokens", i + 1, n), " ")
         starts = F.when(F.size("tokens") >= n, F.sequence(F.lit(0), F.size("tokens") - n)).otherwise(F.array().cast("array<int>"))
-        at = docs.select("doc_id", "tokens", F.explode(starts).alias("i"))
-        keyed = at.select(
-            "doc_id",
-            F.array_join(F.slice("tokens", F.col("i") + 1, n), " ").alias("phrase"),
-            F.slice("tokens", F.greatest(F.col("i") - context_size, F.lit(0)) + 1, F.least(F.col("i"), F.lit(context_size))).alias("pre"),
-            F.slice("tokens", F.col("i") + n + 1, context_size).alias("post"),
-        )
-        hit = keyed.join(named.where(F.col("n") == n).drop("n"), "phrase").select("doc_id", F.col("main").alias("phrase"), "pre", "post")
+        if sought is not None:
+            own = [p for p in sought if len(p.split(" ")) == n]
+            first = sorted({p.split(" ")[0] for p in own})
+            starts = F.filter(starts, lambda i: F.get("tokens", i).isin(first) & text(i).isin(own))
+
+        def window(i):
+            pre = F.slice("tokens", F.greatest(i - context_size, F.lit(0)) + 1, F.least(i, F.lit(context_size)))
+            return F.struct(text(i).alias("phrase"), pre.alias("pre"), F.slice("tokens", i + n + 1, context_size).alias("post"))
+
+        keyed = docs.select("doc_id", F.inline(F.transform(starts, window)))
+        wanted = named.where(F.col("n") == n).drop("n")
+        hit = keyed.join(F.broadcast(wanted) if sought is not None else sized(wanted), "phrase").select("doc_id", F.col("main").alias("phrase"), "pre", "post")
         found = hit if found is None else found.unionByName(hit)
     return found if found is not None else docs.sparkSession.createDataFrame([], "doc_id long, phrase string, pre array<string>, post array<string>")
 

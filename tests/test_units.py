@@ -113,3 +113,16 @@ def test_merged_bigrams_of_all_documents(spark):
     found = colloc.merged_bigram_counts(docs, [])
     assert "Limit" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert counts(found) == [3] and counts(colloc.merged_bigram_counts(docs, [], most_texts=2)) == [2]
+
+
+def test_occurrences_become_rows_only_where_a_phrase_stands(spark, monkeypatch):
+    from setphrase.operators import context
+
+    docs = spark.createDataFrame([(1, "a b c a b d a".split() * 20), (2, ["b"]), (3, [])], "doc_id long, tokens array<string>")
+    phrases = spark.createDataFrame([("a b", "a b"), ("c", "a b"), ("b c a", "x")], "phrase string, main string")
+    found = context.occurrences(docs, phrases)
+    assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+    rows = sorted(map(str, found.collect()))
+    assert len(rows) == 40 + 20 + 20
+    monkeypatch.setattr(context, "MOST_SOUGHT", 0)
+    assert sorted(map(str, context.occurrences(docs, phrases).collect())) == rows

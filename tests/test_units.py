@@ -126,3 +126,29 @@ def test_occurrences_become_rows_only_where_a_phrase_stands(spark, monkeypatch):
     assert len(rows) == 40 + 20 + 20
     monkeypatch.setattr(context, "MOST_SOUGHT", 0)
     assert sorted(map(str, context.occurrences(docs, phrases).collect())) == rows
+
+
+@pytest.mark.parametrize("skip, neighbours", [(0, 1), (4, 2), (2, 0)])
+def test_blocks_of_documents_give_what_rows_of_tokens_give(spark, monkeypatch, skip, neighbours):
+    from setphrase.operators import blocks, vocab
+
+    rng = random.Random(skip)
+    rows = [(i, [rng.choice("abcdefgh") + rng.choice("éx") * rng.randrange(2) for _ in range(rng.choice([0, 1, 2, 9, 60]))]) for i in range(40)]
+    docs = spark.createDataFrame([*rows, (-3, None)], "doc_id long, tokens array<string>")
+    monkeypatch.setattr(blocks, "BLOCK_TOKENS", 50)
+    monkeypatch.setattr(blocks, "PART_PAIRS", 300)
+    own, other = (PhraseSearch(docs, 12, skip, 6, neighbours, persist=p) for p in (True, False))
+    assert own._parts > 1
+    got = lambda df: sorted(map(str, df.collect()))
+    assert got(own.cooc_with_ids) == got(other.cooc_with_ids)
+    assert got(own.selected()) == got(other.selected()) and any(r["sel"] for r in own.selected().collect())
+    for kind, options in (("long_phrases", {"min_phrase_length": 1}), ("long_phrases", {"max_variables": 2}), ("sub_phrases", {"min_phrase_length": 2, "max_phrase_length": 3}), ("candidate_phrases", {"max_length": 4})):
+        a, b = (s.extract_phrases(kind, min_neighbour_cooc=neighbours, **options) for s in (own, other))
+        assert got(a.select(b.columns)) == got(b)
+    assert got(vocab.vocabulary_of(docs)) == got(vocab.vocabulary(vocab.positions(docs)))
+
+
+def test_no_token_is_shuffled_as_a_row(spark, boring):
+    found = PhraseSearch(boring, 2, 4, 2).extract_phrases("long_phrases", max_variables=1)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "posexplode" not in plan and "Window" not in plan

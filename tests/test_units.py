@@ -152,3 +152,44 @@ def test_no_token_is_shuffled_as_a_row(spark, boring):
     found = PhraseSearch(boring, 2, 4, 2).extract_phrases("long_phrases", max_variables=1)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "posexplode" not in plan and "Window" not in plan
+
+
+def test_bigrams_of_documents_are_those_of_their_tokens(spark):
+    from setphrase.operators import vocab
+
+    docs = spark.createDataFrame([(1, "a b a b c".split()), (2, ["a"]), (3, []), (4, None), (5, ["a", "b"])], "doc_id long, tokens array<string>")
+    got = lambda df: sorted(map(tuple, df.collect()))
+    assert got(colloc.bigram_counts(docs)) == got(colloc.bigram_counts(vocab.positions(docs)))
+    assert "Window" not in colloc.bigram_counts(docs)._jdf.queryExecution().toString()
+
+
+def test_merged_bigrams_are_handed_on_counted(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "in the of the and x of the and".split() * 50), (2, None)], "doc_id long, tokens array<string>").coalesce(1)
+    sets = [colloc.VariantPairs([(("in", "the"), ("of", "the"))])]
+    found = colloc.merged_bigram_counts(docs, sets)
+    units = colloc.merge(docs.first()["tokens"], sets)
+    names = [colloc.rendered_unit(docs.first()["tokens"], u) for u in units]
+    want = {}
+    for i, j in colloc.unit_pairs(units):
+        want[names[i], names[j]] = want.get((names[i], names[j]), 0) + 1
+    assert {(r["w1"], r["w2"]): r["n_ii"] for r in found.collect()} == want
+    monkeypatch.setattr(colloc, "with_marginals", lambda df: df)
+    plan = colloc.merged_bigram_counts(docs, sets)._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "sum(n#" in plan
+
+
+def test_likeness_by_blocks_is_that_of_joined_grams(spark, monkeypatch):
+    from setphrase.operators import likeness
+
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcé😀") for _ in range(rng.choice([1, 2, 5, 9]))) for _ in range(150)] + ["", "aaaaaaaa", "a b a b", None]
+    df = spark.createDataFrame([(w,) for w in words], "t string")
+    monkeypatch.setattr(likeness, "ROWS", 16)
+    monkeypatch.setattr(likeness, "COLUMNS", 40)
+    found = variants.similar_terms(df, "t", 0.7)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    got = lambda x: {(r["a"], r["b"]): round(r["cosine"], 9) for r in x.collect()}
+    own = got(found)
+    monkeypatch.setattr(likeness, "MOST_TERMS", 0)
+    assert own == got(variants.similar_terms(df, "t", 0.7)) and len(own) > 20
+    assert variants.similar_terms(df.limit(0), "t", 0.7).count() == 0

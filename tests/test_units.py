@@ -154,13 +154,16 @@ def test_no_token_is_shuffled_as_a_row(spark, boring):
     assert "posexplode" not in plan and "Window" not in plan
 
 
-def test_bigrams_of_documents_are_those_of_their_tokens(spark):
-    from setphrase.operators import vocab
+def test_bigrams_of_documents_are_those_of_their_tokens(spark, monkeypatch):
+    from setphrase.operators import blocks, vocab
 
     docs = spark.createDataFrame([(1, "a b a b c".split()), (2, ["a"]), (3, []), (4, None), (5, ["a", "b"])], "doc_id long, tokens array<string>")
     got = lambda df: sorted(map(tuple, df.collect()))
-    assert got(colloc.bigram_counts(docs)) == got(colloc.bigram_counts(vocab.positions(docs)))
-    assert "Window" not in colloc.bigram_counts(docs)._jdf.queryExecution().toString()
+    want, found = got(colloc.bigram_counts(vocab.positions(docs))), colloc.bigram_counts(docs)
+    assert got(found) == want and want and colloc.bigram_counts(docs.limit(0)).count() == 0
+    assert "Window" not in found._jdf.queryExecution().toString()
+    monkeypatch.setattr(blocks, "MOST_TERMS", 0)
+    assert got(colloc.bigram_counts(docs)) == want
 
 
 def test_merged_bigrams_are_handed_on_counted(spark, monkeypatch):

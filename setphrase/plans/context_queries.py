@@ -313,7 +313,7 @@ _IDS = f"{S.TOK}, f as (select term, min(struct_pack(d := doc_id, p := pos)) as
 
 def _looked_up(spark, sf_dir):
     phrases = spark.createDataFrame([(p,) for p in _LOOKED_UP], "phrase string")
-    return patterns.phrase_ids(phrases, vocab.vocabulary(vocab.positions(corpus(spark, sf_dir))))
+    return patterns.phrase_ids(phrases, vocab.vocabulary_of(corpus(spark, sf_dir)))
 
 
 @query(f"""with {_IDS}, p as (select unnest({_LOOKED_UP}) as phrase), w as (select phrase, unnest(string_split(phrase, ' ')) as term, generate_subscripts(string_split(phrase, ' '), 1) as i from p)
@@ -328,7 +328,7 @@ select array_to_string(ids, ' ') as ids from w where exists (select 1 from c whe
 def known_phrase_sets(spark, sf_dir):
     """Which of some phrases have the terms of a bigram of the corpus, in whatever order."""
     docs = corpus(spark, sf_dir)
-    tok = vocab.with_ids(vocab.positions(docs), vocab.vocabulary(vocab.positions(docs)))
+    tok = vocab.with_ids(vocab.positions(docs), vocab.vocabulary_of(docs))
     pairs = tok.select("doc_id", "pos", "term_id", F.lead("term_id").over(Window.partitionBy("doc_id").orderBy("pos")).alias("b")).where("b is not null")
     counted = patterns.orderings(pairs.select(F.array("term_id", "b").alias("ids")))
     found = patterns.known(counted, _looked_up(spark, sf_dir).select(F.col("ids").cast("array<bigint>").alias("ids")), exact=False)

@@ -196,3 +196,13 @@ def test_likeness_by_blocks_is_that_of_joined_grams(spark, monkeypatch):
     monkeypatch.setattr(likeness, "MOST_TERMS", 0)
     assert own == got(variants.similar_terms(df, "t", 0.7)) and len(own) > 20
     assert variants.similar_terms(df.limit(0), "t", 0.7).count() == 0
+
+
+def test_extended_vocabulary_of_documents_makes_no_rows_of_tokens(spark):
+    from setphrase.operators import vocab
+
+    docs = spark.createDataFrame([(1, "b a b".split()), (2, "c a".split()), (70_000, "d b".split())], "doc_id long, tokens array<string>")
+    first = vocab.vocabulary_of(docs.where("doc_id = 1"))
+    grown = vocab.extended_vocabulary(first, docs.where("doc_id > 1"))
+    assert "explode" not in grown._jdf.queryExecution().toString()
+    assert sorted(map(tuple, grown.collect())) == [("a", 1, 2), ("b", 0, 3), ("c", 2, 1), ("d", 3, 1)]

@@ -206,3 +206,41 @@ def test_extended_vocabulary_of_documents_makes_no_rows_of_tokens(spark):
     grown = vocab.extended_vocabulary(first, docs.where("doc_id > 1"))
     assert "explode" not in grown._jdf.queryExecution().toString()
     assert sorted(map(tuple, grown.collect())) == [("a", 1, 2), ("b", 0, 3), ("c", 2, 1), ("d", 3, 1)]
+
+
+def test_word_swaps_are_those_of_all_pairs(spark, monkeypatch):
+    from setphrase.operators import swaps
+
+    rng = random.Random(3)
+    rows = {" ".join(rng.choice(["a", "of", "the", "dé", "thee", ",", "😀"]) for _ in range(rng.choice([2, 3, 5, 5]))): rng.randrange(1, 4) for _ in range(260)}
+    df = spark.createDataFrame(list(rows.items()), "context string, freq long")
+
+    def distance(x, y):
+        last = list(range(len(y) + 1))
+        for i, a in enumerate(x, 1):
+            now = [i]
+            for j, b in enumerate(y, 1):
+                now.append(min(last[j] + 1, now[-1] + 1, last[j - 1] + (a != b)))
+            last = now
+        return last[-1]
+
+    where, held = {}, set()
+    for p, f in rows.items():
+        w = p.split(" ")
+        for i, g in enumerate(zip(w, w[1:])):
+            if "," not in g:
+                where.setdefault(" ".join(g), []).append((-f, p, i))
+                held.add((p, " ".join(g)))
+    want = {}
+    for p1, s1 in held:
+        for p2, s2 in held:
+            if s1 == s2 or sorted(s1.split()) != sorted(s2.split()) or s1 in p2 or max(where[s1]) <= min(where[s2]):
+                continue
+            r1, r2 = swaps.rest_of(p1, s1), swaps.rest_of(p2, s2)
+            longest = max(len(r1), len(r2))
+            if abs(len(r1) - len(r2)) <= 4 and (longest == 0 or 1 - distance(r1, r2) / longest >= 0.7):
+                want[s1, s2] = want.get((s1, s2), 0) + 1
+    for most in (8_000, 7):  # all in one bin; sets of words with more rows dealt into chunks
+        monkeypatch.setattr(swaps, "BIN_ROWS", most)
+        monkeypatch.setattr(swaps, "MOST_PAIRS_AT_ONCE", 20)
+        assert {(r["swap1"], r["swap2"]): r["freq"] for r in variants.word_swaps(df).collect()} == want and len(want) > 10

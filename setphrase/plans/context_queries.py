@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from setphrase.functions import tokens as T
-from setphrase.operators import colloc, context, keyness, patterns, transitions, vocab
+from setphrase.operators import colloc, context, cooc, keyness, patterns, transitions, vocab
 from setphrase.plans import phrases_sql as S
 from setphrase.plans.core_queries import corpus
 from setphrase.plans.registry import query, read
@@ -280,8 +280,8 @@ def pattern_index(spark, sf_dir):
 
 @query(f"with {S.TOK}, g as (select [term, lead(term) over o, lead(term, 2) over o] as t from tok window o as (partition by doc_id order by pos)) select array_to_string(list_sort(list_distinct(t)), ' ') as key, array_to_string(t, ' ') as ids, count(*) as freq from g where t[3] is not null group by all having count(*) > 1")
 def phrase_pattern_groups(spark, sf_dir):
-    grams = corpus(spark, sf_dir).select(F.explode(T.ngrams("tokens", 3)).alias("ids"))
-    return patterns.orderings(grams).where("freq > 1").select(F.array_join("key", " ").alias("key"), F.array_join("ids", " ").alias("ids"), "freq")
+    counted = cooc.gram_counts(corpus(spark, sf_dir), 3, least=2)
+    return counted.select(F.array_join(T.set_key("terms"), " ").alias("key"), F.array_join("terms", " ").alias("ids"), "freq")
 
 
 HALVES = f"{S.DOCS}, s as (select doc_id, w[1:len(w) // 2] as a, w[len(w) // 2 + 1:len(w)] as b from docs)"

@@ -244,3 +244,25 @@ def test_word_swaps_are_those_of_all_pairs(spark, monkeypatch):
         monkeypatch.setattr(swaps, "BIN_ROWS", most)
         monkeypatch.setattr(swaps, "MOST_PAIRS_AT_ONCE", 20)
         assert {(r["swap1"], r["swap2"]): r["freq"] for r in variants.word_swaps(df).collect()} == want and len(want) > 10
+
+
+@pytest.mark.parametrize("n, skips, least", [(2, 0, 1), (3, 0, 2), (3, 1, 1), (4, 2, 1)])
+def test_grams_of_blocks_are_those_of_rows(spark, monkeypatch, n, skips, least):
+    from setphrase.operators import blocks, cooc
+
+    rng = random.Random(n)
+    rows = [(i, [rng.choice("abcdefgh") + rng.choice("éx") * rng.randrange(2) for _ in range(rng.choice([0, 1, 2, 3, 60]))]) for i in range(30)]
+    docs = spark.createDataFrame([*rows, (-3, None)], "doc_id long, tokens array<string>")
+    monkeypatch.setattr(blocks, "BLOCK_TOKENS", 50)
+    monkeypatch.setattr(blocks, "PART_PAIRS", 300)
+    found = cooc.gram_counts(docs, n, skips, least)
+    assert "Generate" not in found._jdf.queryExecution().toString()
+    got = lambda df: sorted(map(str, df.collect()))
+    own = got(found)
+    assert cooc.gram_counts(docs.limit(0), n, skips, least).count() == 0
+    # numbers of n-grams beyond 64 bits
+    real = blocks.Terms.__init__
+    monkeypatch.setattr(blocks.Terms, "__init__", lambda made, v: (real(made, v), setattr(made, "base", 3_000_000 if n == 3 else made.base))[0])
+    assert own == got(cooc.gram_counts(docs, n, skips, least))
+    monkeypatch.setattr(blocks, "MOST_TERMS", 0)
+    assert own == got(cooc.gram_counts(docs, n, skips, least)) and own

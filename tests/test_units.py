@@ -266,3 +266,16 @@ def test_grams_of_blocks_are_those_of_rows(spark, monkeypatch, n, skips, least):
     assert own == got(cooc.gram_counts(docs, n, skips, least))
     monkeypatch.setattr(blocks, "MOST_TERMS", 0)
     assert own == got(cooc.gram_counts(docs, n, skips, least)) and own
+
+
+def test_merging_by_blocks_is_that_of_single_documents(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(i, [rng.choice(["of", "the", "and", "in", "x"]) for _ in range(rng.choice([0, 1, 3, 12, 80]))]) for i in range(40)]
+    sets = [colloc.VariantPairs([(("of", "the"), ("of", "the")), (("in", "the"), ("of", "the")), (("the", "of"), ("of", "the"))]), colloc.VariantPairs([(("of__the", "and"), ("of__the", "and")), (("in____the", "of__the"), ("x", "x"))])]
+    monkeypatch.setattr(colloc, "MERGED_TOKENS", 30)
+    # no unit is named and no pair is looked at one by one
+    docs = spark.createDataFrame(rows, "doc_id long, tokens array<string>").coalesce(2)
+    found = {r["doc_id"]: (r["units"], [tuple(u) for u in r["indexes"]]) for r in colloc.merged_units(docs, sets).collect()}
+    want = {i: (u := colloc.merge(t, sets), [colloc.rendered_unit(t, x) for x in u])[::-1] for i, t in rows}
+    assert found == {i: (names, units) for i, (names, units) in want.items()} and any(len(u) > 2 for _, us in want.values() for u in us)
+    assert "MapInPandas" not in colloc.merged_units(docs, sets, with_indexes=False)._jdf.queryExecution().toString()

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from setphrase.functions import tokens as T
+from setphrase.operators import blocks
+
+#: Tokens whose windows a task compares together.
+WINDOW_TOKENS = 500_000
 
 
 @dataclass(frozen=True)
@@ -130,3 +137,46 @@ def known(counted: DataFrame, ids: DataFrame, exact: bool = True) -> DataFrame:
     """The rows of ids (ids) whose ordering, or only whose set, has been counted."""
     keyed = ids.withColumn("key", T.set_key("ids"))
     return keyed.join(counted, ["key", "ids"] if exact else ["key"], "left_semi").select("ids")
+
+
+def window_overlaps(docs: DataFrame, size: int = 6, step: int = 3, min_overlap: int = 3) -> DataFrame:
+    """(doc_id, start, overlap): T.partial_overlap of each window of (doc_id, tokens) and the one ``step`` tokens on; tokens hold no blanks and aren't empty.
+
+    Words are compared as numbers; texts are made only of what is returned, and of windows whose inner words would let one hold the other.
+    """
+    if step < 1 or size < 1:
+        raise ValueError("size and step must be at least 1")
+    most = WINDOW_TOKENS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in blocks.pieces(batches, most):
+            flat, row, starts = blocks.laid_flat(table)
+            word = flat.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            pos = np.arange(len(row)) - starts[:-1][row]
+            i = np.nonzero(pos % step == 0)[0]
+            rest = starts[1:][row[i]] - i
+            second = np.clip(rest - step, 0, size)
+            # a window that ends its document holds the next one
+            at, n = i + step, np.where(rest <= size, second, -1)
+            same = lambda k, a, b, long: np.logical_and.reduce([word[a + x] == word[b + x] for x in range(long)]) if long > 0 else np.ones(len(k), bool)
+            for length in np.unique(second[rest > size]).tolist():
+                k = np.nonzero((rest > size) & (second == length))[0]
+                inner = np.logical_or.reduce([same(k, i[k] + o + 1, i[k] + step + 1, length - 2) for o in range(size - length + 1)])
+                for x in k[inner].tolist():
+                    first, other = (" ".join(flat.slice(a, m).to_pylist()) for a, m in ((i[x], size), (i[x] + step, length)))
+                    if first in other:
+                        at[x], n[x] = i[x], size
+                    elif other in first:
+                        n[x] = length
+                for m in range(length, min_overlap - 1, -1):
+                    k = k[n[k] < 0]
+                    for a, b in ((i[k] + size - m, i[k] + step), (i[k] + step + length - m, i[k])):
+                        hit = same(k, a, b, m) & (n[k] < 0)
+                        at[k[hit]], n[k[hit]] = a[hit], m
+            ends = np.concatenate([[0], np.cumsum(np.maximum(n, 0))])
+            places = np.repeat(at - ends[:-1], np.maximum(n, 0)) + np.arange(ends[-1])
+            texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), flat.take(pa.array(places))), " ")
+            yield from pa.table({"doc_id": table.column(0).take(pa.array(row[i])), "start": pa.array(pos[i].astype(np.int32)), "overlap": pc.if_else(pa.array(n >= 0), texts, pa.scalar(None, pa.string()))}).to_batches()
+
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "tokens").where(F.size("tokens") > 0).mapInArrow(run, f"doc_id {id_type}, start int, overlap string")

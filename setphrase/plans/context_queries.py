@@ -255,11 +255,7 @@ s as (select *, array_to_string(x, ' ') as a, array_to_string(y, ' ') as b from
 select doc_id, start, case when contains(b, a) then a when contains(a, b) then b {_RUNS} end as overlap from s""")
 def partial_overlap(spark, sf_dir):
     """Of all pairs of six-word windows three words apart."""
-    docs = corpus(spark, sf_dir).where(F.size("tokens") > 0)
-    window = lambda i, at: F.array_join(F.slice("tokens", i + at, 6), " ")
-    starts = F.sequence(F.lit(1), F.size("tokens"), F.lit(3))
-    both = docs.select("doc_id", F.inline(F.transform(starts, lambda i: F.struct((i - 1).alias("start"), window(i, 0).alias("a"), F.when(i + 3 <= F.size("tokens"), window(i, 3)).otherwise(F.lit("")).alias("b")))))
-    return both.select("doc_id", "start", T.partial_overlap("a", "b").alias("overlap"))
+    return patterns.window_overlaps(corpus(spark, sf_dir), 6, 3)
 
 
 @query(f"with {S.TOK}, l as (select doc_id, pos, term, lead(term) over (partition by doc_id order by pos) as after from tok) select doc_id, pos as start from l where term = 'of' and after = 'the'")

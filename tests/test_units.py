@@ -279,3 +279,19 @@ def test_merging_by_blocks_is_that_of_single_documents(spark, monkeypatch):
     want = {i: (u := colloc.merge(t, sets), [colloc.rendered_unit(t, x) for x in u])[::-1] for i, t in rows}
     assert found == {i: (names, units) for i, (names, units) in want.items()} and any(len(u) > 2 for _, us in want.values() for u in us)
     assert "MapInPandas" not in colloc.merged_units(docs, sets, with_indexes=False)._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("size, step", [(6, 3), (4, 1), (2, 5)])
+def test_window_overlaps_are_those_of_texts(spark, monkeypatch, size, step):
+    from setphrase.operators import patterns
+
+    rng = random.Random(size)
+    rows = [(i, [rng.choice(["a", "ba", "ab", "c"][: rng.randrange(1, 5)]) for _ in range(rng.choice([0, 1, 2, 5, 8, 40]))]) for i in range(60)]
+    docs = spark.createDataFrame([*rows, (-1, None)], "doc_id long, tokens array<string>")
+    monkeypatch.setattr(patterns, "WINDOW_TOKENS", 100)
+    found = patterns.window_overlaps(docs, size, step)
+    assert "transform" not in found._jdf.queryExecution().toString()
+    pairs = [(i, k, " ".join(t[k : k + size]), " ".join(t[k + step : k + step + size])) for i, t in rows for k in range(0, len(t), step)]
+    want = spark.createDataFrame(pairs, "doc_id long, start int, a string, b string").select("doc_id", "start", T.partial_overlap("a", "b").alias("overlap"))
+    got = lambda df: sorted(map(str, df.collect()))
+    assert got(found) == got(want) and pairs

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from setphrase.functions import dutch, edits
 from setphrase.functions.lineage import cut
-from setphrase.operators import colloc, context, variants, vocab
+from setphrase.operators import blocks, colloc, context, variants, vocab
 from setphrase.plans import phrases_sql as S
 from setphrase.plans.context_queries import BIG, CTX, contexts
 from setphrase.plans.core_queries import corpus, search
@@ -168,13 +168,13 @@ made as materialized (select r.term, spelling from r join hit on hit.term = r.te
 
 @query(f"{_REWRITES} select * from made")
 def ngram_rewrites(spark, sf_dir):
-    return dutch.rewrites(search(spark, sf_dir).min_freq_vocab)
+    return dutch.rewrites(blocks.term_counts(corpus(spark, sf_dir)).where(F.col("tf") >= S.TF))
 
 
 @query(f"{_REWRITES} select made.term, arg_min(spelling, (-tf, spelling)) as best from made join tf on tf.term = made.spelling group by made.term")
 def preferred_spellings(spark, sf_dir):
-    s = search(spark, sf_dir)
-    return dutch.most_frequent(dutch.rewrites(s.min_freq_vocab), s.vocab, "term")
+    counted = cut(blocks.term_counts(corpus(spark, sf_dir)))
+    return dutch.most_frequent(dutch.rewrites(counted.where(F.col("tf") >= S.TF)), counted, "term")
 
 
 @query(f"with {S.VOCAB} select term, strip_accents(term) as ascii from tf")

@@ -295,3 +295,16 @@ def test_window_overlaps_are_those_of_texts(spark, monkeypatch, size, step):
     want = spark.createDataFrame(pairs, "doc_id long, start int, a string, b string").select("doc_id", "start", T.partial_overlap("a", "b").alias("overlap"))
     got = lambda df: sorted(map(str, df.collect()))
     assert got(found) == got(want) and pairs
+
+
+def test_rewritten_words_need_no_ids(spark):
+    from setphrase.operators import blocks
+
+    docs = spark.createDataFrame([(1, ["stoffe", "uader", "dorp"] * 3), (2, ["uader"]), (3, None)], "doc_id long, tokens array<string>")
+    counted = blocks.term_counts(docs)
+    assert {r["term"]: r["tf"] for r in counted.collect()} == {"stoffe": 3, "uader": 4, "dorp": 3}
+    found = dutch.rewrites(counted.where("tf > 2"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == [("stoffe", "stofe"), ("uader", "vader")]
+    # words without a hit are left before anything is shuffled
+    assert plan.index("Aggregate") < plan.index("RLIKE")
